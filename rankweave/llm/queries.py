@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.llm.chat_format import chat_windows, read_back
 from rankweave.llm.decontaminate import contamination
 from rankweave.llm.minhash_dedup import near_duplicates
 from rankweave.llm.shared import table
@@ -68,5 +69,37 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(c, 0) AS n_hit, coalesce(k,
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-QUERIES = {"op3_decontamination": op3_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_minhash_dedup": op9_minhash_dedup}
-ORACLE_SQL = {"op3_decontamination": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -1, whose texts are control strings; digests of what the windows say.
+
+    A digest of a whole conversation needs its text in one row; the windows themselves do not.
+    """
+    probe = "</s>[INST] ok [/INST]"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    said = read_back(chat_windows(turns.unionByName(extra)))
+    whole = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "losses"))).alias("windows"), F.sum("formatted_chars").alias("formatted_chars"))
+    lines = F.transform(F.flatten("windows.turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    whole = whole.select("conv_id", "formatted_chars", F.size(F.flatten("windows.turns")).cast("long").alias("n_turns"), F.array_join(lines, "").alias("said"), F.array_join(F.flatten("windows.losses"), "").alias("learnt"))
+    return whole.select("conv_id", "n_turns", F.sha2("said", 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"), F.sha2("learnt", 256).alias("loss_sha256"), "formatted_chars")
+
+
+OP1_SQL = r"""
+WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t1 AS (SELECT *, row_number() OVER w AS place FROM t0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
+t2 AS (SELECT *, place = 1 AND role = 'system' AS sys, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]')) + 4 AS n,
+  length(text) + length(role) + 8 + len(regexp_extract_all(text, '[<][~]*(?:/?s>|\|)|\[[~]*/?INST\]')) + len(regexp_extract_all(text, '[<][~]*</?SYS>>')) AS chars FROM t1),
+t3 AS (SELECT *, sum(CASE WHEN sys THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY place) AS stop FROM t2),
+t4 AS (SELECT *, stop - CASE WHEN sys THEN 0 ELSE n END AS start FROM t3),
+t5 AS (SELECT *, CASE WHEN sys THEN 0 ELSE 2 * (start // 512) + CASE WHEN stop > (start // 512 + 1) * 512 THEN 1 ELSE 0 END END AS win FROM t4),
+opens AS (SELECT conv_id, win, min(start) AS at FROM t5 WHERE NOT sys GROUP BY ALL),
+again AS (SELECT t5.conv_id, sum(chars) AS c FROM t5 JOIN opens o ON o.conv_id = t5.conv_id AND CASE WHEN sys THEN o.win > 0 ELSE o.at BETWEEN t5.start + 1 AND t5.start + 128 END GROUP BY 1)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (sum(chars) + coalesce(any_value(c), 0))::BIGINT AS formatted_chars
+FROM t5 LEFT JOIN again USING (conv_id) GROUP BY conv_id
+"""
+
+QUERIES = {"op1_chat_format": op1_chat_format, "op3_decontamination": op3_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_minhash_dedup": op9_minhash_dedup}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
