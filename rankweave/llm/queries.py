@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.llm import byte_bpe
 from rankweave.llm.chat_format import chat_windows, read_back
 from rankweave.llm.decontaminate import contamination
+from rankweave.llm.line_dedup import without_shared_lines
 from rankweave.llm.minhash_dedup import near_duplicates
+from rankweave.llm.quality_classifier import quality_scores
+from rankweave.llm.quality_rules import quality_by_rules
+from rankweave.llm.secret_scan import secrets
 from rankweave.llm.shared import table
 from rankweave.llm.substring_dedup import without_repeats
+from rankweave.llm.url_filter import filtered_urls
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,5 +108,81 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM t5 LEFT JOIN again USING (conv_id) GROUP BY conv_id
 """
 
-QUERIES = {"op1_chat_format": op1_chat_format, "op3_decontamination": op3_decontamination, "op8_substring_dedup": op8_substring_dedup, "op9_minhash_dedup": op9_minhash_dedup}
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op8_substring_dedup": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes, posterior and verdict of all documents."""
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("quality", 6).alias("quality"))
+    return quality_by_rules(table(spark, sf_dir, "documents")).select(*columns)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings in all documents, judged by a forest that learns from those whose form decides; values as digests."""
+    found = secrets(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "place", F.length("value").alias("n_chars"), F.sha2("value", 256).alias("value_sha256"), "probability")
+
+
+def good_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of good documents: of quality, and not toxic."""
+    return table(spark, sf_dir, "labels").select("doc_id", F.expr("CAST(quality = 1 AND toxic = 0 AS INT)").alias("good"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by both views."""
+    scores = quality_scores(table(spark, sf_dir, "documents"), good_labels(spark, sf_dir))
+    return scores.select("doc_id", *(F.round(c, 6).alias(c) for c in ("text_score", "meta_score", "quality")), "kept")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that an earlier one has; texts as digests."""
+    kept = without_shared_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_deleted", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages against a dated list; dates and list follow from the pages, which have neither.
+
+    A page was fetched on the day 2024-01-01 + (page_id * 13) % 366. A third of the hosts is listed
+    (by the smallest page_id m of the host): added, and half of them removed and added again later;
+    of the pages every 50th has its path listed.
+    """
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.expr("date_add(DATE '2024-01-01', CAST((page_id * 13) % 366 AS INT))"))
+    hosts = pages.select(F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("pattern"), "page_id").groupBy("pattern").agg(F.min("page_id").alias("m")).where("m % 3 = 0 AND pattern != ''")
+    days = {"add": "(m * 7) % 300", "remove": "(m * 7) % 300 + 20 + m % 50", "add again": "(m * 7) % 300 + 100 + m % 50"}
+    entries = hosts.select("pattern", F.explode(F.expr("if(m % 2 = 0, array(" + ", ".join(f"struct('{k.split()[0]}' AS action, {v} AS d)" for k, v in days.items()) + f"), array(struct('add' AS action, {days['add']} AS d)))")).alias("e"))
+    entries = entries.select("pattern", "e.action", F.expr("date_add(DATE '2024-01-01', CAST(e.d AS INT))").alias("dated"))
+    paths = pages.where("page_id % 50 = 0").select(F.regexp_extract("url", "^https?://([^?#]*[^?#/])", 1).alias("pattern"), F.lit("add").alias("action"), F.expr("date_add(DATE '2024-01-01', CAST(page_id % 200 AS INT))").alias("dated"))
+    return filtered_urls(captures, entries.unionByName(paths.where("pattern LIKE '%/%'")))
+
+
+OP7_SQL = r"""
+WITH cap AS (SELECT DISTINCT page_id, url, DATE '2024-01-01' + ((page_id * 13) % 366)::INT AS fetched FROM pages),
+host AS (SELECT pattern, min(page_id) AS m FROM (SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS pattern FROM pages) WHERE pattern != '' GROUP BY pattern HAVING min(page_id) % 3 = 0),
+entry AS (SELECT pattern, 1 AS listed, (m * 7) % 300 AS d FROM host UNION ALL
+  SELECT pattern, 0, (m * 7) % 300 + 20 + m % 50 FROM host WHERE m % 2 = 0 UNION ALL SELECT pattern, 1, (m * 7) % 300 + 100 + m % 50 FROM host WHERE m % 2 = 0 UNION ALL
+  SELECT regexp_extract(url, '^https?://([^?#]*[^?#/])', 1), 1, page_id % 200 FROM pages WHERE page_id % 50 = 0 AND regexp_extract(url, '^https?://([^?#]*[^?#/])', 1) LIKE '%/%'),
+one AS (SELECT lower(pattern) AS pattern, DATE '2024-01-01' + d::INT AS dated, max(listed) AS listed FROM entry GROUP BY 1, 2),
+span AS (SELECT pattern, listed, dated AS low, lead(dated) OVER (PARTITION BY pattern ORDER BY dated) AS high FROM one),
+part AS (SELECT *, string_split(regexp_replace(regexp_replace(lower(url), '^https?://', ''), '[?#].*$', ''), '/') AS p FROM cap),
+key AS (SELECT page_id, url, fetched, unnest(list_distinct(list_concat(
+  list_transform(range(1, len(string_split(p[1], '.')) + 1), lambda i: array_to_string(string_split(p[1], '.')[i:], '.')),
+  list_transform(range(2, len(list_filter(p, lambda x: x != '')) + 1), lambda i: array_to_string(list_filter(p, lambda x: x != '')[1:i], '/'))))) AS pattern FROM part),
+hit AS (SELECT page_id, url, fetched, count(DISTINCT pattern) AS n_entries, min(pattern) AS pattern FROM key JOIN span USING (pattern) WHERE listed = 1 AND fetched >= low AND (high IS NULL OR fetched < high) GROUP BY ALL)
+SELECT cap.page_id, cap.url, cap.fetched, coalesce(n_entries, 0) AS n_entries, pattern, pattern IS NOT NULL AS blocked FROM cap LEFT JOIN hit USING (page_id, url, fetched)
+"""
+
+
+def tokens_with_digests(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_tokens, tokens, ids_sha256, decoded_sha256) of whole texts."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    back = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    ids = F.array_join(F.col("tokens").cast("array<string>"), " ")
+    return back.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again, as digests."""
+    return tokens_with_digests(table(spark, sf_dir, "documents")).drop("tokens")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_decontamination, op4_secret_scan, op5_quality_classifier, op6_line_dedup, op7_url_filter, op8_substring_dedup, op9_minhash_dedup, op10_byte_bpe)}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
