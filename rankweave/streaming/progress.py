@@ -18,7 +18,7 @@ def dedupe_progress(frames: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """frames(job_id, seq, at, ...): a frame that is replayed within the delay is delivered once. The same call works on a batch."""
     if not frames.isStreaming:
         return frames.dropDuplicates(["job_id", "seq"])
-    return frames.withWatermark("at", delay).dropDuplicatesWithinWatermark(["job_id", "seq"])
+    return frames.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay).dropDuplicatesWithinWatermark(["job_id", "seq"])
 
 
 def job_status(frames: DataFrame) -> DataFrame:
@@ -30,7 +30,7 @@ def job_status(frames: DataFrame) -> DataFrame:
 
 def progress_rates(frames: DataFrame, width: str = "1 minute", delay: str = "10 minutes") -> DataFrame:
     """Units, records and characters of each job in windows of time; frames later than the delay are dropped in a stream."""
-    f = frames.withWatermark("at", delay) if frames.isStreaming else frames
+    f = frames.withColumn("at", F.col("at").cast("timestamp")).withWatermark("at", delay) if frames.isStreaming else frames
     g = f.groupBy("job_id", F.window("at", width)).agg(F.count("*").alias("n_frames"), F.max("units_read").alias("units_read"), F.max("recipes_found").alias("recipes_found"), F.max("chars_read").alias("chars_read"))
     return g.select("job_id", F.col("window.start").alias("window_start"), "n_frames", "units_read", "recipes_found", "chars_read")
 
