@@ -7,9 +7,8 @@ names an alignment of an item with a document, which is extended over the whole
 so only true windows count. Items shorter than a window are found by their first word instead, and
 extended alike. All of it is DataFrame expressions.
 
-If the items' texts are within BROADCAST_CHARS in all, fingerprints and items are broadcast and
-documents are not shuffled at all. Otherwise fingerprints are joined by shuffle, and alignments are
-brought back to the documents by doc_id.
+If the items' texts are within BROADCAST_CHARS in all, fingerprints and items are broadcast, else
+they are joined by shuffle. Alignments are brought back to the documents' words by doc_id.
 """
 
 from __future__ import annotations
@@ -44,18 +43,8 @@ def _print_and_place(df: DataFrame, column: str, place: str) -> DataFrame:
     return df.withColumn("print", F.shiftright(column, _PLACE_BITS)).withColumn(place, (F.col(column).bitwiseAND((1 << _PLACE_BITS) - 1)).cast("int")).drop(column)
 
 
-def _extended(df: DataFrame) -> DataFrame:
-    """Rows with words, item_words and shift -> spans of document words inside shared windows."""
-    df = df.withColumn("same", F.expr("transform(item_words, (w, j) -> coalesce(get(words, shift + j) = w, false))"))
-    df = df.withColumn("size", F.expr(f"least({WINDOW}, size(item_words))"))
-    df = df.withColumn("starts", F.expr("filter(sequence(0, size(item_words) - size), i -> NOT array_contains(slice(same, i + 1, size), false))"))
-    low = "transform(filter(starts, (i, k) -> k = 0 OR get(starts, k - 1) < i - 1), i -> shift + i)"
-    high = "transform(filter(starts, (i, k) -> k = size(starts) - 1 OR get(starts, k + 1) > i + 1), i -> shift + i + size - 1)"
-    return df.withColumn("spans", F.expr(f"arrays_zip({low}, {high})").cast("array<struct<low:int,high:int>>"))
-
-
-def _matches(docs: DataFrame, items: DataFrame, broadcast: bool) -> DataFrame:
-    """(doc_id, n_words, item_id, spans); each document also has a row without an item."""
+def _seeds(docs: DataFrame, items: DataFrame, broadcast: bool) -> DataFrame:
+    """docs(doc_id, words), items(item_id, item_words) -> (doc_id, n_words, alignments of (item_id, shift)): one row for each doc_id."""
     prints = items.where(f"size(item_words) >= {WINDOW}").withColumnRenamed("item_words", "words")
     prints = _fingerprinted(prints).select("item_id", F.explode_outer("prints").alias("at")).where("at IS NOT NULL")
     prints = _print_and_place(prints, "at", "item_place")
@@ -65,22 +54,33 @@ def _matches(docs: DataFrame, items: DataFrame, broadcast: bool) -> DataFrame:
         first = F.shiftright(F.xxhash64(F.col("item_words")[0]), _PLACE_BITS) + (1 << (64 - _PLACE_BITS))
         prints = prints.unionByName(short.select("item_id", first.alias("print"), F.lit(0).alias("item_place")))
 
-    docs = _fingerprinted(docs)
     seeds = f"transform(prints, p -> struct(shiftright(p, {_PLACE_BITS}) AS print, cast(p & {(1 << _PLACE_BITS) - 1} AS int) AS place))"
     if some_short:
         seeds = f"concat({seeds}, transform(words, (w, i) -> struct(shiftright(xxhash64(w), {_PLACE_BITS}) + {1 << (64 - _PLACE_BITS)} AS print, i AS place)))"
-    mark = "array(struct(cast(null AS bigint) AS print, cast(null AS int) AS place))"
-    docs = docs.select("doc_id", "words", F.size("words").cast("long").alias("n_words"), F.expr(f"concat({mark}, {seeds})").alias("seeds"))
-    rows = docs.select("doc_id", "n_words", "words", F.explode_outer("seeds").alias("seed")).select("doc_id", "n_words", "words", "seed.print", "seed.place")
-    shift = (F.col("place") - F.col("item_place")).alias("shift")
-    if broadcast:
-        rows = rows.join(F.broadcast(prints), "print", "left").where("item_id IS NOT NULL OR print IS NULL")
-        rows = rows.select("doc_id", "n_words", "words", "item_id", shift).join(F.broadcast(items), "item_id", "left")
-        return _extended(rows).where("item_id IS NULL OR size(starts) > 0").select("doc_id", "n_words", "item_id", "spans")
-    base = rows.where("print IS NULL").select("doc_id", "n_words", F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("array<struct<low:int,high:int>>").alias("spans"))
-    met = rows.where("print IS NOT NULL").select("doc_id", "print", "place").join(prints, "print").select("doc_id", "item_id", shift).distinct()
-    met = met.join(docs.select("doc_id", "n_words", "words"), "doc_id").join(items, "item_id")
-    return base.unionByName(_extended(met).where("size(starts) > 0").select("doc_id", "n_words", "item_id", "spans"))
+    mark = "array(struct(cast(null AS bigint) AS print, cast(null AS int) AS place))"  # gives each document a row
+    docs = _fingerprinted(docs).select("doc_id", F.size("words").cast("long").alias("n_words"), F.expr(f"concat({mark}, {seeds})").alias("seeds"))
+    rows = docs.select("doc_id", "n_words", F.explode_outer("seeds").alias("seed")).select("doc_id", "n_words", "seed.print", "seed.place")
+    rows = rows.join(F.broadcast(prints) if broadcast else prints, "print", "left").where("item_id IS NOT NULL OR print IS NULL")
+    alignment = F.when(F.col("item_id").isNotNull(), F.struct("item_id", (F.col("place") - F.col("item_place")).alias("shift")))
+    return rows.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.collect_set(alignment).alias("alignments"))
+
+
+def _extended(texts: DataFrame, seeds: DataFrame, items: DataFrame, broadcast: bool) -> DataFrame:
+    """(doc_id, item_ids, spans) of the documents in which an alignment, extended over its item, has a shared window.
+
+    A document's alignments are together in one row, so its words are there once.
+    """
+    pairs = seeds.where("size(alignments) > 0").select("doc_id", F.explode("alignments").alias("a")).select("doc_id", "a.item_id", "a.shift")
+    pairs = pairs.join(F.broadcast(items) if broadcast else items, "item_id").groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "shift", "item_words")).alias("a"))
+    d = texts.join(pairs, "doc_id").withColumn("words", folded_words(F.col("text")))
+    same = f"struct(x.item_id, x.shift, least({WINDOW}, size(x.item_words)) AS size, transform(x.item_words, (w, j) -> coalesce(get(ws, x.shift + j) = w, false)) AS same)"
+    d = d.withColumn("a", F.expr(f"transform(array(words), ws -> transform(a, x -> {same}))[0]"))  # words as a variable, so they are made once
+    d = d.withColumn("a", F.expr("transform(a, x -> struct(x.item_id, x.shift, x.size, filter(sequence(0, size(x.same) - x.size), i -> NOT array_contains(slice(x.same, i + 1, x.size), false)) AS starts))"))
+    d = d.withColumn("a", F.expr("filter(a, x -> size(x.starts) > 0)"))
+    low = "transform(filter(x.starts, (i, k) -> k = 0 OR get(x.starts, k - 1) < i - 1), i -> x.shift + i)"
+    high = "transform(filter(x.starts, (i, k) -> k = size(x.starts) - 1 OR get(x.starts, k + 1) > i + 1), i -> x.shift + i + x.size - 1)"
+    spans = F.expr(f"flatten(transform(a, x -> arrays_zip({low}, {high})))").cast("array<struct<low:int,high:int>>")
+    return d.select("doc_id", F.expr("transform(a, x -> x.item_id)").alias("item_ids"), spans.alias("spans"))
 
 
 def contamination(
@@ -92,18 +92,20 @@ def contamination(
     window. n_hit counts the document's words inside any occurrence of a window, spans are these
     stretches (first and last word, from 0; they can overlap), item_ids the items that have an
     occurring window, sorted as strings. Null, empty and wordless texts and items match nothing.
-    Rows that repeat a doc_id, and those of a null doc_id, are taken as one document: n_words is
-    the largest of theirs. Rows that repeat an item_id add their windows. Items with a null id are
+    Rows that repeat a doc_id are taken as one document, and so are those of a null doc_id, which
+    is never contaminated: n_words is the largest of theirs. Rows that repeat an item_id add their windows. Items with a null id are
     left out. Empty tables give an empty result or no hits. Other columns are ignored.
     """
-    docs = identified(docs, id_col, text_col).select("doc_id", folded_words(F.col("text")).alias("words"))
+    docs = identified(docs, id_col, text_col)
     items = items.select(F.col(item_id_col).cast("string").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("item_id IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     items = items.select("item_id", folded_words(F.col("text")).alias("item_words"))
-    found = _matches(docs, items, chars <= broadcast_chars)
+    small = chars <= broadcast_chars
+    seeds = _seeds(docs.select("doc_id", folded_words(F.col("text")).alias("words")), items, small)
+    found = _extended(docs, seeds, items, small).groupBy("doc_id").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("item_ids", "spans")))
 
-    merged = """aggregate(array_sort(array_distinct(flatten(spans))), struct(0L AS n, -1 AS last),
+    out = seeds.select("doc_id", "n_words").join(found, "doc_id", "left")
+    merged = """aggregate(spans, struct(0L AS n, -1 AS last),
         (acc, s) -> struct(acc.n + greatest(0, s.high - greatest(acc.last + 1, s.low) + 1) AS n, greatest(acc.last, s.high) AS last), acc -> acc.n)"""
-    out = found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("item_id")).alias("item_ids"), F.collect_list("spans").alias("spans"))
-    out = out.select("doc_id", "n_words", F.expr(merged).alias("n_hit"), "item_ids", F.expr("array_sort(array_distinct(flatten(spans)))").alias("spans"))
-    return out.withColumn("contaminated", F.col("n_hit") > 0)
+    out = out.select("doc_id", "n_words", F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("spans", F.array().cast("array<struct<low:int,high:int>>")).alias("spans"))
+    return out.select("doc_id", "n_words", F.expr(merged).alias("n_hit"), "item_ids", "spans").withColumn("contaminated", F.col("n_hit") > 0)
