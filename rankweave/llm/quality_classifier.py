@@ -223,6 +223,13 @@ def _learnt(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], max_labe
     return docs, docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_labelled, max_pool))
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Smaller batches, so that a worker's memory stays small."""
+    for batch in batches:
+        for low in range(0, len(batch), rows):
+            yield batch.slice(low, rows)
+
+
 def _rated(m: Model, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text score, metadata score, quality) of each row of (doc_id, text, lang, source, size)."""
     out: list[list[np.ndarray]] = [[np.zeros(0)], [np.zeros(0)], [np.zeros(0)]]
@@ -250,8 +257,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...]
     docs, model = _learnt(docs, labels, columns, max_labelled, max_pool)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, _rated(model.value, batch))], ["doc_id", "text_score", "meta_score", "quality"])
+        for part in _parts(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), *map(pa.array, _rated(model.value, part))], ["doc_id", "text_score", "meta_score", "quality"])
 
     return docs.mapInArrow(run, "doc_id long, text_score double, meta_score double, quality double").withColumn("kept", F.col("quality") >= threshold)
 
@@ -259,13 +266,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...]
 def good_documents(docs: DataFrame, labels: DataFrame, columns: tuple[str, ...] = COLUMNS, threshold: float = 0.5, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
     """The rows of docs, with all their columns, that quality_scores() keeps; nothing is shuffled."""
     named, model = _learnt(docs, labels, columns, max_labelled, max_pool)
-    names, own = named.columns, docs.columns
+    names, own, at = named.columns, docs.columns, [docs.columns.index(c) for c in columns]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rated = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names)
-            rows = batch.filter(pa.array(_rated(model.value, rated)[2] >= threshold))
-            yield pa.RecordBatch.from_arrays(rows.column(1).flatten(), own)
+        for part in _parts(batches):
+            rated = pa.RecordBatch.from_arrays([part.column(k).cast(kind) for k, kind in zip(at, kinds, strict=True)], names)
+            yield part.filter(pa.array(_rated(model.value, rated)[2] >= threshold)).rename_columns(own)
 
-    both = docs.select(F.struct(*(F.col(c).cast(named.schema[n].dataType).alias(n) for c, n in zip(columns, names, strict=True))).alias("rated"), F.struct(*own).alias("row"))
-    return both.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
