@@ -2,10 +2,14 @@
 
 Seeds: each window of `length` words is named by the least hash among its runs of RUN words, its
 anchor (winnowing), so two equal windows always have the same anchor, and a document has an anchor
-for about each fifth word. Only anchors that two documents share are joined back. Extension: around
-each shared anchor all windows that it names, to its left and right, are compared in full, by a
-hash of the whole window; the smallest doc_id that has a window is a grouped minimum, so copies
-never meet in pairs. Overlapping windows add up to maximal repeats, which are removed.
+for about each fifth word. Only anchors that two documents share go on. Extension: around each shared
+anchor all windows that it names, to its left and right, are compared in full, by a hash of the
+whole window; the smallest doc_id that has a window is a minimum over its holders, so copies never
+meet in pairs. Overlapping windows add up to maximal repeats, which are removed.
+
+An anchor or window has one narrow row for each document that holds it. Such rows are sorted and
+streamed, never gathered, so the hottest key costs its task time but no memory; it has at most one
+row for each document, of about a hundred that a document has.
 """
 
 from __future__ import annotations
@@ -17,6 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rankweave.llm.shared import identified
 from rankweave.llm.words import Block, blocks, lists, mixed, run_hashes
@@ -146,13 +151,14 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     keyed = docs.repartition("doc_id")  # both joins with texts read this one exchange
 
     anchors = docs.where("doc_id is not null").mapInArrow(_anchors(length), "doc_id long, anchors array<long>").select("doc_id", F.explode("anchors").alias("anchor"))
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("anchor")
-    seeds = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
+    holders = Window.partitionBy("anchor")
+    shared = anchors.withColumn("low", F.min("doc_id").over(holders)).withColumn("high", F.max("doc_id").over(holders)).where("low < high")
+    seeds = shared.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"))
 
-    found = keyed.join(seeds, "doc_id").select("doc_id", "text", "anchors")
+    found = keyed.join(seeds, "doc_id", "left").select("doc_id", "text", "anchors")  # as below, so that the exchange is the same
     windows = found.mapInArrow(_extended(length), "doc_id long, windows array<long>").select("doc_id", F.explode("windows").alias("window"))
-    first = windows.groupBy("window").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("window", "low")
-    repeated = windows.join(first, "window").where("doc_id > low").groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
+    repeated = windows.withColumn("low", F.min("doc_id").over(Window.partitionBy("window"))).where("doc_id > low")
+    repeated = repeated.groupBy("doc_id").agg(F.collect_set("window").alias("windows"))
 
     marked = keyed.join(repeated, "doc_id", "left").select("doc_id", "text", "windows")
     return marked.mapInArrow(_cut(length), "doc_id long, n_words long, n_removed long, kept_text string")
