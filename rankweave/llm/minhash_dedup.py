@@ -5,13 +5,16 @@ representative. A representative's set goes through one permutation, whose value
 BINS bins; the least value of each bin is the signature. An empty bin takes the value of another
 bin, drawn by hashes of the bin and the number of the try (optimal densification). BANDS bands of
 the signature name the buckets. Sets of up to SHORT shingles leave too many bins empty for that;
-they go, by an exact rule, into a bucket for each of their first few values: two sets that are
-similar enough share one of these.
+they go, by an exact rule, into a bucket for each of their rarest few shingles: two sets that are
+similar enough share one of these. Sets of over BOTH shingles have a signature as well, so that
+no similar pair falls between the two.
 
-Within a bucket, one centre is compared with the others (a star); the comparison counts both full
-sets. Documents of a bucket which are then not yet connected get the next centres, four times as
-many each round, until no pair of a bucket is both unconnected and not compared. So a group of n
-copies gives about n pairs and no link between buckets' members is lost.
+Within a bucket, the member with most company is compared with the others (a star); the comparison
+counts both full sets. So a group of n copies gives about n pairs. What stars leave open are buckets
+whose members are then still in different components. Their documents are compared in blocks of
+BLOCK, ordered by the size of their sets, within groups of buckets that hang together; blocks whose
+sizes rule a link out do not meet. No link between members of a bucket is lost, and no rows are made
+for pairs: a meeting of two blocks gives at most the links that connect them.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from rankweave.llm.components import components
 from rankweave.llm.shared import identified, saved
 from rankweave.llm.words import LOWER, Block, blocks, lists, mixed, run_hashes
 
-BINS, BANDS, SHORT, BOTH = 128, 32, 160, 128
+BINS, BANDS, SHORT, BOTH, BLOCK = 128, 32, 96, 76, 128
 _TAG = np.uint64(0xA24BAED4963EE407)
 
 
@@ -77,32 +80,24 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _keys(owner: np.ndarray, shingle: np.ndarray, size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, bucket key): bands of the signature for long sets, the first values for short ones."""
-    first = np.cumsum(size) - size
-    rank = np.arange(len(owner)) - first[owner]
-    need = (size * percent + 99) // 100
-    head = (size <= SHORT)[owner] & (rank < (size - need + 1)[owner])
-    who, key = [owner[head]], [shingle[head] ^ _TAG]
+def _bands(owner: np.ndarray, shingle: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bucket keys of each text: bands of the signature, for sets of over BOTH shingles."""
     long = np.flatnonzero(size > BOTH)
-    if len(long):
-        index = np.full(len(size), -1)
-        index[long] = np.arange(len(long))
-        of = index[owner] >= 0
-        sig = signatures(index[owner[of]], shingle[of], len(long)).reshape(len(long) * BANDS, -1)
-        band = np.tile(np.arange(BANDS, dtype=np.uint64), len(long))
-        k = mixed(band + np.uint64(1))
-        for j in range(sig.shape[1]):
-            k = mixed(k ^ sig[:, j])
-        who.append(np.repeat(long, BANDS))
-        key.append(k)
-    who, key = np.concatenate(who), np.concatenate(key)
-    order = np.argsort(who, kind="stable")
-    return who[order], key[order]
-
-
-def bucket_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, n_shingles, set_a, set_b, keys): set_a and set_b together name the set."""
+    offsets = np.concatenate(([0], np.cumsum(np.where(size > BOTH, BANDS, 0))))
+    if not len(long):
+        return offsets, np.zeros(0, np.uint64)
+    index = np.full(len(size), -1)
+    index[long] = np.arange(len(long))
+    of = index[owner] >= 0
+    sig = signatures(index[owner[of]], shingle[of], len(long)).reshape(len(long) * BANDS, -1)
+    key = mixed(np.tile(np.arange(BANDS, dtype=np.uint64), len(long)) + np.uint64(1))
+    for j in range(sig.shape[1]):
+        key = mixed(key ^ sig[:, j])
+    return offsets, key
+
+
+def bucket_keys(docs: DataFrame, words: int) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, n_shingles, set_a, set_b, keys, few): set_a and set_b together name the set, few are the shingles of a short one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,12 +114,12 @@ def bucket_keys(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     name.append(pa.array((total[end] - total[end - size]).view(np.int64)))
                 shuffled = mixed(shingle)
                 order = np.lexsort((shuffled, owner))
-                who, key = _keys(owner, shuffled[order], size, percent)
-                offsets = np.concatenate(([0], np.cumsum(np.bincount(who, minlength=n))))
+                bands = lists(*(x.view(np.int64) for x in _bands(owner, shuffled[order], size)))
+                few = lists(np.concatenate(([0], np.cumsum(np.where(size <= SHORT, size, 0)))), shuffled[(size <= SHORT)[owner]].view(np.int64))
                 cut = ids.slice(block.rows.start, n)
-                yield pa.RecordBatch.from_arrays([cut, pa.array(size.astype(np.int64)), *name, lists(offsets, key.view(np.int64))], ["doc_id", "n_shingles", "set_a", "set_b", "keys"])
+                yield pa.RecordBatch.from_arrays([cut, pa.array(size.astype(np.int64)), *name, bands, few], ["doc_id", "n_shingles", "set_a", "set_b", "keys", "few"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, few array<long>")
 
 
 def confirmed(pairs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -146,12 +141,74 @@ def confirmed(pairs: DataFrame, words: int, percent: int) -> DataFrame:
                 same = (owner[1:] == owner[:-1]) & (shingle[1:] == shingle[:-1])
                 both = np.bincount(owner[1:][same], minlength=len(part))
                 either = np.bincount(owner, minlength=len(part)) - both
-                keep = pa.array((100 * both >= percent * either) & (either > 0))
-                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], ["a", "b"])
+                linked = pa.array((100 * both >= percent * either) & (either > 0))
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(linked), part.column(1).filter(linked)], ["a", "b"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def _links_of(ids: np.ndarray, labels: np.ndarray, texts: pa.Array, n_left: int, words: int, percent: int) -> list[tuple[int, int]]:
+    """Links between the first n_left texts and the rest (or among all, if there is no rest), as few as connect what they connect."""
+    owners, shingles = [], []
+    for block in blocks(texts):
+        owner, shingle = _sets(block, words)
+        owners.append(owner + block.rows.start)
+        shingles.append(shingle)
+    owner, shingle = np.concatenate(owners), np.concatenate(shingles)
+    size = np.bincount(owner, minlength=len(ids))
+    _, column, count = np.unique(shingle, return_inverse=True, return_counts=True)
+    owner, column = owner[count[column] > 1], column[count[column] > 1]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    both = np.zeros((len(ids), len(ids)), np.float32)
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        cut = slice(*np.searchsorted(column, (low, low + 4096)))
+        has = np.zeros((len(ids), 4096), np.float32)
+        has[owner[cut], column[cut] - low] = 1
+        both += has @ has.T
+    either = size[:, None] + size[None, :] - both
+    linked = np.triu((100 * both >= percent * either) & (either > 0) & (labels[:, None] != labels[None, :]), 1)
+    if n_left < len(ids):
+        linked[:n_left, :n_left] = linked[n_left:, n_left:] = False
+    root = {int(x): int(x) for x in labels}
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        x, y = top(int(labels[i])), top(int(labels[j]))
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
+def links_in_blocks(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """members(doc_id, n_shingles, label, group), texts(doc_id, text) -> (a, b): links between labels within groups."""
+    by_size = Window.partitionBy("group").orderBy("n_shingles", "doc_id")
+    numbered = members.withColumn("block", F.floor((F.row_number().over(by_size) - 1) / BLOCK))
+    held = numbered.join(texts, "doc_id").groupBy("group", "block").agg(F.collect_list(F.struct("doc_id", "label", "text")).alias("docs"), F.min("n_shingles").alias("least"), F.max("n_shingles").alias("most"))
+    left = held.select("group", F.col("block").alias("i"), F.col("docs").alias("a"), F.col("most").alias("top"))
+    right = held.select("group", F.col("block").alias("j"), F.col("docs").alias("b"), F.col("least").alias("low"))
+    meet = left.join(right, "group").where(F.col("i") <= F.col("j")).where(100 * F.col("top") >= percent * F.col("low"))
+    meet = meet.select("a", F.when(F.col("i") < F.col("j"), F.col("b")).alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(len(batch)):
+                sides = [batch.column(k)[row].values for k in (0, 1) if batch.column(k)[row].is_valid]
+                docs = pa.concat_arrays(sides)
+                ids, labels = (docs.field(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label"))
+                links = np.array(_links_of(ids, labels, docs.field("text"), len(sides[0]), words, percent), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    return meet.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of docs.
 
@@ -163,44 +220,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     in the links; each gets a row. An empty table gives an empty result. Other columns are ignored.
     """
     docs = identified(docs, id_col, text_col)
-    sets = saved(bucket_keys(docs, words, percent))
+    sets = saved(bucket_keys(docs, words))
     real = sets.where("n_shingles > 0 and doc_id is not null")
     folded = real.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     member = real.join(folded.where("copies > 1"), ["set_a", "set_b"]).select("doc_id", "rep")
     exact = member.where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")).distinct()
 
     alone = real.join(exact.select(F.col("b").alias("doc_id")).distinct(), "doc_id", "left_anti")
-    rows = alone.select("doc_id", "n_shingles", F.explode("keys").alias("key")).dropDuplicates(["doc_id", "key"])
+    few = alone.select("doc_id", "n_shingles", F.explode("few").alias("shingle"))
+    few = few.join(few.groupBy("shingle").agg(F.count("*").alias("seen")).where("seen > 1"), "shingle", "left")
+    few = few.groupBy("doc_id", "n_shingles").agg(F.collect_list(F.struct(F.coalesce("seen", F.lit(1).cast("long")).alias("seen"), "shingle")).alias("all"))
+    head = (F.col("n_shingles") - F.floor((F.col("n_shingles") * percent + 99) / 100) + 1).cast("int")
+    few = few.select("doc_id", "n_shingles", F.explode(F.slice(F.array_sort("all"), F.lit(1), head)).alias("s")).where("s.seen > 1")
+    rows = alone.select("doc_id", "n_shingles", F.explode("keys").alias("key")).unionByName(few.select("doc_id", "n_shingles", F.col("s.shingle").alias("key")))
+    rows = rows.dropDuplicates(["doc_id", "key"])
     shared = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     bucketed = rows.join(shared, "key")
     mass = bucketed.groupBy("doc_id").agg(F.sum("size").alias("mass"))
-    ranked = bucketed.join(mass, "doc_id").select("key", "doc_id", "n_shingles", "size", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("mass"), "doc_id")).alias("place"))
-    ranked = saved(ranked)
-    texts = saved(docs.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-
-    links, label = exact, None
-    low, high = 1, 1
-    most = ranked.agg(F.max("size")).first()[0] or 0
-    while low < most:
-        now = ranked.select("key", "doc_id", "n_shingles", "place")
-        if label is not None:
-            now = now.join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-        else:
-            now = now.withColumn("label", F.col("doc_id"))
-        if low > 1:
-            parts = now.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("key")
-            now = now.join(parts, "key", "left_semi")
-        centre = now.where(F.col("place").between(low, high)).select("key", F.col("doc_id").alias("centre"), F.col("n_shingles").alias("m"), F.col("place").alias("at"), F.col("label").alias("of"))
-        alike = (100 * F.least("m", "n_shingles") >= percent * F.greatest("m", "n_shingles")) & (F.col("label") != F.col("of")) & (F.col("place") > F.col("at"))
-        pairs = now.join(centre, "key").where(alike).select(F.least("doc_id", "centre").alias("a"), F.greatest("doc_id", "centre").alias("b")).distinct()
-        pairs = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        found = saved(confirmed(pairs, words, percent))
-        links = links.unionByName(found)
-        if low == 1 or not found.isEmpty():
-            label = components(links).select(F.col("id").alias("doc_id"), "label")
-        low, high = high + 1, 4 * high + 4
-
-    if label is None:
-        label = components(links).select(F.col("id").alias("doc_id"), "label")
+    best = bucketed.join(mass, "doc_id").groupBy("key").agg(F.min_by("doc_id", F.struct(-F.col("mass"), "doc_id")).alias("hub"), F.min_by("n_shingles", F.struct(-F.col("mass"), "doc_id")).alias("m"))
+    buckets = saved(bucketed.select("key", "doc_id", "n_shingles").join(best, "key"))
+    texts = saved(docs.join(buckets.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+    sizes = 100 * F.least("m", "n_shingles") >= percent * F.greatest("m", "n_shingles")
+    star = buckets.where((F.col("doc_id") != F.col("hub")) & sizes).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+    star = star.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    links = saved(confirmed(star, words, percent)).unionByName(exact)
+    label = components(links).select(F.col("id").alias("doc_id"), "label")
+
+    now = buckets.select("key", "doc_id", "n_shingles").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+    open_keys = now.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.min("doc_id").alias("first")).where("least != most").select("key", "first")
+    left = saved(now.join(open_keys, "key").select("doc_id", "n_shingles", "label", "first").distinct())
+    if not left.isEmpty():
+        groups = components(left.select(F.col("first").alias("a"), F.col("doc_id").alias("b"))).select(F.col("id").alias("doc_id"), F.col("label").alias("group"))
+        members = left.select("doc_id", "n_shingles", "label").distinct().join(groups, "doc_id")
+        more = saved(links_in_blocks(members, texts, words, percent))
+        if not more.isEmpty():
+            label = components(links.unionByName(more)).select(F.col("id").alias("doc_id"), "label")
+
     out = sets.select("doc_id", "n_shingles").join(label, "doc_id", "left").withColumn("component_id", F.coalesce("label", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
