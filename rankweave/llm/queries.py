@@ -83,7 +83,7 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     probe = "</s>[INST] ok [/INST]"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', '{probe}'), (-1L, 1L, 'assistant', '{probe}') AS t(conv_id, turn, role, text)")
     said = read_back(chat_windows(turns.unionByName(extra)))
     whole = said.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("window", "turns", "losses"))).alias("windows"), F.sum("formatted_chars").alias("formatted_chars"))
     lines = F.transform(F.flatten("windows.turns"), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
