@@ -51,8 +51,7 @@ def k_at_target(golden: DataFrame, chunks: DataFrame, target: float = 0.9, most:
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("passage_id")
-        left, sets, k, need, got = set(), [set(x) for x in part["held"]], 0, target * part["n_words"].iloc[0], set()
-        del left
+        sets, k, need, got = [set(x) for x in part["held"]], 0, target * part["n_words"].iloc[0], set()
         while len(got) < need and k < most:
             gain = max(sets, key=lambda s: len(s - got))
             if not gain - got:

@@ -47,13 +47,8 @@ n AS (SELECT query_id FROM rel GROUP BY 1), h AS (SELECT DISTINCT query_id FROM
 SELECT count(*) AS n_questions, round(avg(CASE WHEN h.query_id IS NULL THEN 0 ELSE 1 END), 4) AS hit_at_5 FROM n LEFT JOIN h USING (query_id)""")
 def minimum_slice(spark, d):
     """BM25 for every benchmark text, without toxic documents; the share of questions with a document that has the text."""
-    q, p = questions(spark, d), passages(spark, d).join(toxic(spark, d), "passage_id", "left_anti")
-    index = R.bm25_index(passages(spark, d))
-    allowed = p.select("passage_id").join(F.broadcast(q.select("query_id")))
-    postings = index[0].join(toxic(spark, d), "passage_id", "left_anti")
-    del allowed
-    hits = R.bm25_topk(q, passages(spark, d), 10**6, index=index).join(toxic(spark, d), "passage_id", "left_anti").select("query_id", "passage_id", "score")
-    del postings
+    p = passages(spark, d)
+    hits = R.bm25_topk(questions(spark, d), p, 10**6).join(toxic(spark, d), "passage_id", "left_anti").select("query_id", "passage_id", "score")
     top = R.ranked(stable(hits), 5)
     rel = relevant(spark, d)
     m = E.ranking_metrics(rel.select("query_id").distinct(), top.withColumnRenamed("passage_id", "record_id"), rel.withColumnRenamed("passage_id", "record_id"))

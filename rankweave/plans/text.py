@@ -9,7 +9,7 @@ from rankweave.operators import extract as X
 from rankweave.operators import question as Q
 from rankweave.operators import vocab as V
 from rankweave.plans.register import Plans
-from rankweave.plans.standins import docs, table, with_
+from rankweave.plans.standins import table
 from rankweave.sources import runs as S
 
 plans = Plans()
@@ -19,7 +19,7 @@ def records(spark, d):
     """Documents as records: the first half of the lines are ingredients, the rest steps."""
     line = X.clean_lines(F.col("text"))
     t = table(spark, d, "documents").withColumn("l", line).withColumn("h", F.floor(F.size("l") / 2).cast("int"))
-    return t.select(F.col("source"), F.col("doc_id").cast("string").alias("record_id"), F.col("l")[0].alias("title") if False else F.get("l", F.lit(0)).alias("title"), F.slice("l", F.lit(1), F.col("h")).alias("ingredient_lines"), F.expr("slice(l, h + 1, size(l))").alias("step_lines"), F.col("lang").alias("servings_hint"), F.lit(None).cast("string").alias("time_hint"))
+    return t.select(F.col("source"), F.col("doc_id").cast("string").alias("record_id"), F.get("l", F.lit(0)).alias("title"), F.slice("l", F.lit(1), F.col("h")).alias("ingredient_lines"), F.expr("slice(l, h + 1, size(l))").alias("step_lines"), F.col("lang").alias("servings_hint"), F.lit(None).cast("string").alias("time_hint"))
 
 
 LINES = r"lines AS (SELECT doc_id, list_filter(list_transform(string_split_regex(replace(text, chr(9), ' '), '\r\n|[\n\r\x0B\x0C]'), lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), ' {2,}', ' ', 'g')), lambda x: x != '') AS l FROM documents)"
@@ -128,7 +128,7 @@ def s11_cached_apply(spark, d):
     """Digests of the benchmark's texts; half of them are cached already."""
     b = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("key"), "text")
     make = lambda df: df.withColumn("value", F.sha2("text", 256))
-    _, half = S.cached_apply(b.where("item_id % 2 = 0") if False else b.where("cast(key AS int) % 2 = 0"), spark.sql("SELECT '' AS hash, '' AS value WHERE false"), ["text"], make, "value")
+    _, half = S.cached_apply(b.where("cast(key AS int) % 2 = 0"), spark.sql("SELECT '' AS hash, '' AS value WHERE false"), ["text"], make, "value")
     return S.cached_apply(b, half, ["text"], make, "value")[0].select("key", "value")
 
 
