@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import identified
+from rankweave.llm.shared import identified, saved
 
 WINDOW, KGRAM, HELD = 10, 5, 6
 BROADCAST_CHARS = 16_000_000
@@ -101,7 +101,7 @@ def contamination(
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     items = items.select("item_id", folded_words(F.col("text")).alias("item_words"))
     small = chars <= broadcast_chars
-    seeds = _seeds(docs.select("doc_id", folded_words(F.col("text")).alias("words")), items, small)
+    seeds = saved(_seeds(docs.select("doc_id", folded_words(F.col("text")).alias("words")), items, small))
     found = _extended(docs, seeds, items, small).groupBy("doc_id").agg(*(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("item_ids", "spans")))
 
     out = seeds.select("doc_id", "n_words").join(found, "doc_id", "left")
