@@ -3,7 +3,8 @@
 A line is known by a hash of its text without the white space around it. Each document that has a
 shared line is paired with the first document that has the line, and, if the line is rare, with
 the document before it among its few holders as well; so a line that n documents share gives about
-n pairs. Each pair's lines are aligned: lines that are unique in both give the longest increasing
+n pairs. Runs of lines that are just long enough to be a block are paired likewise, for the lines of
+a block can have first holders that share no more than one short line of it. Each pair's lines are aligned: lines that are unique in both give the longest increasing
 chain, blocks grow around it, and the stretches between are aligned likewise. Aligned blocks are
 deleted from the later document of the pair.
 """
@@ -26,8 +27,24 @@ from rankweave.llm.words import blocks, lists, run_hashes
 RARE = 8
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, hashes, sizes): for each line its hash (0 if blank) and its bytes."""
+def _runs(h: np.ndarray, size: np.ndarray, offsets: np.ndarray, least_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts' offsets in, and hashes of, runs of two or more lines that have least_bytes, but not without their last line or not without their first.
+
+    Runs begin and end with lines that are not blank. Every line of a block of at least least_bytes is in such a run of the block, or is one itself.
+    """
+    total = np.concatenate(([0], np.cumsum(size)))
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    at = np.flatnonzero(h)
+    low, high = offsets[:-1][owner[at]], offsets[1:][owner[at]]
+    end = np.searchsorted(total, total[at] + least_bytes)
+    start = np.searchsorted(total, total[at + 1] - least_bytes, "right") - 1
+    onward, back = (end <= high) & (end > at + 1), (start >= low) & (start < at)
+    first, after = np.divmod(np.unique(np.concatenate((at[onward] * len(total) + end[onward], start[back] * len(total) + at[back] + 1))), len(total))
+    return np.searchsorted(first, offsets), run_hashes(h, first, after)
+
+
+def line_hashes(docs: DataFrame, least_bytes: int) -> DataFrame:
+    """docs(doc_id, text) -> (doc_id, hashes, sizes, runs): for each line its hash (0 if blank) and its bytes; hashes of _runs()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -44,9 +61,10 @@ def line_hashes(docs: DataFrame) -> DataFrame:
                 inside = np.concatenate(([0], np.cumsum(block.data == 10)))[block.offsets]
                 offsets = inside + np.arange(len(inside))
                 ids = batch.column(0).slice(block.rows.start, len(block.rows))
-                yield pa.RecordBatch.from_arrays([ids, lists(offsets, h.view(np.int64)), lists(offsets, size)], ["doc_id", "hashes", "sizes"])
+                first_run, runs = _runs(h, size, offsets, least_bytes)
+                yield pa.RecordBatch.from_arrays([ids, lists(offsets, h.view(np.int64)), lists(offsets, size), lists(first_run, runs.view(np.int64))], ["doc_id", "hashes", "sizes", "runs"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<long>")
+    return docs.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<long>, runs array<long>")
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,14 +144,16 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A line goes if an aligned block of at least least_bytes of text, counted without white space
     around lines, is shared with a document of a smaller doc_id; blank lines inside a block go with
-    it. All is judged on the input, so results depend on no order. kept_text has the other lines as
+    it. A document is aligned with the first holder of each of its lines and runs; a run that
+    such an alignment leaves out, as it crosses longer ones, is not tried with each further holder.
+    All is judged on the input, so results depend on no order. kept_text has the other lines as
     they were. A null text stays null; an empty one has one blank line. Rows that repeat a doc_id
     are one document with the lines of any one of them and lose the same lines; a null doc_id is in
     no order and stays whole. An empty table gives an empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in carry or (id_col,))).alias("carried"))
-    lines = saved(line_hashes(docs.where("doc_id IS NOT NULL").select("doc_id", "text")).dropDuplicates(["doc_id"]))
-    held = lines.select("doc_id", F.explode(F.array_distinct("hashes")).alias("line")).where("line != 0")
+    lines = saved(line_hashes(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), least_bytes).dropDuplicates(["doc_id"]))
+    held = lines.select("doc_id", F.explode(F.array_distinct(F.concat("hashes", "runs"))).alias("line")).where("line != 0")
     shared = held.groupBy("line").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first")).where("holders > 1")
     later = held.join(shared, "line")
     star = later.where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))

@@ -11,7 +11,7 @@ import pytest
 
 from rankweave.llm import byte_bpe, chat_format, queries
 from rankweave.llm.decontaminate import contamination
-from rankweave.llm.line_dedup import aligned, without_shared_lines
+from rankweave.llm.line_dedup import _doomed, aligned, without_shared_lines
 from rankweave.llm.minhash_dedup import near_duplicates
 from rankweave.llm.quality_classifier import co_train, quality_scores
 from rankweave.llm.quality_rules import estimate, quality_by_rules
@@ -235,6 +235,28 @@ def test_line_dedup(spark):
     assert got == {1: texts[1], 2: "something of its own here\n", 3: texts[3], 4: "", 5: texts[5], 6: None, 7: "", 8: texts[8]}
 
 
+def test_line_dedup_of_frequent_short_lines(spark):
+    """Blocks of short lines, each first seen alone, and more than eight holders: as if all pairs were aligned."""
+    rng = random.Random(3)
+    blocks = [[f"menu {k} {i}" for i in range(7)] for k in range(3)]
+    texts = dict(enumerate(f"{line}\nown text of document {line}, no other has it" for block in blocks for line in block))
+    for i in range(len(texts), len(texts) + 40):
+        block = rng.choice(blocks)
+        low = rng.randrange(4)
+        part = block[low : low + rng.randint(3, 7)]
+        if rng.random() < 0.3:
+            part.insert(rng.randrange(1, len(part)), "")
+        texts[i] = "\n".join([f"head of {i} and of no other", *part, f"tail of {i}"])
+    split = {i: t.split("\n") for i, t in texts.items()}
+    expected = {}
+    for i, b in split.items():
+        pairs = (_doomed([x.strip() for x in split[j]], [x.strip() for x in b], [len(x) for x in b], 30) for j in range(i))
+        gone = {k for p in pairs for k in p}
+        expected[i] = "\n".join(x for k, x in enumerate(b) if k not in gone)
+    assert sum(expected[i] != texts[i] for i in texts) > 20
+    assert {r.doc_id: r.kept_text for r in without_shared_lines(frame(spark, texts)).collect()} == expected
+
+
 def test_classifier_on_held_out_documents(spark, sf):
     d = sf.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), queries.good_labels(spark, d)
