@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankweave.llm.shared import saved
 from rankweave.operators.vocab import normalised, resolve
 
 # Words without content, and prices in USD for a million tokens (in, out).
@@ -43,25 +45,25 @@ def word_scores(overlap: DataFrame) -> DataFrame:
 
 
 def k_at_target(golden: DataFrame, chunks: DataFrame, target: float = 0.9, most: int = 25) -> DataFrame:
-    """(record_id, k): how many chunks a greedy cover takes to hold the share target of the record's words."""
-    c = chunks.select("passage_id", F.explode(content_words(F.col("text"))).alias("word"))
+    """(record_id, k): how many chunks a greedy cover takes to hold the share target of the record's words.
+
+    Each round is a job over all records: the chunk with the most words not yet held, the smallest
+    passage_id on a tie. Sets of words that are left alike, or empty, are merged after each round.
+    """
+    c = chunks.select("passage_id", content_words(F.col("text")).alias("w")).repartition("passage_id").select("passage_id", F.explode("w").alias("word"))
     g = golden.select("record_id", F.size(F.array_distinct("words")).alias("n_words"), F.explode(F.array_distinct("words")).alias("word"))
-    held = g.join(c, "word").groupBy("record_id", "n_words", "passage_id").agg(F.array_sort(F.collect_list("word")).alias("held"))
-    held = held.groupBy("record_id", "n_words", "held").agg(F.min("passage_id").alias("passage_id"))
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("passage_id")
-        sets, k, need, got = [set(x) for x in part["held"]], 0, target * part["n_words"].iloc[0], set()
-        while len(got) < need and k < most:
-            gain = max(sets, key=lambda s: len(s - got))
-            if not gain - got:
-                break
-            got |= gain
-            k += 1
-        return pd.DataFrame({"record_id": [part["record_id"].iloc[0]], "k": [k]})
-
-    kind = dict(golden.dtypes)["record_id"]
-    counted = held.groupBy("record_id").applyInPandas(run, f"record_id {kind}, k long")
+    met = c.join(F.broadcast(g), "word").groupBy("passage_id", "record_id", "n_words").agg(F.array_sort(F.collect_set("word")).alias("held"))
+    left = met.withColumn("need", target * F.col("n_words")).where("need > 0").groupBy("record_id", "need", "held").agg(F.min("passage_id").alias("passage_id"))
+    taken = []
+    for _ in range(most):
+        left = saved(left)
+        best = saved(left.groupBy("record_id").agg(F.min_by("held", F.struct(-F.size("held"), "passage_id")).alias("best")))
+        if best.isEmpty():
+            break
+        taken.append(best.select("record_id"))
+        rest = left.join(F.broadcast(best), "record_id").select("record_id", (F.col("need") - F.size("best")).alias("need"), F.array_except("held", "best").alias("held"), "passage_id")
+        left = rest.where((F.col("need") > 0) & (F.size("held") > 0)).groupBy("record_id", "need", "held").agg(F.min("passage_id").alias("passage_id"))
+    counted = reduce(DataFrame.unionByName, taken, golden.select("record_id").limit(0)).groupBy("record_id").agg(F.count("*").alias("k"))
     return golden.select("record_id").join(counted, "record_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
 
 

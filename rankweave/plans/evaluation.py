@@ -38,9 +38,8 @@ def e02_word_overlap(spark, d):
 
 @plans()
 def e03_k_at_target(spark, d):
-    """Chunks of 400 characters of the documents that have the benchmark's texts."""
-    few = table(spark, d, "documents").join(relevant(spark, d).select(F.col("passage_id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    s = C.build_spans(few.select("source", F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("title"), "text"))
+    """Chunks of 400 characters of all documents."""
+    s = C.build_spans(table(spark, d, "documents").select("source", F.col("doc_id").alias("ord"), F.col("doc_id").cast("string").alias("doc_id"), F.lit("").alias("title"), "text"))
     c = C.chunk_recursive(s, 400, 0).select(F.format_string("%12s#%05d", "doc_id", "chunk_no").alias("passage_id"), "text")
     return E.k_at_target(golden(spark, d), c)
 

@@ -14,6 +14,7 @@ from rankweave.operators import graph as G
 from rankweave.operators import question as Q
 from rankweave.operators import retrieve as R
 from rankweave.operators import vocab as V
+from rankweave.plans import evaluation as PE
 from rankweave.sources import runs as S
 
 
@@ -180,3 +181,17 @@ def test_run_files(spark, tmp_path):
     assert [(x.file, x.n_records) for x in S.list_runs(S.read_run_files(spark, str(tmp_path))).collect()] == [("pdf-1.json", 1)]
     (tmp_path / "q.txt").write_text("# no\n\nhow?\n")
     assert [(x.query_id, x.question) for x in S.read_questions(spark, str(tmp_path / "q.txt")).collect()] == [("u_0003", "how?")]
+
+
+def test_cover_by_chunks_of_all_documents(spark, tmp_path):
+    """Documents that do not start like a benchmark text hold its words too; ties go by passage_id."""
+    text = "alpha bravo charlie delta foxtrot golf hotel india juliet kilo"
+    docs = [(1, "s", "juliet kilo hotel"), (2, "s", "alpha bravo charlie delta"), (3, "t", "delta charlie bravo hotel foxtrot"), (4, "t", "india juliet"), (5, "t", "nothing of it")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, text), (8, "zulu yankee"), (9, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = {w for w in text.split() if len(w) > 3}
+    sets, got, k = [words & set(t.split()) for _, _, t in docs], set(), 0
+    while len(got) < 0.9 * len(words) and any(x - got for x in sets):
+        got |= max(sets, key=lambda x: len(x - got))
+        k += 1
+    assert {r.record_id: r.k for r in PE.e03_k_at_target(spark, str(tmp_path)).collect()} == {7: k, 8: 0, 9: 0} and k == 4
