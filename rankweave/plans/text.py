@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rankweave.operators import context as A
@@ -106,9 +110,25 @@ def x13_filter_public_urls(spark, d):
 SELECT source, md5(string_agg(t, chr(1) ORDER BY doc_id)) AS digest FROM (SELECT doc_id, array_to_string(list_concat([coalesce(nullif(l[1], ''), '(untitled)'), lang], CASE WHEN h > 0 THEN list_concat(['Ingredients:'], list_transform(l[:h], lambda x: '- ' || x)) ELSE [] END,
 CASE WHEN len(l) > h THEN list_concat(['Method:'], list_transform(range(h + 1, len(l) + 1), lambda i: (i - h) || '. ' || l[i])) ELSE [] END), chr(10)) AS t FROM r) JOIN documents USING (doc_id) GROUP BY source""")
 def x14_render_records(spark, d):
-    r = records(spark, d).select("source", F.col("record_id").cast("long").alias("n"), X.render_records(None).alias("t"))
-    g = r.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("l"))
-    return g.select("source", F.md5(F.array_join("l.t", "\1")).alias("digest"))
+    """A digest of each source's texts in order, taken text by text; no text of a whole source is made."""
+    r = records(spark, d).select("source", F.col("record_id").cast("long").alias("n"), X.render_records(None).alias("t")).where("t IS NOT NULL")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, digest = None, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([digest.hexdigest()])], ["source", "digest"])
+        for batch in batches:
+            for s, t in zip(batch.column(0), batch.column(1), strict=True):
+                if digest is None or s.as_py() != source:
+                    if digest is not None:
+                        yield done()
+                    source, digest = s.as_py(), hashlib.md5()
+                else:
+                    digest.update(b"\1")
+                digest.update(t.as_py().encode())
+        if digest is not None:
+            yield done()
+
+    return r.repartition("source").sortWithinPartitions("source", "n", "t").select("source", "t").mapInArrow(run, "source string, digest string")
 
 
 @plans(r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\b(?:" + "|".join(X.ACTIONS["serve"].split(", ")) + r")\b') THEN 1 ELSE 0 END AS serves FROM documents WHERE lang = 'en'")

@@ -1,5 +1,6 @@
 """Pinned facts on small frames."""
 
+import hashlib
 import json
 
 import pytest
@@ -15,6 +16,7 @@ from rankweave.operators import question as Q
 from rankweave.operators import retrieve as R
 from rankweave.operators import vocab as V
 from rankweave.plans import evaluation as PE
+from rankweave.plans import text as PT
 from rankweave.sources import runs as S
 
 
@@ -195,3 +197,14 @@ def test_cover_by_chunks_of_all_documents(spark, tmp_path):
         got |= max(sets, key=lambda x: len(x - got))
         k += 1
     assert {r.record_id: r.k for r in PE.e03_k_at_target(spark, str(tmp_path)).collect()} == {7: k, 8: 0, 9: 0} and k == 4
+
+
+def test_digest_of_a_source_without_its_text(spark, tmp_path):
+    """No row has all texts of a source."""
+    docs = [(2, "s", "é two", "en"), (1, "s", "one", "en"), (3, "t", "three", "de"), (10, "s", "ten", "en")]
+    spark.createDataFrame(docs, "doc_id long, source string, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = PT.x14_render_records(spark, str(tmp_path))
+    text = lambda i: next(f"{t}\n{lang}\nMethod:\n1. {t}" for k, _, t, lang in docs if k == i)
+    digest = lambda *ids: hashlib.md5("\1".join(map(text, ids)).encode()).hexdigest()
+    assert {r.source: r.digest for r in out.collect()} == {"s": digest(1, 2, 10), "t": digest(3)}
+    assert "collect_list" not in out._jdf.queryExecution().toString()
