@@ -14,11 +14,13 @@ from pyspark.sql.window import Window
 from rankweave.functions.vectors import token_f1
 
 QUERY_BLOCK = 4096
+PLACES = 9
 
 
-def ranked(scored: DataFrame, k: int | None, ties: str = "passage_id") -> DataFrame:
-    """Hits by score; the k best of each question."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), ties)
+def ranked(scored: DataFrame, k: int | None, ties: str = "passage_id", places: int | None = None) -> DataFrame:
+    """Hits by score, to so many places if given, so that sums in another order tie; the k best of each question."""
+    score = F.col("score") if places is None else F.round("score", places)
+    order = Window.partitionBy("query_id").orderBy(score.desc(), ties)
     out = scored.withColumn("rank", F.row_number().over(order))
     return out if k is None else out.where(F.col("rank") <= k)
 
@@ -43,10 +45,10 @@ def _padded(hits: DataFrame, queries: DataFrame, passages: DataFrame, k: int) ->
     """hits with passages of score 0, lowest ids first, up to k for each question."""
     low = passages.select("passage_id").distinct().orderBy("passage_id").limit(2 * k)
     zero = F.broadcast(low).join(queries.select("query_id").distinct()).join(hits.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti").withColumn("score", F.lit(0.0))
-    return ranked(hits.select("query_id", "passage_id", "score").unionByName(zero.select("query_id", "passage_id", "score")), k)
+    return ranked(hits.select("query_id", "passage_id", "score").unionByName(zero.select("query_id", "passage_id", "score")), k, places=PLACES)
 
 
-def bm25_topk(queries: DataFrame, passages: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, pad_zero: bool = False, index: tuple[DataFrame, DataFrame] | None = None, allowed: DataFrame | None = None) -> DataFrame:
+def bm25_topk(queries: DataFrame, passages: DataFrame, k: int | None, k1: float = 1.5, b: float = 0.75, pad_zero: bool = False, index: tuple[DataFrame, DataFrame] | None = None, allowed: DataFrame | None = None) -> DataFrame:
     """Okapi BM25 of queries(query_id, text). Statistics are the corpus's, even where allowed(query_id, passage_id) restricts the candidates.
 
     A term that more than half of the passages have would count negatively; it counts a quarter of
@@ -64,7 +66,7 @@ def bm25_topk(queries: DataFrame, passages: DataFrame, k: int, k1: float = 1.5,
     if allowed is not None:
         met = met.join(allowed.select("query_id", "passage_id").distinct(), ["query_id", "passage_id"], "left_semi")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
-    hits = ranked(met.groupBy("query_id", "passage_id").agg(F.sum(part).alias("score")), k)
+    hits = ranked(met.groupBy("query_id", "passage_id").agg(F.sum(part).alias("score")), k, places=PLACES)
     return _padded(hits, queries, passages, k) if pad_zero else hits
 
 
@@ -89,7 +91,7 @@ def tfidf_topk(queries: DataFrame, passages: DataFrame, k: int, ngram_max: int =
     if allowed is not None:
         met = met.join(allowed.select("query_id", "passage_id").distinct(), ["query_id", "passage_id"], "left_semi")
     met = met.groupBy("query_id", "passage_id").agg(F.sum(F.col("pw") * F.col("w")).alias("dot"))
-    hits = ranked(met.join(pn, "passage_id").join(qn, "query_id").select("query_id", "passage_id", (F.col("dot") / (F.col("pn") * F.col("qn"))).alias("score")), k)
+    hits = ranked(met.join(pn, "passage_id").join(qn, "query_id").select("query_id", "passage_id", (F.col("dot") / (F.col("pn") * F.col("qn"))).alias("score")), k, places=PLACES)
     return _padded(hits, queries, passages, k) if pad_zero else hits
 
 

@@ -48,7 +48,7 @@ SELECT count(*) AS n_questions, round(avg(CASE WHEN h.query_id IS NULL THEN 0 EL
 def minimum_slice(spark, d):
     """BM25 for every benchmark text, without toxic documents; the share of questions with a document that has the text."""
     p = passages(spark, d)
-    hits = R.bm25_topk(questions(spark, d), p, 10**6).join(toxic(spark, d), "passage_id", "left_anti").select("query_id", "passage_id", "score")
+    hits = R.bm25_topk(questions(spark, d), p, None).join(toxic(spark, d), "passage_id", "left_anti").select("query_id", "passage_id", "score")
     top = R.ranked(stable(hits), 5)
     rel = relevant(spark, d)
     m = E.ranking_metrics(rel.select("query_id").distinct(), top.withColumnRenamed("passage_id", "record_id"), rel.withColumnRenamed("passage_id", "record_id"))
@@ -57,12 +57,12 @@ def minimum_slice(spark, d):
 
 @plans(BM25 + ROUNDED + "bm25 WHERE rank <= 5")
 def r03_bm25_topk(spark, d):
-    return rounded(R.ranked(stable(R.bm25_topk(questions(spark, d), passages(spark, d), 200)).drop("rank"), 5))
+    return rounded(R.bm25_topk(questions(spark, d), passages(spark, d), 5))
 
 
 @plans(TFIDF + ROUNDED + "tfidf WHERE rank <= 5")
 def r04_tfidf_topk(spark, d):
-    return rounded(R.ranked(stable(R.tfidf_topk(questions(spark, d), passages(spark, d), 200)).drop("rank"), 5))
+    return rounded(R.tfidf_topk(questions(spark, d), passages(spark, d), 5))
 
 
 @plans(with_("dn", "dense") + ROUNDED + "dense WHERE rank <= 10")
@@ -72,7 +72,7 @@ def r02_dense_topk(spark, d):
 
 def _lists(spark, d, n=50):
     q, p = questions(spark, d), passages(spark, d)
-    return [R.ranked(stable(f(q, p, 200)).drop("rank"), n) for f in (R.bm25_topk, R.tfidf_topk)]
+    return [stable(f(q, p, n)) for f in (R.bm25_topk, R.tfidf_topk)]
 
 
 @plans(BOTH + """, f AS (SELECT query_id, passage_id, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM bm25 WHERE rank <= 50 UNION ALL SELECT * FROM tfidf WHERE rank <= 50) GROUP BY ALL),
@@ -118,7 +118,7 @@ def r07_mmr(spark, d):
 s AS (SELECT query_id, passage_id, 2.0 * len(list_intersect(a, c)) / (len(a) + len(c)) AS score FROM pair), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM s) """ + ROUNDED + "r WHERE rank <= 5")
 def r08_rerank(spark, d):
     q, p = questions(spark, d), passages(spark, d)
-    return rounded(R.rerank(R.ranked(stable(R.bm25_topk(q, p, 200)).drop("rank"), 20), q, p, 5))
+    return rounded(R.rerank(R.bm25_topk(q, p, 20), q, p, 5))
 
 
 @plans()

@@ -208,3 +208,11 @@ def test_digest_of_a_source_without_its_text(spark, tmp_path):
     digest = lambda *ids: hashlib.md5("\1".join(map(text, ids)).encode()).hexdigest()
     assert {r.source: r.digest for r in out.collect()} == {"s": digest(1, 2, 10), "t": digest(3)}
     assert "collect_list" not in out._jdf.queryExecution().toString()
+
+
+def test_ties_of_rounded_scores_before_the_cut(spark):
+    """Scores that differ only past the ninth place are ties, and the smallest ids of all tied are kept."""
+    p = spark.createDataFrame([(i, "saffron" + " plain" * (400 - i)) for i in range(300)] + [(1000 + i, "other words") for i in range(400)], "passage_id long, text string")
+    q = spark.createDataFrame([(1, "saffron")], "query_id long, text string")
+    hits = R.bm25_topk(q, p, 3, b=1e-13).collect()
+    assert sorted((r.rank, r.passage_id) for r in hits) == [(1, 0), (2, 1), (3, 2)]
