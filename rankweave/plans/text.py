@@ -111,20 +111,20 @@ SELECT source, md5(string_agg(t, chr(1) ORDER BY doc_id)) AS digest FROM (SELECT
 CASE WHEN len(l) > h THEN list_concat(['Method:'], list_transform(range(h + 1, len(l) + 1), lambda i: (i - h) || '. ' || l[i])) ELSE [] END), chr(10)) AS t FROM r) JOIN documents USING (doc_id) GROUP BY source""")
 def x14_render_records(spark, d):
     """A digest of each source's texts in order, taken text by text; no text of a whole source is made."""
-    r = records(spark, d).select("source", F.col("record_id").cast("long").alias("n"), X.render_records(None).alias("t")).where("t IS NOT NULL")
+    r = records(spark, d).select("source", F.col("record_id").cast("long").alias("n"), X.render_records(None).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        source, digest = None, None
+        source, digest, mark = None, None, b""
         done = lambda: pa.RecordBatch.from_arrays([pa.array([source], pa.string()), pa.array([digest.hexdigest()])], ["source", "digest"])
         for batch in batches:
             for s, t in zip(batch.column(0), batch.column(1), strict=True):
                 if digest is None or s.as_py() != source:
                     if digest is not None:
                         yield done()
-                    source, digest = s.as_py(), hashlib.md5()
-                else:
-                    digest.update(b"\1")
-                digest.update(t.as_py().encode())
+                    source, digest, mark = s.as_py(), hashlib.md5(), b""
+                if t.is_valid:
+                    digest.update(mark + t.as_py().encode())
+                    mark = b"\1"
         if digest is not None:
             yield done()
 
