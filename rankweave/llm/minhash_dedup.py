@@ -72,7 +72,7 @@ def signatures(owner: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
 
 def bands(owner: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
     """An n x BANDS array of bucket keys; owner and shingle as for signatures()."""
-    sig = signatures(owner, shingle, n).reshape(n, BANDS, -1)
+    sig = signatures(owner, shingle, n).reshape(n, BANDS, BINS // BANDS)
     key = np.tile(mixed(np.arange(BANDS, dtype=np.uint64) + np.uint64(1)), (n, 1))
     for j in range(sig.shape[2]):
         key = mixed(key ^ sig[:, :, j])

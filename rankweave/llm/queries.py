@@ -173,8 +173,7 @@ SELECT cap.page_id, cap.url, cap.fetched, coalesce(n_entries, 0) AS n_entries, p
 
 def tokens_with_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, n_tokens, tokens, ids_sha256, decoded_sha256) of whole texts."""
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    back = byte_bpe.decode(byte_bpe.encode(docs, path, public_tokenizers.PATTERN), path)
+    back = byte_bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
     ids = F.array_join(F.col("tokens").cast("array<string>"), " ")
     return back.select("doc_id", F.size("tokens").cast("long").alias("n_tokens"), "tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -102,6 +102,37 @@ def test_near_duplicates_of_a_large_group(spark):
     assert got == {d: top(d) for d in texts}
 
 
+@pytest.mark.parametrize("size", [4, 5, 9, 20, 60, 100, 300])
+def test_bands_meet(size):
+    """Sets of a similarity of 0.8 (of at least, where sizes allow no other) share a bucket."""
+    import numpy as np
+
+    from rankweave.llm.minhash_dedup import bands
+
+    rng, pairs = np.random.default_rng(size), 2000
+    missed = 0
+    own = max(1, size // 9) if size > 8 else 1
+    for low in range(0, pairs, 500):
+        owner, values = [], []
+        for k in range(500):
+            common = rng.integers(0, 2**63, size, dtype=np.uint64)
+            sides = (own, own) if size > 8 else (1, 0)
+            for side, extra in enumerate(sides):
+                v = np.sort(np.concatenate((common, rng.integers(0, 2**63, extra, dtype=np.uint64)))) * np.uint64(2)
+                owner.append(np.full(len(v), 2 * k + side))
+                values.append(v)
+        keys = bands(np.concatenate(owner), np.concatenate(values), 1000)
+        missed += int((~(keys[::2] == keys[1::2]).any(1)).sum())
+    assert missed == 0
+
+
+def test_near_duplicates_of_a_repeated_id(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(5, text("a")), (5, text("b")), (7, text("a") + " more"), (8, text("b") + " more"), (9, text("c")), (2, text("a")), (5, None)]
+    got = {(r.doc_id, r.n_shingles > 0): r.component_id for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(5, True): 2, (7, True): 2, (8, True): 2, (9, True): 9, (2, True): 2, (5, False): 5}
+
+
 def test_substring_dedup(spark):
     texts = corpus(4, 70)
     words = {d: re.findall(SPACE, t or "") for d, t in texts.items()}
@@ -211,15 +242,61 @@ def test_byte_bpe_against_the_library(spark, sf):
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
 
 
+def merged(ranks, piece):
+    """Ids by merging the pair of least rank, again and again."""
+    parts = [piece[i : i + 1] for i in range(len(piece))]
+    while len(parts) > 1:
+        best, at = min((ranks.get(parts[i] + parts[i + 1], len(ranks)), i) for i in range(len(parts) - 1))
+        if best == len(ranks):
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
 def test_byte_bpe_appends_and_edits():
     vocabulary = byte_bpe.Vocabulary.from_text(byte_bpe._lines(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     piece = b" internationalisations"
     table = vocabulary.extend(piece[:6], [-1])
     vocabulary.extend(piece, table)
     for end in range(1, len(piece) + 1):
-        assert vocabulary.ids(table, end) == vocabulary.merged(piece[:end])
-    edited = piece[:9] + b"X" + piece[10:]
-    assert vocabulary.ids(vocabulary.extend(edited, table[:10])) == vocabulary.merged(edited)
+        assert vocabulary.ids(table, end) == merged(vocabulary.ranks, piece[:end])
+    rng = random.Random(4)
+    long = b" ".join(bytes(rng.choice(b"etaoinshr") for _ in range(rng.randint(1, 9))) for _ in range(400))
+    table = vocabulary.extend(long, [-1])
+    for low, high, put in ((9, 10, b"X"), (0, 4, b""), (700, 700, b"inserted here"), (len(long) - 3, len(long), b"end")):
+        new, again, looked = vocabulary.edited(long, table, low, high, put)
+        assert new == long[:low] + put + long[high:] and again == vocabulary.extend(new, [-1])
+        assert looked <= len(put) + 2 * vocabulary.longest
+    assert vocabulary.ids(again) == merged(vocabulary.ranks, new)
+
+
+def test_byte_bpe_pieces():
+    import numpy as np
+    import regex
+
+    rng, pattern = random.Random(8), regex.compile(public_tokenizers.PATTERN)
+    assert byte_bpe.BY_CLASS == public_tokenizers.PATTERN
+    texts = ["", "'s't're", "x's  'sfoo", " 's\n's"] + ["".join(rng.choice("ab1½é日🎉'' \n\t\u3000.strevmld") for _ in range(rng.randint(0, 40))) for _ in range(3000)]
+    sizes = [len(t.encode()) for t in texts]
+    offsets = np.concatenate(([0], np.cumsum(sizes)))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    want, at = [], 0
+    for t, n in zip(texts, sizes):
+        want += [at + len(t[: m.start()].encode()) for m in pattern.finditer(t)]
+        at += n
+    assert byte_bpe.pieces_by_class(data, offsets).tolist() == want
+    start, size = byte_bpe._pieces_by_regex(pattern, data, offsets)
+    assert start.tolist() == want and (start + size).tolist() == [*want[1:], len(data)]
+
+
+def test_byte_bpe_decodes_any_tokens(spark):
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    rows = [(1, [1, 2, 3]), (2, []), (3, None), (None, [5]), (1, [1, 2, 3]), (4, [100] * 50_000)]
+    tokens = byte_bpe.Vocabulary.from_text(byte_bpe._lines(path)).tokens
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<int>").selectExpr("*", "1 AS decoded")
+    got = [(r.doc_id, bytes(r.decoded)) for r in byte_bpe.decode(df, path).collect()]
+    assert got == [(d, b"".join(tokens[i] for i in t or [])) for d, t in rows]
+    assert byte_bpe.decode(df.limit(0), path).collect() == []
 
 
 def test_patience():
