@@ -10,11 +10,12 @@ name the buckets.
 Within a bucket, the member with most company (the hub) is compared with the others (a star); the
 comparison counts both full sets. So a group of n copies gives about n pairs. A bucket is open while
 its members are in different components. Its strangers, the members outside its largest component,
-are then hubs as well. For that the members of open buckets are dealt into blocks of about
-BLOCK_SHINGLES; a block with strangers of a bucket meets the blocks with members of the same bucket
-and another component, unless their sizes rule a link out. A meeting gives at most the links that
-connect them. So no link between members of a bucket is lost, and no rows are made for pairs. Where
-many documents are alike but not linked, this work grows with the strangers times the members.
+are then hubs as well. In a bucket of up to SMALL members that is a pair for each stranger and member.
+The members of larger ones are dealt into blocks of about BLOCK_SHINGLES; a block with strangers of a
+bucket meets the blocks with members of the same bucket and another component, unless their sizes
+rule a link out. A meeting gives at most the links that connect them, and no rows are made for pairs.
+So no link between members of a bucket is lost. Where many documents are alike but not linked, this
+work grows with the strangers times the members.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from rankweave.llm.components import components, merged
 from rankweave.llm.shared import identified, saved
 from rankweave.llm.words import LOWER, Block, blocks, lists, mixed, run_hashes
 
-BINS, BANDS, SALTS, BLOCK_SHINGLES = 128, 32, 64, 1 << 16
+BINS, BANDS, SALTS, SMALL, BLOCK_SHINGLES = 128, 32, 64, 16, 1 << 16
 #: Up to so many texts of two blocks that have a shingle, pairs are counted one by one, beyond by a matrix product.
 FEW = 16
 _TAG = np.uint64(0xA24BAED4963EE407)
@@ -153,10 +154,10 @@ def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """(key, node, n, label, home): members of buckets with more than one component; home is the label of the largest."""
+    """(key, node, n, label, home, held): members of buckets with more than one component; home is the label of the largest, held counts all."""
     now = _labelled(members.select("key", "node", "n"), labels)
     sizes = now.groupBy("key", "label").agg(F.count("*").alias("size"))
-    homes = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("home"), F.count("*").alias("labels"))
+    homes = sizes.groupBy("key").agg(F.max_by("label", F.struct("size", -F.col("label"))).alias("home"), F.count("*").alias("labels"), F.sum("size").alias("held"))
     return now.join(homes.where("labels > 1").drop("labels"), "key")
 
 
@@ -204,8 +205,15 @@ def _links(ids: np.ndarray, labels: np.ndarray, texts: pa.Array, words: int, per
     return out
 
 
-def links_of_strangers(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """members, a result of _open(), and texts(doc_id, text_hash, text) -> (a, b): links that join components."""
+def _pairs_of_strangers(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes of different components in the same small bucket, one of them a stranger."""
+    hubs = members.where("label != home").select("key", F.col("node").alias("hub_node"), F.col("n").alias("hub_n"), F.col("label").alias("hub_label"))
+    meet = members.join(hubs, "key").where("label != hub_label").where(100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
+    return meet.select(*_pair("node", "hub_node"))
+
+
+def _blocks_of_strangers(members: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """(i, j, doc_id, label, text): the documents of each two blocks that are to meet."""
     dealt = members.groupBy("node").agg(F.min(F.struct("key", "home")).alias("first"), F.any_value("n").alias("n"), F.any_value("label").alias("label"))
     dealt = dealt.select("node", "n", "label", F.col("first")["home"].alias("group"), (F.col("label") == F.col("first")["home"]).alias("at_home"))
     mass = dealt.groupBy("group", "at_home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
@@ -213,17 +221,22 @@ def links_of_strangers(members: DataFrame, texts: DataFrame, words: int, percent
     dealt = saved(dealt.select("node", "n", "label", "block"))
 
     strange = F.max(F.col("label") != F.col("home")).alias("strange")
-    placed = members.select("key", "node", "home").join(dealt, "node")
-    held = placed.groupBy("key", "block").agg(strange, F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    held = members.select("key", "node", "home").join(dealt, "node").groupBy("key", "block")
+    held = held.agg(strange, F.min("label").alias("low"), F.max("label").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
     left = held.where("strange").select("key", *(F.col(c).alias(f"{c}_i") for c in ("block", "low", "high", "least", "most")))
     meet = left.join(held, "key").where("NOT (low = high AND low_i = high_i AND low = low_i)")
     meet = meet.where(100 * F.least("most", "most_i") >= percent * F.greatest("least", "least_i"))
-    meet = meet.select("key", F.least("block_i", "block").alias("i"), F.greatest("block_i", "block").alias("j")).distinct()
+    meet = meet.select(F.least("block_i", "block").alias("i"), F.greatest("block_i", "block").alias("j")).distinct()
 
-    sides = meet.select("key", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    guests = placed.select("key", "block", "node", "label").join(sides, ["key", "block"]).select("i", "j", "node", "label").distinct()
+    sides = meet.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     of = texts.select(F.struct("doc_id", "text_hash").alias("node"), "text")
-    rows = guests.join(of, "node").select("i", "j", F.col("node")["doc_id"].alias("doc_id"), "label", "text")
+    return dealt.join(of, "node").join(sides, "block").select("i", "j", F.col("node")["doc_id"].alias("doc_id"), "label", "text")
+
+
+def links_of_strangers(members: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """members, a result of _open(), and texts(doc_id, text_hash, text) -> (a, b): links that join components."""
+    few = confirmed(_with_texts(_pairs_of_strangers(members.where(F.col("held") <= SMALL), percent), texts), words, percent)
+    rows = _blocks_of_strangers(members.where(F.col("held") > SMALL), texts, percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for meeting in _runs(batches):
@@ -231,7 +244,7 @@ def links_of_strangers(members: DataFrame, texts: DataFrame, words: int, percent
             links = np.array(_links(ids, labels, meeting["text"].combine_chunks(), words, percent), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
-    return rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "a long, b long")
+    return few.unionByName(rows.repartition("i", "j").sortWithinPartitions("i", "j").mapInArrow(run, "a long, b long"))
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
