@@ -21,22 +21,19 @@ from pyspark.sql import functions as F
 from rankweave.llm.shared import identified, saved
 from rankweave.llm.words import Block, blocks, run_hashes
 
-#: Name, condition of a bad document, condition of a good one.
+#: Name, condition of a bad document, condition of a good one. No rule restates the base rule (length, repeats).
 RULES: tuple[tuple[str, str, str], ...] = (
-    ("word_length", "word_chars < 2.5 * n_words OR word_chars > 12 * n_words", "word_chars BETWEEN 3 * n_words AND 10 * n_words"),
+    ("word_length", "word_chars < 3.5 * n_words OR word_chars > 7 * n_words", "word_chars BETWEEN 4 * n_words AND 6 * n_words"),
     ("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    ("duplicate_lines", "10 * n_dup_lines > 4 * n_lines AND n_lines >= 5", "n_dup_lines = 0 AND n_lines > 2"),
-    ("repeated_words", "10 * n_repeat_words > 4 * n_words", "10 * n_repeat_words <= n_words"),
+    ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines", "n_dup_lines = 0 AND n_lines > 2"),
     ("capitals", "10 * n_upper > 4 * n_letters", "10 * n_upper <= n_letters"),
-    ("variety", "n_words >= 20 AND 5 * n_distinct < n_words AND n_words < 2000", "2 * n_distinct >= n_words"),
-    ("sentence_ends", "10 * n_ended < n_lines", "2 * n_ended >= n_lines"),
-    ("exclamations", "10 * n_exclaim > 2 * n_words", "50 * n_exclaim <= n_words"),
-    ("length", "n_words < 50", "n_words >= 80"),
+    ("variety", "ln(n_distinct) < 0.9 * ln(n_words)", "ln(n_distinct) >= 0.94 * ln(n_words)"),
+    ("sentence_ends", "10 * n_ended < 7 * n_lines", "10 * n_ended >= 9 * n_lines"),
+    ("exclamations", "20 * n_exclaim > n_words", "50 * n_exclaim <= n_words"),
 )
 MAX_RULES = 12
-#: Rates of votes (bad, abstain, good) on bad and on good documents, and the share of good ones, before any is seen.
-BELIEVED, GOOD_SHARE = ((0.15, 0.15, 0.70), (0.003, 0.147, 0.85)), 0.85
-FALSE_ALARMS, LEAST_CAUGHT = 0.003, 0.1
+#: Documents that the prior counts for, of each kind, and how they would vote (bad, abstain, good).
+PRIOR, PRIOR_VOTES = 2.0, ((0.5, 0.3, 0.2), (0.1, 0.3, 0.6))
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_ended", "n_distinct", "n_upper", "n_letters", "n_exclaim")
 
 
@@ -110,32 +107,32 @@ def text_counts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
-def estimate(patterns: list[tuple[list[int], int]], n_rules: int, belief: float = 1.0, rounds: int = 100) -> tuple[float, np.ndarray]:
+def estimate(patterns: list[tuple[list[int], int]], n_rules: int, rounds: int = 200) -> tuple[float, np.ndarray]:
     """(share of good documents, rates) from (votes, number of documents).
 
     rates[c, j, v + 1] is how often rule j votes v on documents that are bad (c = 0) or good
-    (c = 1): its accuracy on either kind, and how often it abstains. BELIEVED counts like `belief`
-    times as many documents as the corpus has of that kind: most bad documents break one rule
-    only, so votes alone would not tell which rules are worth more. For the same reason a rule is
-    taken to vote "bad" on at most FALSE_ALARMS of the good and at least LEAST_CAUGHT of the bad.
+    (c = 1): its accuracy on either kind, and how often it abstains; they sum to 1. The first guess
+    takes the documents with fewer bad votes for the better ones. After that only the votes count, but
+    for a prior of PRIOR documents of each kind, which keeps rates off 0 and 1. So a bad vote of a
+    rule that does not agree with the others comes to weigh little.
     """
-    believed = np.empty((2, n_rules, 3))
-    believed[0], believed[1] = BELIEVED
-    rates, prior = believed.copy(), GOOD_SHARE
+    prior_counts = PRIOR * np.repeat(np.array(PRIOR_VOTES)[:, None, :], n_rules, 1)
     if not patterns:
-        return prior, rates
-    votes, weight = np.array([v for v, _ in patterns]) + 1, np.array([w for _, w in patterns], float)
-    which = np.arange(n_rules)
+        return 0.5, prior_counts / PRIOR
+    votes, weight = np.array([v for v, _ in patterns]).reshape(len(patterns), n_rules) + 1, np.array([w for _, w in patterns], float)
+    which, n_bad = np.arange(n_rules), (votes == 0).sum(1)
+    good = np.where(n_bad > 0, 0.5 - 0.1 * np.minimum(n_bad, 4), 0.9)
     for _ in range(rounds):
-        logit = math.log(prior / (1 - prior)) + np.log(rates[1, which, votes] / rates[0, which, votes]).sum(1)
-        good = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-        prior = float(np.clip((weight * good).sum() / weight.sum(), 0.02, 0.98))
+        rates = prior_counts.copy()
         for c, share in enumerate((weight * (1 - good), weight * good)):
             for v in range(3):
-                rates[c, :, v] = share @ (votes == v)
-            rates[c] = (rates[c] + belief * (share.sum() + 1) * believed[c]) / ((1 + belief) * share.sum() + belief)
-        rates[1, :, 0] = np.minimum(rates[1, :, 0], FALSE_ALARMS)
-        rates[0, :, 0] = np.maximum(rates[0, :, 0], LEAST_CAUGHT)
+                rates[c, :, v] += share @ (votes == v)
+        rates /= rates.sum(2, keepdims=True)
+        prior = float((weight @ good + PRIOR) / (weight.sum() + 2 * PRIOR))
+        logit = math.log(prior / (1 - prior)) + np.log(rates[1, which, votes] / rates[0, which, votes]).sum(1)
+        was, good = good, 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+        if np.abs(good - was).max() < 1e-9:
+            break
     return prior, rates
 
 
@@ -144,21 +141,23 @@ def quality_by_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     votes has 1 (good), -1 (bad) or 0 (abstains) for each rule, quality is the posterior. kept is
     false if base_failed (under 50 words, or more than half of the words in repeated three-word
-    windows), and otherwise whether quality >= threshold. Null, empty and blank texts have no
-    words: base_failed. Rows that repeat a doc_id are rated each. An empty table gives an empty
-    result. Other columns are ignored. At most MAX_RULES rules.
+    windows), and otherwise whether quality >= threshold (a tie is kept). The estimation counts every
+    document that is not base_failed. Null, empty and blank texts have no words: base_failed, and
+    rules whose condition is null abstain. Texts count whole, however long. A null doc_id is rated
+    like any other; rows that repeat one are rated each. An empty table gives an empty result. Other
+    columns are ignored. At most MAX_RULES rules. A job runs when this is called.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"at most {MAX_RULES} rules")
     counts = saved(text_counts(identified(docs, id_col, text_col)))
     votes: list[Column] = [F.expr(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END") for _, bad, good in rules]
-    voted = counts.withColumn("votes", F.array(*votes))
-    patterns = [(list(r["votes"]), r["n"]) for r in voted.groupBy("votes").agg(F.count("*").alias("n")).collect()]  # at most 3 ** MAX_RULES
+    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
+    voted = counts.withColumn("votes", F.array(*votes)).withColumn("base_failed", failed)
+    patterns = [(list(r["votes"]), r["n"]) for r in voted.where("NOT base_failed").groupBy("votes").agg(F.count("*").alias("n")).collect()]  # at most 3 ** MAX_RULES
     prior, rates = estimate(sorted(patterns), len(rules))
     logit = F.lit(math.log(prior / (1 - prior)))
     for j, (on_bad, on_good) in enumerate(zip(rates[0], rates[1], strict=True)):
         weight = [float(x) for x in np.log(on_good / on_bad)]
         logit = logit + F.get(F.array(*(F.lit(x) for x in weight)), F.col("votes")[j] + 1)
-    failed = F.expr("n_words < 50 OR 100 * n_repeat_words > 50 * n_words")
-    out = voted.withColumn("quality", 1 / (1 + F.exp(-logit))).withColumn("base_failed", failed)
+    out = voted.withColumn("quality", 1 / (1 + F.exp(-logit)))
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

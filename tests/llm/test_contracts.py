@@ -194,16 +194,55 @@ def test_quality_rules(spark, sf):
     assert right[True] / sum(right.values()) > 0.97
 
 
-def test_estimated_accuracies_tell_good_rules():
+def plain_em(votes, rounds=200):
+    """The same estimation, document by document, in plain Python; the posterior of each document."""
+    n_rules = len(votes[0])
+    good = [0.5 - 0.1 * min(v.count(-1), 4) if -1 in v else 0.9 for v in votes]
+    for _ in range(rounds):
+        rates = [[{-1: 2 * a, 0: 2 * b, 1: 2 * c} for _ in range(n_rules)] for a, b, c in ((0.5, 0.3, 0.2), (0.1, 0.3, 0.6))]
+        for v, g in zip(votes, good):
+            for j, x in enumerate(v):
+                rates[0][j][x] += 1 - g
+                rates[1][j][x] += g
+        total = [sum(rates[c][0].values()) for c in (0, 1)]
+        share = (sum(good) + 2) / (len(votes) + 4)
+        for i, v in enumerate(votes):
+            odds = share / (1 - share)
+            for j, x in enumerate(v):
+                odds *= (rates[1][j][x] / total[1]) / (rates[0][j][x] / total[0])
+            good[i] = odds / (1 + odds)
+    return good
+
+
+def test_estimated_accuracies_overrule_a_poor_rule():
+    """Three rules tell bad documents, the fourth votes bad on any tenth document."""
     rng = random.Random(3)
-    patterns = Counter()
+    votes = []
     for _ in range(4000):
         good = rng.random() < 0.9
-        votes = tuple((-1 if rng.random() < (0.001 if good else 0.6) else 1) for _ in range(4))
-        patterns[votes] += 1
+        votes.append(tuple(-1 if rng.random() < (0.001 if good else 0.7) else 1 for _ in range(3)) + (-1 if rng.random() < 0.1 else 1,))
+    patterns = Counter(votes)
     prior, rates = estimate([(list(v), n) for v, n in patterns.items()], 4)
-    assert 0.85 < prior < 0.95
-    assert (rates[0, :, 0] > 0.25).all() and (rates[1, :, 0] < 0.01).all()
+    assert 0.85 < prior < 0.95 and abs(rates.sum(2) - 1).max() < 1e-9
+    assert (rates[0, :3, 0] > 0.6).all() and (rates[1, :3, 0] < 0.01).all() and abs(rates[0, 3, 0] - rates[1, 3, 0]) < 0.1
+    plain = dict(zip(votes, plain_em(votes)))
+    for v in plain:
+        odds = prior / (1 - prior)
+        for j, x in enumerate(v):
+            odds *= rates[1, j, x + 1] / rates[0, j, x + 1]
+        assert abs(odds / (1 + odds) - plain[v]) < 1e-4
+    assert plain[1, 1, 1, -1] > 0.9 and plain[-1, -1, 1, 1] < 0.1
+
+
+def test_rules_are_not_all_to_pass(spark, sf):
+    """The verdict against plain estimation over all documents, and against labels."""
+    d = sf.replace("0.001", "0.01")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    rows = [r for r in quality_by_rules(spark.read.parquet(f"{d}/documents.parquet")).collect() if not r.base_failed]
+    plain = plain_em([tuple(r.votes) for r in rows])
+    assert all(abs(r.quality - p) < 1e-4 for r, p in zip(rows, plain))
+    assert any(r.kept and -1 in r.votes for r in rows)
+    assert all(labels[r.doc_id] == int(r.kept) for r in rows if r.doc_id in labels)
 
 
 def test_chat_round_trip(spark):
