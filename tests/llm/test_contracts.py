@@ -13,7 +13,7 @@ from rankweave.llm import byte_bpe, chat_format, queries
 from rankweave.llm.decontaminate import contamination
 from rankweave.llm.line_dedup import _doomed, aligned, without_shared_lines
 from rankweave.llm.minhash_dedup import near_duplicates
-from rankweave.llm.quality_classifier import co_train, quality_scores
+from rankweave.llm.quality_classifier import quality_scores
 from rankweave.llm.quality_rules import estimate, quality_by_rules
 from rankweave.llm.secret_scan import secrets
 from rankweave.llm.substring_dedup import without_repeats
@@ -383,20 +383,25 @@ def test_classifier_on_held_out_documents(spark, sf):
     assert sum(good) / len(good) > 0.95
 
 
-def test_views_teach_each_other():
-    """The text says nothing about most labels, the metadata do."""
-    import numpy as np
-
-    rng = np.random.default_rng(0)
-    style, meta, words, labels = [], [], [], []
-    for i in range(900):
+def test_views_teach_each_other(spark):
+    """No label is of sources b and c; texts tell the metadata view about them, and so about texts that say nothing."""
+    rng = random.Random(0)
+    rows, labels = [], []
+    for i in range(1600):
         good = rng.random() < 0.5
-        style.append(np.array([int(good)] if rng.random() < 0.99 else [2]))
-        meta.append(np.array([int(good) + 5]))
-        words.append(np.zeros(0, np.int64))
-        labels.append(int(good) if i < 60 else None)
-    model = co_train(style, meta, words, labels, sure=0.8)
-    assert max(model.rounds[-1]) > 0 and model.held_out_accuracy > 0.9
+        source = "a" if i < 400 else "b" if good else "c"
+        silent = i >= 1400
+        words = ["same", "words"] if silent else [rng.choice(["bread", "apple", "river"] if good else ["spam", "junk", "noise"]) for _ in range(6)]
+        rows.append((i, " ".join(["some", *words]), "en", source, 40))
+        if i < 400:
+            labels.append((i, int(good)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    scored = quality_scores(docs, spark.createDataFrame(labels, "doc_id long, good int")).collect()
+    silent = [r for r in scored if r.doc_id >= 1400]
+    sources = {r[0]: r[3] for r in rows}
+    least = min(r.meta_score for r in silent if sources[r.doc_id] == "b")
+    assert least > max(r.meta_score for r in silent if sources[r.doc_id] == "c")
+    assert all(r.kept == (sources[r.doc_id] == "b") for r in scored if 400 <= r.doc_id < 1400)
 
 
 def test_secrets(spark):
