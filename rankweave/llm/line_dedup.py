@@ -1,17 +1,18 @@
 """Lines that an earlier document already has, found by shared lines and aligned by patience diff.
 
-A line is known by a hash of its text without the white space around it. Each document that has a
-shared line is paired with the first document that has the line, and, if the line is rare, with
-the document before it among its few holders as well; so a line that n documents share gives about
-n pairs. Runs of lines that are just long enough to be a block are paired likewise, for the lines of
-a block can have first holders that share no more than one short line of it. Each pair's lines are aligned: lines that are unique in both give the longest increasing
-chain, blocks grow around it, and the stretches between are aligned likewise. Aligned blocks are
-deleted from the later document of the pair.
+A line is known by a hash of its text without the white space around it. Lines that are long enough
+to be a block by themselves, and runs of consecutive lines that are just long enough, are keys. Each
+document that has a shared key is paired with the first document that has it; so a key that n
+documents share gives about n pairs, whether it is rare or not, and any block shared with an earlier
+document is in one of the pairs. Each pair's lines are aligned: lines that are unique in both give
+the longest increasing chain, blocks grow around it, and the stretches between are aligned likewise.
+Aligned blocks are deleted from the later document of the pair. Blocks that cross longer ones, which
+no alignment in order can hold, are deleted by their keys in the same step.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -19,13 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from rankweave.llm.shared import saved
 from rankweave.llm.words import blocks, lists, run_hashes
 
-RARE = 8
-
 
 def _runs(h: np.ndarray, size: np.ndarray, offsets: np.ndarray, least_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts' offsets in, and hashes of, runs of two or more lines that have least_bytes, but not without their last line or not without their first.
@@ -44,11 +42,11 @@ def _runs(h: np.ndarray, size: np.ndarray, offsets: np.ndarray, least_bytes: int
 
 
 def line_hashes(docs: DataFrame, least_bytes: int) -> DataFrame:
-    """docs(doc_id, text) -> (doc_id, hashes, sizes, runs): for each line its hash (0 if blank) and its bytes; hashes of _runs()."""
+    """docs(doc_id, text_hash, text) -> (doc_id, text_hash, hashes, sizes, keys): for each line its hash (0 if blank) and its bytes; the distinct keys of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 newline = np.flatnonzero(block.data == 10)
                 start = np.sort(np.concatenate((block.offsets[:-1], newline + 1)))
                 end = np.sort(np.concatenate((newline, block.offsets[1:])))
@@ -60,11 +58,20 @@ def line_hashes(docs: DataFrame, least_bytes: int) -> DataFrame:
                 h[full], size[full] = np.maximum(run_hashes(block.data, low, high), np.uint64(1)), high - low
                 inside = np.concatenate(([0], np.cumsum(block.data == 10)))[block.offsets]
                 offsets = inside + np.arange(len(inside))
-                ids = batch.column(0).slice(block.rows.start, len(block.rows))
+                n = len(block.rows)
+                ids = [batch.column(k).slice(block.rows.start, n) for k in (0, 1)]
                 first_run, runs = _runs(h, size, offsets, least_bytes)
-                yield pa.RecordBatch.from_arrays([ids, lists(offsets, h.view(np.int64)), lists(offsets, size), lists(first_run, runs.view(np.int64))], ["doc_id", "hashes", "sizes", "runs"])
+                long = np.flatnonzero(size >= least_bytes)
+                owner = np.concatenate((np.searchsorted(offsets, long, "right") - 1, np.repeat(np.arange(n), np.diff(first_run))))
+                key = np.concatenate((h[long], runs))
+                order = np.lexsort((key, owner))
+                owner, key = owner[order], key[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])
+                keys = lists(np.concatenate(([0], np.cumsum(np.bincount(owner[new], minlength=n)))), key[new].view(np.int64))
+                yield pa.RecordBatch.from_arrays([*ids, lists(offsets, h.view(np.int64)), lists(offsets, size), keys], ["doc_id", "text_hash", "hashes", "sizes", "keys"])
 
-    return docs.mapInArrow(run, "doc_id long, hashes array<long>, sizes array<long>, runs array<long>")
+    return docs.mapInArrow(run, "doc_id long, text_hash long, hashes array<long>, sizes array<long>, keys array<long>")
 
 
 def _chain(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -112,18 +119,45 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _least_runs(lines: list[int], sizes: list[int], least_bytes: int) -> Iterator[tuple[int, int]]:
+    """(first, after) of runs of lines that have least_bytes, but not without their last or not without their first line; the ends are not blank."""
+    places = [k for k, line in enumerate(lines) if line]
+    total = [0]
+    for k in places:
+        total.append(total[-1] + sizes[k])
+    for k in range(len(places)):
+        after = bisect_left(total, total[k] + least_bytes)
+        if after < len(total):
+            yield places[k], places[after - 1] + 1
+        before = bisect_right(total, total[k + 1] - least_bytes) - 1
+        if before >= 0:
+            yield places[before], places[k] + 1
+
+
 def _doomed(a: list[int], b: list[int], sizes: list[int], least_bytes: int) -> list[int]:
-    """Lines of b in aligned blocks of at least least_bytes."""
-    gone, block, before = [], [], None
+    """Lines of b in aligned blocks of at least least_bytes, or in blocks that cross those; sizes are of b."""
+    gone, block, before = set(), [], None
     for pair in [*aligned(a, b), None]:
         if block and (pair is None or pair != (before[0] + 1, before[1] + 1)):
+            while block and not b[block[-1]]:
+                block.pop()
+            while block and not b[block[0]]:
+                block.pop(0)
             if sum(sizes[j] for j in block) >= least_bytes:
-                gone += block
+                gone.update(block)
             block = []
         if pair:
             block.append(pair[1])
             before = pair
-    return gone
+    size_of = dict(zip(b, sizes, strict=True))
+    held = None
+    for low, high in _least_runs(b, sizes, least_bytes):
+        if not all(j in gone for j in range(low, high)):
+            if held is None:
+                held = {tuple(a[i:j]) for i, j in _least_runs(a, [size_of.get(x, least_bytes) for x in a], least_bytes)}
+            if tuple(b[low:high]) in held:
+                gone.update(range(low, high))
+    return sorted(gone)
 
 
 def _aligned_pairs(least_bytes: int):
@@ -131,8 +165,8 @@ def _aligned_pairs(least_bytes: int):
         for batch in batches:
             for low in range(0, len(batch), 512):
                 part = batch.slice(low, 512)
-                gone = [_doomed(*row, least_bytes) for row in zip(*(part.column(k).to_pylist() for k in (1, 2, 3)), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
+                gone = [_doomed(*row, least_bytes) for row in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "text_hash", "gone"])
 
     return run
 
@@ -142,29 +176,27 @@ def without_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     carried is a struct of the columns named in carry; other columns are ignored.
 
-    A line goes if an aligned block of at least least_bytes of text, counted without white space
-    around lines, is shared with a document of a smaller doc_id; blank lines inside a block go with
-    it. A document is aligned with the first holder of each of its lines and runs; a run that
-    such an alignment leaves out, as it crosses longer ones, is not tried with each further holder.
-    All is judged on the input, so results depend on no order. kept_text has the other lines as
-    they were. A null text stays null; an empty one has one blank line. Rows that repeat a doc_id
-    are one document with the lines of any one of them and lose the same lines; a null doc_id is in
-    no order and stays whole. An empty table gives an empty result.
+    A line goes if it is in a block that a document of a smaller doc_id has too: consecutive lines
+    that begin and end with lines that are not blank and have at least least_bytes of text in all,
+    counted without white space around lines. Blank lines inside a block go with it. All is judged on
+    the input, so results depend on no order. kept_text has the other lines as they were. A null text
+    stays null; an empty one has one blank line; texts count whole, however long. Rows that repeat a
+    doc_id are judged each by its own text, and take nothing from each other; a null doc_id is in no
+    order and stays whole. An empty table gives an empty result. A job runs when this is called.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in carry or (id_col,))).alias("carried"))
-    lines = saved(line_hashes(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), least_bytes).dropDuplicates(["doc_id"]))
-    held = lines.select("doc_id", F.explode(F.array_distinct(F.concat("hashes", "runs"))).alias("line")).where("line != 0")
-    shared = held.groupBy("line").agg(F.count("*").alias("holders"), F.min("doc_id").alias("first")).where("holders > 1")
-    later = held.join(shared, "line")
-    star = later.where("doc_id != first").select(F.col("first").alias("a"), F.col("doc_id").alias("b"))
-    before = F.lag("doc_id").over(Window.partitionBy("line").orderBy("doc_id"))
-    chain = later.where(F.col("holders") <= RARE).select(before.alias("a"), F.col("doc_id").alias("b")).where("a IS NOT NULL")
-    pairs = star.unionByName(chain).distinct()
-
-    texts = pairs.join(lines.select(F.col("doc_id").alias("a"), F.col("hashes").alias("of_a")), "a").join(lines.select(F.col("doc_id").alias("b"), F.col("hashes").alias("of_b"), "sizes"), "b")
-    gone = texts.select(F.col("b").alias("doc_id"), "of_a", "of_b", "sizes").mapInArrow(_aligned_pairs(least_bytes), "doc_id long, gone array<int>")
-    gone = gone.where(F.size("gone") > 0).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-    out = docs.join(gone, "doc_id", "left")
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+    row = ["doc_id", "text_hash"]
+    lines = saved(line_hashes(docs.where("doc_id IS NOT NULL").select(*row, "text"), least_bytes).where("size(keys) > 0").dropDuplicates(row))
+    held = lines.select(*row, F.explode("keys").alias("key"))
+    shared = held.groupBy("key").agg(F.min(F.struct(*row)).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
+    pairs = held.join(shared, "key").where("doc_id > first.doc_id").select(*row, F.col("first")["doc_id"].alias("a"), F.col("first")["text_hash"].alias("hash_a")).distinct()
+
+    texts = pairs.join(lines.select(F.col("doc_id").alias("a"), F.col("text_hash").alias("hash_a"), F.col("hashes").alias("of_a")), ["a", "hash_a"]).join(lines.drop("keys"), row)
+    gone = texts.select(*row, "of_a", "hashes", "sizes").mapInArrow(_aligned_pairs(least_bytes), "doc_id long, text_hash long, gone array<int>")
+    gone = gone.where(F.size("gone") > 0).groupBy(*row).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
+    out = docs.join(gone, row, "left")
     split = F.split("text", "\n")
-    rest = F.array_join(F.filter(split, lambda _, i: ~F.array_contains("gone", i)), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "gone")
+    rest = F.array_join(F.transform(kept, lambda i: F.get(split, i)), "\n")
     return out.select("doc_id", F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_deleted"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(rest).alias("kept_text"), "carried")

@@ -11,7 +11,7 @@ import pytest
 
 from rankweave.llm import byte_bpe, chat_format, queries
 from rankweave.llm.decontaminate import contamination
-from rankweave.llm.line_dedup import _doomed, aligned, without_shared_lines
+from rankweave.llm.line_dedup import aligned, without_shared_lines
 from rankweave.llm.minhash_dedup import near_duplicates
 from rankweave.llm.quality_classifier import quality_scores
 from rankweave.llm.quality_rules import estimate, quality_by_rules
@@ -351,26 +351,52 @@ def test_line_dedup(spark):
     assert got == {1: texts[1], 2: "something of its own here\n", 3: texts[3], 4: "", 5: texts[5], 6: None, 7: "", 8: texts[8]}
 
 
+def without_earlier_blocks(rows, least=30):
+    """The same for (doc_id, text), by every block of every earlier document."""
+    split = [(d, (t or "").split("\n")) for d, t in rows]
+    out = []
+    for d, b in split:
+        gone, earlier = set(), [[x.strip() for x in a] for e, a in split if e < d]
+        held = {tuple(a[i:j]) for a in earlier for i in range(len(a)) for j in range(i + 1, len(a) + 1)}
+        b = [x.strip() for x in b]
+        for i in range(len(b)):
+            for j in range(i + 1, len(b) + 1):
+                if b[i] and b[j - 1] and sum(len(x.encode()) for x in b[i:j]) >= least and tuple(b[i:j]) in held:
+                    gone.update(range(i, j))
+        out.append("\n".join(x for k, x in enumerate(split[len(out)][1]) if k not in gone))
+    return out
+
+
 def test_line_dedup_of_frequent_short_lines(spark):
-    """Blocks of short lines, each first seen alone, and more than eight holders: as if all pairs were aligned."""
+    """Blocks of short lines, each first seen alone, in any order and with many holders, and repeated doc_ids."""
     rng = random.Random(3)
     blocks = [[f"menu {k} {i}" for i in range(7)] for k in range(3)]
-    texts = dict(enumerate(f"{line}\nown text of document {line}, no other has it" for block in blocks for line in block))
-    for i in range(len(texts), len(texts) + 40):
-        block = rng.choice(blocks)
-        low = rng.randrange(4)
-        part = block[low : low + rng.randint(3, 7)]
-        if rng.random() < 0.3:
-            part.insert(rng.randrange(1, len(part)), "")
-        texts[i] = "\n".join([f"head of {i} and of no other", *part, f"tail of {i}"])
-    split = {i: t.split("\n") for i, t in texts.items()}
-    expected = {}
-    for i, b in split.items():
-        pairs = (_doomed([x.strip() for x in split[j]], [x.strip() for x in b], [len(x) for x in b], 30) for j in range(i))
-        gone = {k for p in pairs for k in p}
-        expected[i] = "\n".join(x for k, x in enumerate(b) if k not in gone)
-    assert sum(expected[i] != texts[i] for i in texts) > 20
-    assert {r.doc_id: r.kept_text for r in without_shared_lines(frame(spark, texts)).collect()} == expected
+    rows = list(enumerate(f"{line}\nown text of document {line}, no other has it" for block in blocks for line in block))
+    for i in range(len(rows), len(rows) + 60):
+        parts = []
+        for block in rng.sample(blocks, rng.randint(1, 3)):
+            low = rng.randrange(4)
+            part = block[low : low + rng.randint(2, 7)]
+            if rng.random() < 0.3:
+                part.insert(rng.randrange(1, len(part)), "")
+            if rng.random() < 0.2:
+                part = part * 2
+            parts += [*part, f"text between, of {i} and no other {len(parts)}"] if rng.random() < 0.5 else part
+        rows.append((i - i % 7 // 6, "\n".join([f"head of {i} and of no other", *parts, f"tail of {i}"])))
+    rows += [(200, "a totally different row\nwith other second line that must stay"), (200, rows[30][1])]
+    expected = Counter(zip(rows, without_earlier_blocks(rows)))
+    assert sum(k[0][1] != k[1] for k in expected) > 30
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "text AS before")
+    got = Counter(((r.doc_id, r.carried.before), r.kept_text) for r in without_shared_lines(df, carry=("before",)).collect())
+    assert got == expected
+
+
+def test_line_dedup_of_twelve_holders(spark):
+    """A block of two lines in twelve documents, whose lines were first seen apart."""
+    rows = [(0, "shared line number one\nsomething of its own"), (1, "other own text here\nshared line number two")]
+    rows += [(i, f"head {i} of this document only\nshared line number one\nshared line number two") for i in range(2, 14)]
+    got = {r.doc_id: r.n_deleted for r in without_shared_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 0, 2: 0} | {i: 2 for i in range(3, 14)}
 
 
 def test_classifier_on_held_out_documents(spark, sf):
@@ -452,6 +478,8 @@ def test_pipeline(spark, sf):
     assert sum(bool(labels[d]) == (d in after) for d in labels) / len(labels) > 0.85  # of 87 labels, toxic ones are too few to learn
     assert sum(d in after for d in labels if labels[d]) / sum(map(bool, labels.values())) > 0.97
     _, before, after = seen[1]
+    rows = sorted((d, t) for d, t in before.items())
+    assert {d: t for (d, _), t in zip(rows, without_earlier_blocks(rows)) if d in after} == {d: t or "" for d, t in after.items()}
     lines = Counter(line.strip() for t in before.values() for line in set((t or "").split("\n")))
     assert all(lines[line.strip()] > 1 or not line.strip() or line in (after.get(d) or "").split("\n") for d, t in before.items() for line in (t or "").split("\n"))
     _, before, after = seen[2]
