@@ -1,10 +1,12 @@
 """Chat turns as training windows of a token budget, with reversible escapes and a loss mask.
 
-Turns are laid out by prefix sums of their tokens. With `span` tokens to a stretch, the turns that
-lie within one stretch make a window, and a turn that crosses a stretch's end stands alone; so
-windows are aligned to turns, and only a single turn can exceed the span. Each window repeats the
-conversation's leading system turn and the latest turns before it, up to `history` tokens. Targets
-are the assistant texts; repeated ones are masked, so each is trained on once.
+Turns are laid out by prefix sums of their tokens. The budget of a window pays for the conversation's
+leading system turn, which every window has, for `history` tokens of repeated turns, and for its own
+turns, which get the rest. With so many tokens to a stretch, the turns that lie within one stretch
+make a window, and a turn that crosses a stretch's end stands alone; so windows are aligned to turns.
+A turn that stands alone may need more than its stretch; then less history is repeated, or none. So
+a window exceeds the budget only where the system turn and a single turn do. Targets are the
+assistant texts; repeated ones are masked, so each is trained on once.
 
 Everything is grouped by (conversation, window) at most: window functions give the prefix sums, a
 range frame finds the windows that repeat a turn, and no whole conversation is gathered.
@@ -50,16 +52,18 @@ def rough_tokens(text: Column) -> Column:
 
 
 def chat_windows(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", span: int = 512, history: int = 128, overhead: int = 4, tokens=rough_tokens
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = 512, history: int = 128, overhead: int = 4, tokens=rough_tokens
 ) -> DataFrame:
     """(conv_id, window, n_turns, n_repeated, n_tokens, formatted, loss): rows for each window.
 
     formatted is the window's turns, each `<|role|>text</s>`; the first n_repeated are repeated.
     loss is an array of (start, length) in characters of formatted, the texts to be learnt. A turn
-    has overhead tokens besides those of its text. A null role or text counts as empty. Turns are
-    ordered by turn, then role and text, so ties and repeated rows have a fixed order; all rows
-    count. A leading system turn is outside the budget. A null conv_id is a conversation like any
-    other. An empty table gives an empty result. Other columns are ignored.
+    has overhead tokens besides those of its text; `tokens` counts these (for instance the length of a
+    column of ids that the byte-level BPE made; the default is an estimate). n_tokens has those of
+    repeated turns too. A null role or text counts as empty; a very long turn is a window of its own.
+    Turns are ordered by turn, then role and text, so ties and repeated rows have a fixed order; all
+    rows count. A null conv_id is a conversation like any other. An empty table gives an empty
+    result. Other columns are ignored. A conversation's turns are sorted in one task.
     """
     t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
@@ -67,15 +71,21 @@ def chat_windows(
     t = t.withColumn("n_tokens", (tokens(F.col("text")) + overhead).cast("long"))
     counted = F.when(F.col("system"), F.lit(0)).otherwise(F.col("n_tokens")).cast("long")
     t = t.withColumn("end", F.sum(counted).over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - counted)
-    stretch = F.floor(F.col("start") / span)
-    t = t.withColumn("window", F.when(F.col("system"), 0).otherwise(2 * stretch + F.when(F.col("end") > (stretch + 1) * span, 1).otherwise(0)))
+    t = t.withColumn("kept", F.coalesce(F.max(F.when(F.col("system"), F.col("n_tokens"))).over(Window.partitionBy("conv_id")), F.lit(0)))
+    room = F.greatest(budget - history - F.col("kept"), F.lit(1))
+    stretch = F.floor(F.col("start") / room)
+    t = t.withColumn("alone", F.col("end") > (stretch + 1) * room).withColumn("window", F.when(F.col("system"), 0).otherwise(2 * stretch + F.col("alone").cast("int")))
+    # How far back a window that opens with this turn repeats turns.
+    t = t.withColumn("reach", F.when(F.col("alone"), F.least(F.lit(history), F.greatest(F.lit(0), budget - F.col("kept") - F.col("n_tokens")))).otherwise(F.lit(history)))
 
     by_place = Window.partitionBy("conv_id").orderBy("place")
     opens = F.coalesce(F.col("window") != F.lag("window").over(by_place), F.lit(True)) & ~F.col("system")
     t = t.withColumn("opens", opens | (~F.col("system") & (F.lag("system").over(by_place))))
-    # A turn is repeated in the windows that open within `history` tokens after its start.
+    # A turn is repeated in the windows that open within their reach after its start.
     ahead = Window.partitionBy("conv_id").orderBy("start").rangeBetween(1, history)
-    t = t.withColumn("again", F.when(~F.col("system"), F.collect_list(F.when(F.col("opens"), F.col("window"))).over(ahead)))
+    later = F.collect_list(F.when(F.col("opens"), F.struct("window", "start", "reach"))).over(ahead)
+    t = t.withColumn("later", later)
+    t = t.withColumn("again", F.when(~F.col("system"), F.expr("transform(filter(later, w -> w.start - start <= w.reach), w -> w.window)")))
     so_far = Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
     lead = F.first(F.when(F.col("system"), F.struct("place", "role", "text", "n_tokens"))).over(so_far)
     t = t.withColumn("lead", F.when(F.col("opens") & (F.col("window") > 0), lead))

@@ -97,11 +97,11 @@ WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '')
 t1 AS (SELECT *, row_number() OVER w AS place FROM t0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)),
 t2 AS (SELECT *, place = 1 AND role = 'system' AS sys, len(regexp_extract_all(text, '[A-Za-z0-9_]+|[^A-Za-z0-9_\x20\x09-\x0D]')) + 4 AS n,
   length(text) + length(role) + 8 + len(regexp_extract_all(text, '[<][~]*(?:/?s>|\|)|\[[~]*/?INST\]')) + len(regexp_extract_all(text, '[<][~]*</?SYS>>')) AS chars FROM t1),
-t3 AS (SELECT *, sum(CASE WHEN sys THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY place) AS stop FROM t2),
-t4 AS (SELECT *, stop - CASE WHEN sys THEN 0 ELSE n END AS start FROM t3),
-t5 AS (SELECT *, CASE WHEN sys THEN 0 ELSE 2 * (start // 512) + CASE WHEN stop > (start // 512 + 1) * 512 THEN 1 ELSE 0 END END AS win FROM t4),
-opens AS (SELECT conv_id, win, min(start) AS at FROM t5 WHERE NOT sys GROUP BY ALL),
-again AS (SELECT t5.conv_id, sum(chars) AS c FROM t5 JOIN opens o ON o.conv_id = t5.conv_id AND CASE WHEN sys THEN o.win > 0 ELSE o.at BETWEEN t5.start + 1 AND t5.start + 128 END GROUP BY 1)
+t3 AS (SELECT *, sum(CASE WHEN sys THEN 0 ELSE n END) OVER (PARTITION BY conv_id ORDER BY place) AS stop, coalesce(max(CASE WHEN sys THEN n END) OVER (PARTITION BY conv_id), 0) AS kept FROM t2),
+t4 AS (SELECT *, stop - CASE WHEN sys THEN 0 ELSE n END AS start, greatest(512 - 128 - kept, 1) AS room FROM t3),
+t5 AS (SELECT *, CASE WHEN sys THEN 0 ELSE 2 * (start // room) + CASE WHEN stop > (start // room + 1) * room THEN 1 ELSE 0 END END AS win FROM t4),
+opens AS (SELECT conv_id, win, min(start) AS at, least(128, greatest(0, 512 - any_value(kept) - sum(n))) AS reach FROM t5 WHERE NOT sys GROUP BY ALL),
+again AS (SELECT t5.conv_id, sum(chars) AS c FROM t5 JOIN opens o ON o.conv_id = t5.conv_id AND CASE WHEN sys THEN o.win > 0 ELSE o.at BETWEEN t5.start + 1 AND t5.start + o.reach END GROUP BY 1)
 SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '')) AS loss_sha256,
   (sum(chars) + coalesce(any_value(c), 0))::BIGINT AS formatted_chars

@@ -7,9 +7,10 @@ anchor all windows that it names, to its left and right, are compared in full, b
 whole window; the smallest doc_id that has a window is a minimum over its holders, so copies never
 meet in pairs. Overlapping windows add up to maximal repeats, which are removed.
 
-An anchor or window has one narrow row for each document that holds it. Such rows are sorted and
-streamed, never gathered, so the hottest key costs its task time but no memory; it has at most one
-row for each document, of about a hundred that a document has.
+An anchor or window has one narrow row for each document that holds it. The rows of one key are sorted
+in one task, which spills what it cannot hold; a key has at most one row for each document, of about
+a hundred that a document has. Minima that are joined back would split a hot key, but send every row
+twice, more than the disk that this operator may use.
 """
 
 from __future__ import annotations

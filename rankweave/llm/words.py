@@ -25,7 +25,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C55
-_BASE2 = 0xC2B2AE3D27D4EB4F
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -60,11 +59,6 @@ def run_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
     return mixed((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def second_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """As run_hashes, with other constants."""
-    return run_hashes(values, start, end, _BASE2)
-
-
 @dataclass
 class Block:
     """Some whole texts: rows[i] is the i-th text's row in the batch; the words of text i are first[i]:first[i + 1]."""

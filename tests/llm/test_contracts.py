@@ -249,7 +249,7 @@ def test_chat_round_trip(spark):
     turns = [(c, t, r, x) for c, n in ((1, 40), (2, 3), (3, 1), (None, 2)) for t in range(n) for r, x in [(["system", "user", "assistant"][0 if t == 0 and c == 1 else 1 + t % 2], f"{t} </s> <~|x|> [INST] [~/INST] <<SYS>>~<</SYS>> " + "word " * (t * 13 % 60))]]
     turns += [(4, 0, None, None), (4, 0, "assistant", ""), (4, 0, "a|>b<|c", "x"), (5, 7, "assistant", "long " * 5000)]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    windows = chat_format.chat_windows(df, span=100, history=40)
+    windows = chat_format.chat_windows(df, budget=100, history=40)
     got = {}
     for r in sorted(chat_format.read_back(windows).collect(), key=lambda r: r.window):
         got.setdefault(r.conv_id, [[], []])
@@ -262,7 +262,10 @@ def test_chat_round_trip(spark):
             want[c][1].append(x or "")
     assert got == want
     rows = windows.collect()
-    assert all(r.n_tokens <= 100 + 40 + 200 for r in rows if r.n_turns - r.n_repeated > 1)
+    for r in rows:  # over the budget only with the system turn and one other
+        parts = r.formatted.split("</s>")[:-1]
+        system = parts[0].startswith("<|system|>")
+        assert r.n_tokens <= 100 or r.n_turns == 1 + system
     assert any(r.n_repeated for r in rows) and all("</s>[INST]" not in r.formatted.replace("</s><|", "") for r in rows)
     assert all(r.formatted.startswith("<|system|>") for r in rows if r.conv_id == 1)
 
