@@ -61,8 +61,8 @@ def chunk_fixed(spans: DataFrame, size: int = 800, overlap: int = 0, separator:
     if size <= 0:
         raise ValueError("size must be positive")
     step, k = max(1, size - overlap), len(separator)
-    last = F.max("end").over(Window.partitionBy("source"))
-    s = spans.withColumn("total", last).withColumn("whole", F.when(F.col("end") < F.col("total"), F.concat("text", F.lit(separator))).otherwise(F.col("text"))).withColumn("stop", F.col("start") + F.length("whole"))
+    totals = spans.groupBy("source").agg(F.max("end").alias("total"))  # combined before the shuffle, so a source of any size is no single task
+    s = spans.join(totals, "source").withColumn("whole", F.when(F.col("end") < F.col("total"), F.concat("text", F.lit(separator))).otherwise(F.col("text"))).withColumn("stop", F.col("start") + F.length("whole"))
     top = F.greatest(F.lit(0), F.ceil((F.col("total") - size) / step))
     low = F.greatest(F.lit(0), F.floor((F.col("start") - size) / step) + 1)
     high = F.least(top, F.floor((F.col("stop") - 1) / step))

@@ -67,12 +67,28 @@ def k_at_target(golden: DataFrame, chunks: DataFrame, target: float = 0.9, most:
     return golden.select("record_id").join(counted, "record_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
 
 
+NUMBERING_BLOCK = 100_000
+
+
 def strided(df: DataFrame, n: int, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Every row if there are at most n, else the rows at floor(i * count / n) in an order."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    d = df.withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    """Every row if there are at most n, else the rows at floor(i * count / n) in an order.
+
+    Rows are numbered within blocks of the first order column's values (numbers by range, others by
+    their first two characters), and blocks by the sums before them, so no task has all rows.
+    """
+    numeric = dict(df.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
+    block = F.floor(F.col(order[0]) / NUMBERING_BLOCK).cast("string") if numeric else F.substring(F.col(order[0]).cast("string"), 1, 2)
+    rank = F.floor(F.col(order[0]) / NUMBERING_BLOCK) if numeric else F.substring(F.col(order[0]).cast("string"), 1, 2)
+    d = df.withColumn("_block", F.coalesce(block, F.lit("null")))
+    sizes = d.groupBy(*keys, "_block").agg(F.count("*").alias("_size"), F.min(rank).alias("_rank"))
+    of = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row for each block, not for each row
+    before = of.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*keys, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"), F.sum("_size").over(of).alias("_n"))
+    d = d.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)) - 1).join(sizes, [*keys, "_block"])
+    d = d.withColumn("_at", F.col("_base") + F.col("_in"))
     step = F.floor(F.ceil(F.col("_at") * n / F.col("_n")) * F.col("_n") / n)
-    return d.where((F.col("_n") <= n) | ((step == F.col("_at")) & (F.ceil(F.col("_at") * n / F.col("_n")) < n))).drop("_at", "_n")
+    kept = d.where((F.col("_n") <= n) | ((step == F.col("_at")) & (F.ceil(F.col("_at") * n / F.col("_n")) < n)))
+    return kept.select(*df.columns)
 
 
 def self_sufficiency(chunks: DataFrame, chunk_vecs: DataFrame, record_vecs: DataFrame, sample: int = 120) -> DataFrame:

@@ -21,6 +21,15 @@ FOLLOW_UP = (
 # End of fixed values.
 
 
+# Forms of questions that have two parts.
+SWAP = r"instead of (.+?)\?|run out of (.+?)\.|replacement for (.+?)\?"
+COURSE = r"^A (\w+) dish with no (\w+) in it\.$"
+AVOID = r"^I am avoiding (\w+)\. What can I make\?$"
+DIET = r"^A (vegetarian|vegan) (\w+)\.$"
+TIME = r"(?:finish in|only have) (\d+) minutes"
+# End of fixed values.
+
+
 def _variants(q: DataFrame, extra: Column) -> DataFrame:
     texts = F.concat(F.array("question"), F.coalesce(extra, F.array().cast("array<string>")))
     return q.select(F.col("query_id").alias("of"), F.posexplode(texts).alias("variant", "text")).select(F.concat_ws("#", F.col("of").cast("string"), F.col("variant").cast("string")).alias("query_id"), "of", "variant", "text")
@@ -37,13 +46,11 @@ def expand_decompose(questions: DataFrame, split_col: str | None = None) -> Data
     tag = F.create_map(*(F.lit(x) for pair in TAG_TERMS.items() for x in pair))
     part = lambda pattern, group: F.regexp_extract(q, pattern, group)
     words = lambda c: F.coalesce(F.element_at(tag, c), c)
-    swap = r"instead of (.+?)\?|run out of (.+?)\.|replacement for (.+?)\?"
-    term = F.concat(part(swap, 1), part(swap, 2), part(swap, 3))
-    course, avoid, diet, time = r"^A (\w+) dish with no (\w+) in it\.$", r"^I am avoiding (\w+)\. What can I make\?$", r"^A (vegetarian|vegan) (\w+)\.$", r"(?:finish in|only have) (\d+) minutes"
+    term = F.concat(part(SWAP, 1), part(SWAP, 2), part(SWAP, 3))
     parts = (
-        F.when(q.rlike(course), F.array(F.concat(part(course, 1), F.lit(" recipe")), words(part(course, 2)))).when(q.rlike(avoid), F.array(F.lit("recipe"), words(part(avoid, 1))))
-        .when(q.rlike(diet), F.array(F.concat(part(diet, 2), F.lit(" recipe")), part(diet, 1))).when(q.rlike(swap), F.array(F.concat(F.lit("recipes using "), term), F.concat(F.lit("substitute for "), term)))
-        .when(q.rlike(time), F.array(F.lit("quick recipe short cooking time"), F.concat(part(time, 1), F.lit(" minutes"))))
+        F.when(q.rlike(COURSE), F.array(F.concat(part(COURSE, 1), F.lit(" recipe")), words(part(COURSE, 2)))).when(q.rlike(AVOID), F.array(F.lit("recipe"), words(part(AVOID, 1))))
+        .when(q.rlike(DIET), F.array(F.concat(part(DIET, 2), F.lit(" recipe")), part(DIET, 1))).when(q.rlike(SWAP), F.array(F.concat(F.lit("recipes using "), term), F.concat(F.lit("substitute for "), term)))
+        .when(q.rlike(TIME), F.array(F.lit("quick recipe short cooking time"), F.concat(part(TIME, 1), F.lit(" minutes"))))
     )
     if split_col:
         lines = F.filter(F.transform(F.split(split_col, r"\r?\n"), lambda x: F.regexp_replace(x, r"^[ \-*]+|[ \-*]+$", "")), lambda x: x != "")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rankweave.operators import chunk as C
 from rankweave.operators import evaluate as E
@@ -214,3 +215,16 @@ def e27_leaderboard(spark, d):
     """Sources as configurations, compared by the mean length of their documents."""
     runs = table(spark, d, "documents").groupBy(F.col("source").alias("config")).agg(F.round(F.avg("n_chars"), 4).alias("mean"))
     return E.leaderboard(runs, "mean").withColumn("place", F.col("place").cast("long"))
+
+
+@plans("""WITH h AS (SELECT o_custkey AS query_id, o_orderkey AS passage_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders),
+m AS (SELECT query_id, l_partkey AS record_id, min(struct_pack(rank := rank, ord := l_partkey % 7)) AS best FROM h JOIN lineitem ON l_orderkey = passage_id GROUP BY ALL)
+SELECT query_id, record_id, row_number() OVER (PARTITION BY query_id ORDER BY best, record_id) AS rank FROM m""")
+def e11_collapse_to_records(spark, d):
+    """A customer's orders as ranked hits, parts as the records that they meet."""
+    o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
+    rank = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+    hits = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("passage_id"), rank.alias("rank"))
+    matches = li.select(F.col("l_orderkey").alias("passage_id"), F.col("l_partkey").alias("record_id"))
+    order = li.select(F.col("l_partkey").alias("record_id")).distinct().withColumn("ord", F.col("record_id") % 7)
+    return E.collapse_to_records(hits, matches, order).withColumn("rank", F.col("rank").cast("long"))

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankweave.operators import evaluate as E
+from rankweave.operators import extract as X
 from rankweave.operators import graph as G
 from rankweave.plans.register import Plans
-from rankweave.plans.standins import ingredients, recipes, steps, table, uses, with_
+from rankweave.plans.standins import terms_sql, ingredients, recipes, steps, table, uses, with_
 
 plans = Plans()
 REAL = with_("uses", "recipes", "real")
@@ -16,9 +18,42 @@ def _world(spark, d):
     return recipes(spark, d), uses(spark, d), ingredients(spark, d)
 
 
-@plans(with_("uses") + "SELECT key, item FROM uses")
+#: Orders as records, and names of parts as a vocabulary: "red ring" is rejected, the first name of "hot" ones stands for all.
+LINES = """li AS (SELECT DISTINCT 'o:' || l_orderkey AS key, p_name AS raw FROM lineitem JOIN part ON l_partkey = p_partkey), hot AS (SELECT min(p_name) AS hot FROM part WHERE p_name LIKE 'hot %'),
+nm AS (SELECT key, raw, trim(regexp_replace(raw, '\\b(small|medium|large|big|tiny)\\b', ' ', 'g')) AS name FROM li),
+item AS (SELECT key, raw, CASE WHEN name LIKE 'hot %' THEN (SELECT hot FROM hot) ELSE name END AS item FROM nm WHERE name != 'red ring' AND length(name) >= 3)"""
+
+
+def records(spark, d):
+    li = table(spark, d, "lineitem").join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    step = F.struct("l_linenumber", F.concat_ws(" ", "l_returnflag", "l_linestatus").alias("text"))
+    r = li.groupBy("l_orderkey").agg(F.collect_set("p_name").alias("ingredient_lines"), F.array_sort(F.collect_set(step)).alias("steps"))
+    key = F.col("l_orderkey").cast("string")
+    return r.select(F.lit("o").alias("source"), key.alias("record_id"), F.concat(F.lit("Order "), key).alias("title"), F.lit(None).cast("array<int>").alias("pages"), "ingredient_lines", F.col("steps.text").alias("step_lines"))
+
+
+def names(spark, d):
+    p = table(spark, d, "part").select(F.col("p_name").alias("name")).distinct()
+    hot = p.where("name LIKE 'hot %'").agg(F.min("name").alias("hot"))
+    canonical = F.when(F.col("name") == "red ring", None).when(F.col("name").startswith("hot "), F.col("hot")).otherwise(F.col("name"))
+    return p.join(F.broadcast(hot)).select("name", canonical.alias("canonical"), F.lit(None).cast("array<string>").alias("split"))  # hot is one row
+
+
+@plans(f"WITH {LINES}, n AS (SELECT key, count(DISTINCT item) AS n FROM item GROUP BY key), s AS (SELECT 'o:' || l_orderkey AS key, count(*) AS n_steps FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag, l_linestatus FROM lineitem JOIN part ON l_partkey = p_partkey) GROUP BY 1) "
+"SELECT key, 'Order ' || key[3:] AS title, coalesce(n, 0) AS n_items, n_steps::INT AS n_steps, coalesce(n, 0) >= 2 AS is_recipe FROM s LEFT JOIN n USING (key)")
+def g01_shape_recipes(spark, d):
+    r = records(spark, d)
+    return G.shape_recipes(r, G.shape_uses(r, names(spark, d))).drop("pages")
+
+
+@plans(f"WITH {LINES} SELECT key, item, raw FROM item")
 def g02_shape_uses(spark, d):
-    return uses(spark, d).select("key", "item")
+    return G.shape_uses(records(spark, d), names(spark, d))
+
+
+@plans(f"WITH {LINES} SELECT DISTINCT key, item FROM item")
+def e16_record_items(spark, d):
+    return E.record_items(records(spark, d), names(spark, d))
 
 
 @plans(with_("ingredients") + "SELECT category FROM ingredients GROUP BY category")
@@ -26,9 +61,41 @@ def g03_shape_categories(spark, d):
     return G.shape_categories(ingredients(spark, d))
 
 
-@plans("SELECT 'o:' || l_orderkey AS key, 'o:' || l_orderkey || '#s' || lpad((l_linenumber - 1)::VARCHAR, 2, '0') AS step_id, l_linenumber - 1 AS step_no FROM lineitem GROUP BY l_orderkey, l_linenumber")
+STEPS = """st AS (SELECT 'o:' || l_orderkey AS key, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, t) - 1 AS step_no, t AS text
+FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_returnflag || ' ' || l_linestatus AS t FROM lineitem JOIN part ON l_partkey = p_partkey))"""
+
+
+@plans(f"WITH {STEPS} SELECT key, key || '#s' || lpad(step_no::VARCHAR, 2, '0') AS step_id, step_no::INT AS step_no, text FROM st")
 def g04_shape_steps(spark, d):
-    return steps(spark, d).select("key", "step_id", "step_no")
+    return G.shape_steps(records(spark, d))
+
+
+@plans("SELECT doc_id::VARCHAR AS step_id, unnest(CASE WHEN list_contains(t, 'deep fry') THEN list_filter(t, lambda x: x != 'fry') ELSE t END) AS action FROM (SELECT doc_id, " + terms_sql(X.ACTIONS) + " AS t FROM documents WHERE text IS NOT NULL)")
+def g05_shape_performs(spark, d):
+    """Documents as steps."""
+    return G.shape_performs(table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("step_id"), "text"))
+
+
+NEEDS = """ne AS (SELECT DISTINCT 'o:' || l_orderkey || '#s' || lpad((l_linenumber - 1)::VARCHAR, 2, '0') AS step_id, 'o:' || l_orderkey AS key, l_linenumber - 1 AS step_no, l_returnflag AS equipment FROM lineitem)"""
+
+
+def needs(spark, d):
+    li = table(spark, d, "lineitem")
+    return li.select(F.format_string("o:%d#s%02d", "l_orderkey", (F.col("l_linenumber") - 1).cast("int")).alias("step_id"), F.col("l_returnflag").alias("equipment")).distinct()
+
+
+@plans(f"WITH {NEEDS} SELECT key, step_id, step_no::INT AS step_no, '' AS actions, string_agg(equipment, ',' ORDER BY equipment) AS equipment FROM ne WHERE key IN (SELECT 'o:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY ALL")
+def g19_steps_for(spark, d):
+    """Steps of urgent orders; the flag of a line is the equipment."""
+    keys = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("key"))
+    none = spark.sql("SELECT '' AS step_id, '' AS action WHERE false")
+    s = G.steps_for(keys, steps(spark, d), none, needs(spark, d))
+    return s.select("key", "step_id", F.col("step_no").cast("int").alias("step_no"), F.array_join("actions", ",").alias("actions"), F.array_join("equipment", ",").alias("equipment"))
+
+
+@plans(with_("uses", "recipes", "real") + f", {NEEDS} SELECT key FROM real WHERE key IN (SELECT key FROM ne WHERE equipment = 'R')")
+def g20_needing_equipment(spark, d):
+    return G.needing_equipment(recipes(spark, d), steps(spark, d), needs(spark, d), "R").select("key")
 
 
 @plans("""WITH s AS (SELECT DISTINCT l_orderkey, l_linenumber - 1 AS n FROM lineitem), t AS (SELECT 'o:' || l_orderkey || '#s' || lpad(n::VARCHAR, 2, '0') AS step_id, lead('o:' || l_orderkey || '#s' || lpad(n::VARCHAR, 2, '0')) OVER (PARTITION BY l_orderkey ORDER BY n) AS next_id FROM s)

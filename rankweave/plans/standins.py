@@ -82,3 +82,10 @@ SQL = {
 
 def with_(*names: str) -> str:
     return "WITH " + ", ".join(SQL[n] for n in names) + " "
+
+
+def terms_sql(forms):
+    """A list of the terms of lower(text), in SQL: word borders are those of all scripts."""
+    border = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+    cases = ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|{border})(?:{'|'.join(words)})($|{border})') THEN '{term}' END" for term, words in forms.items())
+    return f"list_sort(list_filter([{cases}], lambda x: x IS NOT NULL))"

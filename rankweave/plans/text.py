@@ -13,7 +13,7 @@ from rankweave.operators import extract as X
 from rankweave.operators import question as Q
 from rankweave.operators import vocab as V
 from rankweave.plans.register import Plans
-from rankweave.plans.standins import table
+from rankweave.plans.standins import table, terms_sql
 from rankweave.sources import runs as S
 
 plans = Plans()
@@ -101,9 +101,15 @@ def x12_frontier(spark, d):
     return X.frontier(X.score_links(p.select(F.col("url").alias("href"), F.lit("").alias("text"))), p.where("page_id % 3 = 0").select("url"), 500)
 
 
-@plans(r"SELECT page_id, url, regexp_matches(lower(url), '^https?://[^/?#]+') AS ok FROM pages")
+@plans(r"""WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host FROM pages), h AS (SELECT host, min(page_id) % 4 AS k FROM p WHERE host != '' GROUP BY host)
+SELECT page_id, url, CASE WHEN host = '' THEN 'scheme or host' WHEN k IN (0, 2) THEN 'private address' WHEN k = 3 THEN 'unresolved' END AS reason FROM p LEFT JOIN h USING (host)""")
 def x13_filter_public_urls(spark, d):
-    return X.filter_public_urls(table(spark, d, "pages").select("page_id", "url")).select("page_id", "url", "ok")
+    """Hosts have public, private or no addresses, by their first page."""
+    p = table(spark, d, "pages").select("page_id", "url")
+    hosts = p.groupBy(F.lower(F.regexp_extract("url", "^https?://([^/?#:]+)", 1)).alias("host")).agg((F.min("page_id") % 4).alias("k")).where("host != '' AND k != 3")
+    hosts = hosts.select("host", F.get(F.array(*map(F.lit, ("10.0.0.1", "93.184.216.34", "127.0.0.1"))), F.col("k").cast("int")).alias("ip"))
+    reason = F.when(F.col("reason").isin("scheme", "no host"), "scheme or host").otherwise(F.col("reason"))
+    return X.filter_public_urls(p, hosts).select("page_id", "url", reason.alias("reason"))
 
 
 @plans(f"""WITH {LINES}, r AS (SELECT doc_id, l, len(l) // 2 AS h, lang FROM lines JOIN documents USING (doc_id))
@@ -131,10 +137,23 @@ def x14_render_records(spark, d):
     return r.repartition("source").sortWithinPartitions("source", "n", "t").select("source", "t").mapInArrow(run, "source string, digest string")
 
 
-@plans(r"SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\b(?:" + "|".join(X.ACTIONS["serve"].split(", ")) + r")\b') THEN 1 ELSE 0 END AS serves FROM documents WHERE lang = 'en'")
+@plans(f"SELECT doc_id, array_to_string(CASE WHEN list_contains(t, 'deep fry') THEN list_filter(t, lambda x: x != 'fry') ELSE t END, ',') AS terms FROM (SELECT doc_id, coalesce({terms_sql(X.ACTIONS)}, []) AS t FROM documents)")
 def x15_extract_terms(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'")
-    return t.select("doc_id", F.array_contains(X.extract_terms(F.col("text"), X.ACTIONS), "serve").cast("int").alias("serves"))
+    """Which of all actions each document names."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(X.extract_terms(F.col("text"), X.ACTIONS)), ",").alias("terms"))
+
+
+@plans("SELECT item_id || '#0' AS query_id, item_id AS of, 0 AS variant, text FROM benchmark")
+def q01_expand_passthrough(spark, d):
+    return Q.expand_passthrough(table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")))
+
+
+@plans("""SELECT item_id || '#' || variant AS query_id, item_id AS of, variant, text FROM (SELECT b.item_id, 0 AS variant, b.text FROM benchmark b UNION ALL SELECT b.item_id, 1, d.text FROM benchmark b JOIN documents d ON d.doc_id = b.item_id WHERE regexp_matches(d.text, '\\S'))""")
+def q03_expand_hypothetical(spark, d):
+    """The document of the same number stands for one that a model wrote."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    made = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("made"))
+    return Q.expand_hypothetical(b.join(made, "query_id", "left"), "made")
 
 
 @plans("""SELECT doc_id AS page_no, 'p_' || lpad(doc_id::VARCHAR, greatest(4, length(doc_id::VARCHAR))::INT, '0') AS doc_id, md5(trim(regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '\\n\\s*\\n+', chr(10), 'g'), ' ')) AS digest FROM documents WHERE regexp_matches(text, '\\S')""".replace("\\\\", "\\"))

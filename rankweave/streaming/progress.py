@@ -48,7 +48,9 @@ def ingest_stream(spark: SparkSession, path: str, checkpoint: str, merge: Callab
 
 def conversation_state(turns: DataFrame, n: int = 6, idle: str = "1 hour") -> DataFrame:
     """A stream of turns(conv_id, turn, role, text) -> each user turn with the transcript of the last n turns before it; a conversation idle for long is forgotten."""
-    hours = int(idle.split()[0]) * 3_600_000
+    amount, unit = idle.split()
+    units = {"second": 1_000, "minute": 60_000, "hour": 3_600_000, "day": 86_400_000}
+    timeout = int(amount) * units[unit.rstrip("s")]
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -61,7 +63,7 @@ def conversation_state(turns: DataFrame, n: int = 6, idle: str = "1 hour") -> Da
                 out.append((key[0], row.turn, row.text, "\n".join(lines[-n:])))
             lines.append(("You: " if row.role == "user" else "Assistant: ") + (row.text or "")[:300])
         state.update((lines[-n:],))
-        state.setTimeoutDuration(hours)
+        state.setTimeoutDuration(timeout)
         yield pd.DataFrame(out, columns=["conv_id", "turn", "text", "history"])
 
     return turns.groupBy("conv_id").applyInPandasWithState(run, "conv_id long, turn long, text string, history string", "lines array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -72,7 +72,9 @@ def test_terms_and_public_urls(spark):
     df = spark.createDataFrame([("Deep-fry, then stir.",)], "t string")
     assert df.select(X.extract_terms(F.col("t"), X.ACTIONS).alias("a")).first().a == ["deep fry", "stir"]
     urls = spark.createDataFrame([("http://10.0.0.1/x",), ("http://example.com/",), ("ftp://example.com",), ("http://inner/",)], "url string")
-    hosts = spark.createDataFrame([("inner", "127.0.0.1")], "host string, ip string")
+    hosts = spark.createDataFrame([("inner", "127.0.0.1"), ("example.com", "93.184.216.34")], "host string, ip string")
+    unknown = X.filter_public_urls(spark.createDataFrame([("http://inner-unknown/",)], "url string"), hosts).first()
+    assert (unknown.ok, unknown.reason) == (False, "unresolved")
     assert {r.url: r.ok for r in X.filter_public_urls(urls, hosts).collect()} == {"http://10.0.0.1/x": False, "http://example.com/": True, "ftp://example.com": False, "http://inner/": False}
 
 
