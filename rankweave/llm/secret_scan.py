@@ -32,7 +32,7 @@ ASSIGNED = r"^([A-Za-z_][A-Za-z0-9_.-]*)[\x22\x27]?[:=]+(?!//)[\x22\x27]?"
 AROUND = r"^[\x22\x27`(<\[{]+|[\x22\x27`)>\]},;.!?:]+$"
 ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s/@]+@[^\s]+)$"
 HEX_KEY, SECRET_NAME = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$", r"(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private)"
-PLAIN = r"^(?:[A-Za-z]+|[0-9]+|[a-z]+(?:[-_/.][a-z]+)+)$"
+PLAIN, MAIL = r"^(?:[A-Za-z]+|[0-9]+|[a-z]+(?:[-_/.][a-z]+)+)$", r"^[^\s@:/]+@[^\s@:/]+\.[A-Za-z]{2,}\W*$"
 FEATURES = ("length", "changes", "digits", "capitals", "letters", "kinds", "covered", "quoted")
 CONTEXT = ("name", "before", "before2", "after", "folder", "ending")
 
@@ -77,12 +77,12 @@ def features(found: DataFrame, known: list[str]) -> DataFrame:
 
 
 def distant_labels(found: DataFrame) -> DataFrame:
-    """(doc_id, value, secret) of candidates whose form is proof: issued keys and hexadecimal keys that are named so; words and numbers.
+    """(doc_id, value, secret) of candidates whose form is proof: issued keys and hexadecimal keys that are named so; words, numbers and mail addresses.
 
     The others have no label. A value that is labelled twice in a document is a secret if one place says so.
     """
     true = F.col("value").rlike(ISSUED) | (F.col("value").rlike(HEX_KEY) & F.concat_ws(" ", "name", "before", "before2").rlike(SECRET_NAME))
-    label = F.when(true, 1).when(F.col("value").rlike(PLAIN), 0)
+    label = F.when(true, 1).when(F.col("value").rlike(PLAIN) | F.col("value").rlike(MAIL), 0)
     return found.select("doc_id", "value", label.alias("secret")).where("secret IS NOT NULL").distinct()
 
 
