@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rankweave.llm.shared import saved
+from rankweave.functions.saved import saved
 from rankweave.operators.vocab import normalised, resolve
 
 # Words without content, and prices in USD for a million tokens (in, out).
