@@ -2,38 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import threading
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Spark's setting that a query removes its shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-_lock = threading.Lock()
-_writers = 0
-_before = ""
-
+from rankweave.functions.saved import saved
 
-@contextmanager
-def _cleaned_up(spark: SparkSession) -> Iterator[None]:
-    """CLEANUP is on while any writer is at work; the last one restores what was set."""
-    global _writers, _before
-    with _lock:
-        if not _writers:
-            _before = spark.conf.get(CLEANUP)
-            spark.conf.set(CLEANUP, "true")
-        _writers += 1
-    try:
-        yield
-    finally:
-        with _lock:
-            _writers -= 1
-            if not _writers:
-                spark.conf.set(CLEANUP, _before)
+__all__ = ["identified", "saved", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,28 +15,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's shared checkpoint folder and read from there; a job runs at once.
-
-    Later stages survive lost executors, as they read files and need no lineage. The folder is
-    that of spark.checkpoint.dir; a session of one machine (tests) may leave it unset and gets a
-    temporary one, a cluster without it is an error. The shuffle files that df needed go as soon as
-    it is written. The files themselves go with the DataFrame where
-    spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="spark-")
-        context.setCheckpointDir(folder)
-    with _cleaned_up(spark):
-        return df.select("*").checkpoint(eager=True)
-
-
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, text) with other columns left behind, so that their names cannot clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
