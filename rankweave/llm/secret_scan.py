@@ -4,7 +4,8 @@ Candidates are long runs of key characters (dots included), addresses with a use
 shorter words that mix letters, digits and marks or cases, in the words of whole texts. The forest
 looks at a candidate's length, its changes between kinds of characters, how much of it the corpus's
 own short words cover, the path it is in, and the words next to it. Which neighbours and paths matter
-it learns, as they come hashed. It learns from labelled findings; where there are none,
+it learns, as they come hashed; whether one of the neighbours names a secret at all is a feature
+besides, so that what it learns of one name holds for names that no label has. It learns from labelled findings; where there are none,
 distant_labels() names some of which the form alone is proof, and leaves the others to the forest. All
 of it is DataFrame expressions and Spark's own forest.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import FeatureHasher, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.shared import saved
@@ -31,9 +32,10 @@ CANDIDATE = (
 ASSIGNED = r"^([A-Za-z_][A-Za-z0-9_.-]*)[\x22\x27]?[:=]+(?!//)[\x22\x27]?"
 AROUND = r"^[\x22\x27`(<\[{]+|[\x22\x27`)>\]},;.!?:]+$"
 ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s/@]+@[^\s]+)$"
+SHORT_HEX = r"^(?=.*[0-9])(?=.*[a-fA-F])(?:[0-9a-f]{16,}|[0-9A-F]{16,})$"
 HEX_KEY, SECRET_NAME = r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$", r"(?i)(token|secret|passw|pwd|api.?key|auth|bearer|credential|private)"
 PLAIN, MAIL = r"^(?:[A-Za-z]+|[0-9]+|[a-z]+(?:[-_/.][a-z]+)+)$", r"^[^\s@:/]+@[^\s@:/]+\.[A-Za-z]{2,}\W*$"
-FEATURES = ("length", "changes", "digits", "capitals", "letters", "kinds", "covered", "quoted")
+FEATURES = ("length", "changes", "digits", "capitals", "letters", "kinds", "covered", "quoted", "named")
 CONTEXT = ("name", "before", "before2", "after", "folder", "ending")
 
 
@@ -62,6 +64,11 @@ def dictionary(docs: DataFrame, text_col: str = "text", words: int = DICTIONARY_
     return [r["word"] for r in top.collect()]
 
 
+def _named() -> Column:
+    """Whether the name of a candidate, or a word just before it, says that a secret follows."""
+    return F.concat_ws(" ", "name", "before", "before2").rlike(SECRET_NAME)
+
+
 def features(found: DataFrame, known: list[str]) -> DataFrame:
     """Adds FEATURES and CONTEXT to candidates."""
     v, n = F.col("value"), F.length("value").cast("double")
@@ -70,18 +77,18 @@ def features(found: DataFrame, known: list[str]) -> DataFrame:
     columns = {
         "length": n, "changes": share(r"(?<=[a-z])(?=[^a-z])|(?<=[A-Z])(?=[^A-Z])|(?<=[0-9])(?=[^0-9])|(?<=[^A-Za-z0-9])(?=[A-Za-z0-9])"),
         "digits": share("[0-9]"), "capitals": share("[A-Z]"), "letters": share("[A-Za-z]"), "kinds": F.size(F.array_distinct(F.split(v, ""))) / n,
-        "covered": 1 - rest / n, "quoted": F.col("word").rlike("[\"'`]"),
+        "covered": 1 - rest / n, "quoted": F.col("word").rlike("[\"'`]"), "named": _named(),
     }
     found = found.select("*", *(columns[c].cast("double").alias(c) for c in FEATURES))
     return found.withColumn("folder", F.regexp_extract("path", "^(?:.*/)?([^/]+)/[^/]*$", 1)).withColumn("ending", F.lower(F.regexp_extract("path", r"([^/.]+)$", 1)))
 
 
 def distant_labels(found: DataFrame) -> DataFrame:
-    """(doc_id, value, secret) of candidates whose form is proof: issued keys and hexadecimal keys that are named so; words, numbers and mail addresses.
+    """(doc_id, value, secret) of candidates whose form is proof: issued keys, hexadecimal keys that are named so, and shorter ones that are assigned to such a name; words, numbers and mail addresses.
 
     The others have no label. A value that is labelled twice in a document is a secret if one place says so.
     """
-    true = F.col("value").rlike(ISSUED) | (F.col("value").rlike(HEX_KEY) & F.concat_ws(" ", "name", "before", "before2").rlike(SECRET_NAME))
+    true = F.col("value").rlike(ISSUED) | (F.col("value").rlike(HEX_KEY) & _named()) | (F.col("value").rlike(SHORT_HEX) & F.col("name").rlike(SECRET_NAME))
     label = F.when(true, 1).when(F.col("value").rlike(PLAIN) | F.col("value").rlike(MAIL), 0)
     return found.select("doc_id", "value", label.alias("secret")).where("secret IS NOT NULL").distinct()
 
@@ -109,9 +116,16 @@ def secrets(
     training = judged.where(" OR ".join(f"label = {k}" for k in sizes))
     for label, n in sizes.items():
         training = training.where((F.col("label") != label) | (drawn < int((1 << 30) * min(1.0, max_training / n))))
+    # The forest draws rows by partition and order; these depend on the rows alone, so equal rows give an equal forest.
+    training = training.repartition(8, "doc_id", "value", "place").sortWithinPartitions("doc_id", "value", "place", *FEATURES, *CONTEXT)
+    # Both labels weigh the same: how often the labelled ones are secrets says nothing about the others.
+    weight = F.lit(0.0)
+    for label, n in sizes.items():
+        weight = F.when(F.col("label") == label, 1 / min(n, max_training)).otherwise(weight)
+    training = training.withColumn("weight", weight * min(*sizes.values(), max_training))
     hashed = FeatureHasher(inputCols=list(CONTEXT), outputCol="hashed", numFeatures=HASHED)
     vectors = VectorAssembler(inputCols=[*FEATURES, "hashed"], outputCol="vector")
-    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", probabilityCol="chance", numTrees=trees, maxDepth=8, featureSubsetStrategy="0.2", seed=7)
-    model = forest.fit(vectors.transform(hashed.transform(training)).select("label", "vector"))
+    forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", probabilityCol="chance", numTrees=trees, maxDepth=8, featureSubsetStrategy="0.2", seed=7)
+    model = forest.fit(vectors.transform(hashed.transform(training)).select("label", "weight", "vector"))
     rated = model.transform(vectors.transform(hashed.transform(found))).withColumn("probability", F.round(vector_to_array("chance")[1], 6))
     return rated.where(F.col("probability") >= threshold).select("doc_id", "place", "value", "probability")

@@ -480,6 +480,21 @@ def test_secrets_without_labels(spark):
     assert {x for x in known if known[x]} <= got and len(got & undecided & true) / len(undecided & true) > 0.5
 
 
+def test_secrets_whatever_the_partitions(spark):
+    """Keys, named or issued, and assigned passwords are found, words, numbers and addresses are not, with equal probabilities however the rows lie."""
+    rng = random.Random(4)
+    some = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    hexa, rows = "0123456789abcdef", []
+    for i in range(400):
+        middle = [f"token = {some(hexa, 40)}", f"password={some(hexa, 17)}7", "see " + some("abcdefghij", 18), f"user.{i}@mail{i}.example.com", "AKIA" + some("ABCDEFGHIJ234567", 16), "number " + some("0123456789", 16)][i % 6]
+        rows.append((i, f"the tion er {middle} an the er", "web"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [{tuple(r) for r in secrets(d).collect()} for d in (docs, docs.repartition(5, "text"))]
+    assert got[0] == got[1]
+    found = {r[0] for r in got[0]}
+    assert all(i in found for i in range(400) if i % 6 in (0, 1, 4)) and not any(i in found for i in range(400) if i % 6 in (2, 3, 5))
+
+
 def test_url_filter(spark):
     import datetime as dt
 
