@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import byte_bpe
+from rankweave.llm import alignment, byte_bpe
 from rankweave.llm.chat_format import chat_windows, read_back
 from rankweave.llm.decontaminate import contamination
 from rankweave.llm.line_dedup import without_shared_lines
@@ -183,5 +183,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens_with_digests(table(spark, sf_dir, "documents")).drop("tokens")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_quality_rules, op3_decontamination, op4_secret_scan, op5_quality_classifier, op6_line_dedup, op7_url_filter, op8_substring_dedup, op9_minhash_dedup, op10_byte_bpe)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents aligned between the byte-level BPE and the piece model, as digests and counts."""
+    paths = (public_tokenizers.path(f) for f in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    shared = alignment.aligner(spark, *paths, public_tokenizers.PATTERN)
+    aligned = alignment.align(table(spark, sf_dir, "documents"), shared, digest=True)
+    out = alignment.with_link_counts(aligned.withColumn("n_groups", F.size("links").cast("long")), shared)
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_quality_rules, op3_decontamination, op4_secret_scan, op5_quality_classifier, op6_line_dedup, op7_url_filter,
+        op8_substring_dedup, op9_minhash_dedup, op10_byte_bpe, op11_token_alignment,
+    )
+}
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
