@@ -11,6 +11,7 @@ from rankweave.llm.chat_format import chat_windows, read_back
 from rankweave.llm.decontaminate import contamination
 from rankweave.llm.line_dedup import without_shared_lines
 from rankweave.llm.minhash_dedup import near_duplicates
+from rankweave.llm.mixing import mixed
 from rankweave.llm.quality_classifier import quality_scores
 from rankweave.llm.quality_rules import quality_by_rules
 from rankweave.llm.secret_scan import secrets
@@ -192,11 +193,16 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed so that sources weigh 3, 1, 2 in turn, by 150 % of all words."""
+    return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_quality_rules, op3_decontamination, op4_secret_scan, op5_quality_classifier, op6_line_dedup, op7_url_filter,
-        op8_substring_dedup, op9_minhash_dedup, op10_byte_bpe, op11_token_alignment,
+        op8_substring_dedup, op9_minhash_dedup, op10_byte_bpe, op11_token_alignment, op12_mix_sources,
     )
 }
 ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
