@@ -16,6 +16,7 @@ from rankweave.llm.quality_classifier import quality_scores
 from rankweave.llm.quality_rules import quality_by_rules
 from rankweave.llm.secret_scan import secrets
 from rankweave.llm.shared import table
+from rankweave.llm.structure_repair import repaired_conversations
 from rankweave.llm.substring_dedup import without_repeats
 from rankweave.llm.url_filter import filtered_urls
 
@@ -198,11 +199,60 @@ def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by a checksum of their turns, and repaired; repaired texts as digests."""
+    rows = table(spark, sf_dir, "conversations").selectExpr("conv_id", "turn", "coalesce(role, ' ') AS role", "coalesce(text, ' ') AS text", "crc32(concat(coalesce(CAST(conv_id AS STRING), ' '), ':', coalesce(CAST(turn AS STRING), ' '))) % 20 AS damage")
+    damaged = rows.selectExpr(
+        "conv_id", "turn", "if(damage = 4, 'user', role) AS role", "CASE damage WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '') ELSE text END AS text",
+        "damage > 0 AS present", "explode(sequence(1, if(damage = 3, 2, 1))) AS copy",
+    )
+    out = repaired_conversations(damaged, present_col="present")
+    lines = F.transform(F.filter("repaired", lambda e: e["edit"] != "D"), lambda e: F.concat(e["role"], F.lit(":"), e["text"]))
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"))
+
+
+# The checksum goes bit by bit; the repair goes row by row, with the least (cost, audit) of each of the four states.
+OP13_SQL = r"""
+WITH RECURSIVE key AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+crc AS (SELECT *, xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(k, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, x: CASE WHEN xor(c, x) & 1 = 1 THEN xor(xor(c, x) >> 1, 3988292384) ELSE xor(c, x) >> 1 END), 4294967295) % 20 AS h FROM key),
+damaged AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+  unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy FROM crc WHERE h <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM damaged),
+fault AS (SELECT *, left(role, 1) AS i, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'b' WHEN seen > 1 THEN 'd'
+  WHEN regexp_matches(text, '[.!?][ 	-
+]*$') THEN '' ELSE 't' END AS f FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY place) AS seen FROM placed)),
+told AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'b') AS blank, count(*) FILTER (f = 'd') AS duplicate,
+  count(*) FILTER (f = 't') AS truncated, count(*) FILTER (before IS NOT NULL AND left(before, 1) || i NOT IN ('su', 'ua', 'au')) AS illegal, max(place) AS n FROM fault GROUP BY conv_id),
+step AS (SELECT conv_id, 0::BIGINT AS place, {'c': 0::BIGINT, 'a': ''} AS v0, NULL::STRUCT(c BIGINT, a VARCHAR) AS v1, {'c': 2::BIGINT, 'a': 'I'} AS v2, {'c': 4::BIGINT, 'a': 'II'} AS v3 FROM told
+  UNION ALL
+  SELECT conv_id, place, w0, w1, w2, list_min([x for x in [w3, CASE WHEN w2 IS NOT NULL THEN {'c': w2.c + 2, 'a': w2.a || 'I'} END] if x IS NOT NULL]) FROM (
+    SELECT conv_id, place, w0, w1, w3, list_min([x for x in [w2, CASE WHEN w0 IS NOT NULL THEN {'c': w0.c + 2, 'a': w0.a || 'I'} END, CASE WHEN w1 IS NOT NULL THEN {'c': w1.c + 2, 'a': w1.a || 'I'} END, CASE WHEN w3 IS NOT NULL THEN {'c': w3.c + 2, 'a': w3.a || 'I'} END] if x IS NOT NULL]) AS w2 FROM (
+      SELECT s.conv_id, s.place + 1 AS place, {'c': v0.c + 3, 'a': v0.a || 'D'} AS w0,
+        list_min([x for x in [CASE WHEN v1 IS NOT NULL THEN {'c': v1.c + 3, 'a': v1.a || 'D'} END, CASE WHEN i = 's' AND f IN ('', 't') THEN {'c': v0.c + t, 'a': v0.a || 'K'} END] if x IS NOT NULL]) AS w1,
+        list_min([x for x in [{'c': v2.c + 3, 'a': v2.a || 'D'}, CASE WHEN f IN ('', 't') THEN {'c': v0.c + u, 'a': v0.a || ul} END, CASE WHEN f IN ('', 't') AND v1 IS NOT NULL THEN {'c': v1.c + u, 'a': v1.a || ul} END, CASE WHEN f IN ('', 't') THEN {'c': v3.c + u, 'a': v3.a || ul} END] if x IS NOT NULL]) AS w2,
+        list_min([x for x in [{'c': v3.c + 3, 'a': v3.a || 'D'}, CASE WHEN f IN ('', 't') THEN {'c': v2.c + b, 'a': v2.a || bl} END] if x IS NOT NULL]) AS w3
+      FROM step s JOIN (SELECT *, CASE f WHEN 't' THEN 1 ELSE 0 END AS t, CASE i WHEN 'u' THEN 0 ELSE 2 END + CASE f WHEN 't' THEN 1 ELSE 0 END AS u, CASE i WHEN 'u' THEN 'K' ELSE 'R' END AS ul,
+        CASE i WHEN 'a' THEN 0 ELSE 2 END + CASE f WHEN 't' THEN 1 ELSE 0 END AS b, CASE i WHEN 'a' THEN 'K' ELSE 'R' END AS bl FROM fault) r ON r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.place = s.place + 1))),
+best AS (SELECT t.*, least(v0, v3) AS cell FROM told t JOIN step s ON s.conv_id IS NOT DISTINCT FROM t.conv_id AND s.place = t.n),
+letter AS (SELECT conv_id, nr, e, count(*) FILTER (e <> 'I') OVER w AS place, count(*) FILTER (e <> 'D') OVER w AS said FROM (
+  SELECT conv_id, unnest(range(1, length(cell.a) + 1)) AS nr, unnest(string_split(cell.a, '')) AS e FROM best WHERE cell.a <> '') WINDOW w AS (PARTITION BY conv_id ORDER BY nr)),
+shift AS (SELECT l.conv_id, bool_or(l.said = 1 AND l.e = 'K' AND f.i = 's') AS sys FROM letter l LEFT JOIN fault f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.place = l.place WHERE l.e <> 'D' GROUP BY l.conv_id),
+line AS (SELECT l.conv_id, string_agg(CASE WHEN l.e = 'K' THEN f.role WHEN (l.said - CASE WHEN s.sys THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN l.e = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY l.nr) AS t
+  FROM letter l JOIN shift s ON s.conv_id IS NOT DISTINCT FROM l.conv_id LEFT JOIN fault f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.place = l.place WHERE l.e <> 'D' GROUP BY l.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(cell.c, 0) AS cost, coalesce(cell.a, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN line ON line.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_quality_rules, op3_decontamination, op4_secret_scan, op5_quality_classifier, op6_line_dedup, op7_url_filter,
-        op8_substring_dedup, op9_minhash_dedup, op10_byte_bpe, op11_token_alignment, op12_mix_sources,
+        op8_substring_dedup, op9_minhash_dedup, op10_byte_bpe, op11_token_alignment, op12_mix_sources, op13_structure_repair,
     )
 }
-ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_minhash_dedup": OP9_SQL}
+ORACLE_SQL = {"op1_chat_format": OP1_SQL, "op3_decontamination": OP3_SQL, "op7_url_filter": OP7_SQL, "op8_substring_dedup": OP8_SQL, "op9_minhash_dedup": OP9_SQL, "op13_structure_repair": OP13_SQL}
