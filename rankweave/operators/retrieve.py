@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,10 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankweave.functions.saved import saved
 from rankweave.functions.vectors import token_f1
-
-QUERY_BLOCK = 4096
-PLACES = 9
+from rankweave.operators.blocks import BROADCAST_ENTRIES, PLACES, best_hits, finished, passage_blocks, question_blocks, spread, vector_blocks
 
 
 def ranked(scored: DataFrame, k: int | None, ties: str = "passage_id", places: int | None = None) -> DataFrame:
@@ -29,120 +28,156 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-def bm25_index(passages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """passages(passage_id, text) -> postings (term, passage_id, tf, dl) and lengths (passage_id, dl). Write both to reuse them."""
-    p = passages.select("passage_id", words(F.col("text")).alias("w"))
-    lengths = p.select("passage_id", F.size("w").alias("dl"))
-    postings = p.select("passage_id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("term", "passage_id", "dl").agg(F.count("*").alias("tf"))
-    return postings, lengths
+@dataclass(frozen=True)
+class WordIndex:
+    """Passages as inverted blocks with impacts, and the document frequency of each term; saved, to be used again."""
+
+    blocks: DataFrame
+    df: DataFrame
+    n: int
+
+
+def _labelled(passages: DataFrame) -> DataFrame:
+    return passages if "label" in passages.columns else passages.withColumn("label", F.lit(None).cast("int"))
+
+
+def _frequencies(blocks: DataFrame) -> DataFrame:
+    """(term, df) over inverted blocks: one row for each term of a block, not for each posting."""
+    one = blocks.select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
+    return one.groupBy(F.col("t.terms").alias("term")).agg(F.sum("t.counts").alias("df"))
 
 
-def _query_terms(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+def bm25_index(passages: DataFrame, k1: float = 1.5, b: float = 0.75) -> WordIndex:
+    """An index of passages(passage_id, text[, label]) for BM25; jobs run at once. A label is a small number, or null."""
+    p = spread(_labelled(passages).select("passage_id", "label", "text")).select("passage_id", "label", words(F.col("text")).alias("w"))
+    n, mean = p.agg(F.count("*"), F.avg(F.size("w"))).first()
+    mean = mean or 1.0
+    blocks = saved(finished(passage_blocks(p, "w"), lambda tf, doc, size: tf * (k1 + 1) / (tf + k1 * (1 - b + b * size[doc] / mean))))
+    return WordIndex(blocks, saved(_frequencies(blocks)), n)
+
+
+def _query_terms(queries: DataFrame, terms: Column) -> DataFrame:
+    """(query_id, permits, term, tf); queries may have permits, bits of the labels that a hit may have, array<long>."""
+    permits = F.col("permits") if "permits" in queries.columns else F.lit(None).cast("array<long>")
+    return queries.select("query_id", permits.alias("permits"), F.explode(terms).alias("term")).groupBy("query_id", "permits", "term").agg(F.count("*").alias("tf"))
+
+
+def _asked(queries: DataFrame, weighted: DataFrame, index: WordIndex, k: int | None, allowed: DataFrame | None) -> DataFrame:
+    """Hits of weighted(query_id, permits, term, weight) in an index, each task's k best ranked again."""
+    weighted = saved(weighted)
+    n, entries = weighted.agg(F.count_distinct("query_id"), F.count("*")).first()
+    asked, blocks = question_blocks(weighted, n), index.blocks
+    kinds = dict(queries.dtypes)["query_id"], blocks.schema["ids"].dataType.elementType.simpleString()
+    pairs = None
+    if allowed is not None:
+        asked = saved(asked)
+        blocks = saved(blocks.withColumn("block", F.monotonically_increasing_id()))
+        pairs = _pairs(allowed, asked, blocks)
+    return ranked(best_hits(asked, blocks, k, "words", entries <= BROADCAST_ENTRIES, kinds, pairs), k, places=PLACES)
+
+
+def _pairs(allowed: DataFrame, asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(qblock, block, pairs) of allowed(query_id, passage_id): a pair of blocks has few pairs of rows by its size."""
+    questions = asked.select("qblock", F.explode(F.array_distinct("entries.query_id")).alias("query_id"))
+    places = blocks.select("block", F.explode("ids").alias("passage_id"))
+    met = allowed.select("query_id", "passage_id").join(questions, "query_id").join(places, "passage_id")
+    return met.groupBy("qblock", "block").agg(F.collect_set(F.struct("query_id", "passage_id")).alias("pairs"))
 
 
 def _padded(hits: DataFrame, queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
     """hits with passages of score 0, lowest ids first, up to k for each question."""
-    low = passages.select("passage_id").distinct().orderBy("passage_id").limit(2 * k)
-    zero = F.broadcast(low).join(queries.select("query_id").distinct()).join(hits.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti").withColumn("score", F.lit(0.0))
+    low = passages.select("passage_id").distinct().orderBy("passage_id").limit(2 * k).agg(F.collect_list("passage_id").alias("low"))
+    zero = queries.select("query_id").distinct().crossJoin(F.broadcast(low)).select("query_id", F.explode("low").alias("passage_id"))  # low is one row
+    zero = zero.join(hits.select("query_id", "passage_id"), ["query_id", "passage_id"], "left_anti").withColumn("score", F.lit(0.0))
     return ranked(hits.select("query_id", "passage_id", "score").unionByName(zero.select("query_id", "passage_id", "score")), k, places=PLACES)
 
 
-def bm25_topk(queries: DataFrame, passages: DataFrame, k: int | None, k1: float = 1.5, b: float = 0.75, pad_zero: bool = False, index: tuple[DataFrame, DataFrame] | None = None, allowed: DataFrame | None = None) -> DataFrame:
-    """Okapi BM25 of queries(query_id, text). Statistics are the corpus's, even where allowed(query_id, passage_id) restricts the candidates.
+def bm25_topk(queries: DataFrame, passages: DataFrame, k: int | None, k1: float = 1.5, b: float = 0.75, pad_zero: bool = False, index: WordIndex | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Okapi BM25 of queries(query_id, text[, permits]); jobs run at once. Statistics are the corpus's, whatever is permitted.
 
     A term that more than half of the passages have would count negatively; it counts a quarter of
-    the mean idf of all terms instead. A query's repeated terms count repeatedly.
+    the mean idf of all terms instead. A query's repeated terms count repeatedly. Permitted hits are those whose label's
+    bit is set in permits (all, where either is null), and those in allowed(query_id, passage_id). An index is built of
+    passages unless given (bm25_index, with the same k1 and b). Passages without a common term are no hits.
     """
-    postings, lengths = index or bm25_index(passages)
-    whole = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean_dl"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(whole))
-    raw = df.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    terms = _query_terms(queries)
-    idf = raw.join(terms.select("term").distinct(), "term", "left_semi").join(F.broadcast(mean)).select("term", "mean_dl", F.when(F.col("raw") < 0, 0.25 * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    weighted = terms.join(idf, "term")
-    met = postings.join(weighted, "term")
-    if allowed is not None:
-        met = met.join(allowed.select("query_id", "passage_id").distinct(), ["query_id", "passage_id"], "left_semi")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl")))
-    hits = ranked(met.groupBy("query_id", "passage_id").agg(F.sum(part).alias("score")), k, places=PLACES)
+    index = index or bm25_index(passages, k1, b)
+    raw = index.df.withColumn("raw", F.log(index.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw")).first()[0] or 0.0
+    idf = raw.select("term", F.when(F.col("raw") < 0, 0.25 * mean).otherwise(F.col("raw")).alias("idf"))
+    weighted = _query_terms(queries, words(F.col("text"))).join(idf, "term").select("query_id", "permits", "term", (F.col("tf") * F.col("idf")).alias("weight"))
+    hits = _asked(queries, weighted, index, k, allowed)
     return _padded(hits, queries, passages, k) if pad_zero else hits
 
 
-def tfidf_terms(df: DataFrame, id_col: str, ngram_max: int = 2) -> DataFrame:
-    """(id, term, tf): counts of word n-grams of words of at least two characters."""
-    w = F.filter(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\w\w+"), F.lit(0)), lambda x: F.length(x) > 1)
-    grams = [F.col("w")] + [F.expr(f"if(size(w) < {n}, array(), transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' ')))") for n in range(2, ngram_max + 1)]
-    return df.select(id_col, w.alias("w")).select(id_col, F.explode(F.concat(*grams)).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
-
-
-def tfidf_topk(queries: DataFrame, passages: DataFrame, k: int, ngram_max: int = 2, min_df: int = 1, pad_zero: bool = False, allowed: DataFrame | None = None) -> DataFrame:
-    """Cosine of tf-idf vectors with 1 + ln tf and smoothed idf."""
-    counts = tfidf_terms(passages, "passage_id", ngram_max)
-    whole = passages.agg(F.count("*").alias("n"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).join(F.broadcast(whole))
-    idf = df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weigh = lambda c, i: c.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf")).select(i, "term", "w")
-    p, q = weigh(counts, "passage_id"), weigh(tfidf_terms(queries, "query_id", ngram_max), "query_id")
-    pn = p.groupBy("passage_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("pn"))
-    qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("qn"))
-    met = p.withColumnRenamed("w", "pw").join(q, "term")
-    if allowed is not None:
-        met = met.join(allowed.select("query_id", "passage_id").distinct(), ["query_id", "passage_id"], "left_semi")
-    met = met.groupBy("query_id", "passage_id").agg(F.sum(F.col("pw") * F.col("w")).alias("dot"))
-    hits = ranked(met.join(pn, "passage_id").join(qn, "query_id").select("query_id", "passage_id", (F.col("dot") / (F.col("pn") * F.col("qn"))).alias("score")), k, places=PLACES)
+def ngrams(ngram_max: int = 2) -> Column:
+    """Word n-grams of the column text, of words of at least two characters."""
+    w = "filter(regexp_extract_all(lower(coalesce(text, '')), '\\\\w\\\\w+', 0), x -> length(x) > 1)"
+    more = [f"if(size(w) < {n}, array(), transform(sequence(1, size(w) - {n - 1}), i -> array_join(slice(w, i, {n}), ' ')))" for n in range(2, ngram_max + 1)]
+    return F.expr(f"transform(array({w}), w -> concat({', '.join(['w', *more])}))[0]")
+
+
+def tfidf_index(passages: DataFrame, ngram_max: int = 2, min_df: int = 1) -> WordIndex:
+    """An index of passages(passage_id, text[, label]) for tf-idf cosines; jobs run at once.
+
+    A passage's length needs the idf of all its terms: each term of a block meets its frequency once, however
+    many passages of the block have it.
+    """
+    p = spread(_labelled(passages).select("passage_id", "label", "text")).select("passage_id", "label", ngrams(ngram_max).alias("w"))
+    raw = saved(passage_blocks(p, "w").withColumn("block", F.monotonically_increasing_id()))
+    n = raw.agg(F.sum(F.size("ids"))).first()[0] or 0
+    df = saved(_frequencies(raw).where(F.col("df") >= min_df))
+    idf = df.select("term", _smoothed(n).alias("idf"))
+    each = raw.select("block", F.posexplode("terms").alias("place", "term")).join(idf, "term", "left")
+    weights = each.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("place", F.coalesce("idf", F.lit(0.0)).alias("idf")))).alias("w"))
+    blocks = raw.join(weights.select("block", F.col("w.idf").alias("idf")), "block", "left").drop("block")
+    blocks = blocks.withColumn("idf", F.coalesce("idf", F.array().cast("array<double>")))
+    return WordIndex(saved(finished(blocks, lambda tf, doc, length: (1 + np.log(tf)) / np.where(length > 0, length, np.inf)[doc], "idf")), df, n)
+
+
+def _smoothed(n: int) -> Column:
+    return F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1
+
+
+def tfidf_topk(queries: DataFrame, passages: DataFrame, k: int | None, ngram_max: int = 2, min_df: int = 1, pad_zero: bool = False, index: WordIndex | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """Cosine of tf-idf vectors with 1 + ln tf and smoothed idf; jobs run at once. Permitted hits and index as in bm25_topk()."""
+    index = index or tfidf_index(passages, ngram_max, min_df)
+    idf = index.df.select("term", _smoothed(index.n).alias("idf"))
+    w = (1 + F.log("tf")) * F.col("idf")
+    q = _query_terms(queries, ngrams(ngram_max)).join(idf, "term").select("query_id", "permits", "term", "idf", w.alias("w"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("query_id")))
+    weighted = q.select("query_id", "permits", "term", (F.col("w") / length * F.col("idf")).alias("weight"))
+    hits = _asked(queries, weighted, index, k, allowed)
     return _padded(hits, queries, passages, k) if pad_zero else hits
 
 
-def dense_topk(queries: DataFrame, passages: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
-    """Exact inner products of queries(query_id, vec) with passages(passage_id, vec).
+def dense_topk(queries: DataFrame, passages: DataFrame, k: int | None, allowed: DataFrame | None = None, blocks: DataFrame | None = None) -> DataFrame:
+    """Exact inner products of queries(query_id, vec[, permits]) with passages(passage_id, vec[, label]); a count runs at once.
 
-    Queries are taken in blocks of at most QUERY_BLOCK; each partition of the passages keeps the
-    best k for each query, so what is shuffled is partitions * queries * k rows. With allowed, the
-    few permitted pairs are joined instead.
+    Blocks of questions meet blocks of passages; each task keeps the best k for each question, so what is
+    shuffled is tasks * questions * k rows. Permitted hits are as in bm25_topk(). blocks are saved
+    vector_blocks() of the passages, to use them again. A question has one vector; all have one length.
     """
+    kinds = dict(queries.dtypes)["query_id"], dict(passages.dtypes)["passage_id"]
+    permits = F.col("permits") if "permits" in queries.columns else F.lit(None).cast("array<long>")
+    entries = queries.select("query_id", permits.alias("permits"), "vec")
+    n, numbers = entries.agg(F.count("*"), F.sum(F.size("vec"))).first()
+    asked = question_blocks(entries, n)
+    blocks, pairs = vector_blocks(_labelled(passages)) if blocks is None else blocks, None
     if allowed is not None:
-        pairs = allowed.select("query_id", "passage_id").distinct().join(passages.select("passage_id", F.col("vec").alias("pv")), "passage_id").join(queries.select("query_id", "vec"), "query_id")
-        return ranked(pairs.select("query_id", "passage_id", F.expr("aggregate(zip_with(vec, pv, (a, b) -> cast(a AS double) * cast(b AS double)), 0.0D, (s, x) -> s + x)").alias("score")), k)
-    kind = dict(passages.dtypes)["passage_id"], dict(queries.dtypes)["query_id"]
-    blocks: list[DataFrame] = []
-    ids = [r[0] for r in queries.select("query_id").distinct().orderBy("query_id").collect()]  # the stated questions, not the corpus
-    for low in range(0, len(ids), QUERY_BLOCK):
-        part = queries.where(F.col("query_id").between(ids[low], ids[min(low + QUERY_BLOCK, len(ids)) - 1])).select("query_id", "vec").orderBy("query_id").toPandas()
-        names, matrix = part["query_id"].to_numpy(), np.stack(part["vec"].map(lambda v: np.asarray(v, float)))
-        shared = passages.sparkSession.sparkContext.broadcast((names, matrix))
-
-        def run(parts: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            names, matrix = shared.value
-            best: pd.DataFrame | None = None
-            for part in parts:
-                if not len(part):
-                    continue
-                score = matrix @ np.stack(part["vec"].map(lambda v: np.asarray(v, float))).T
-                keep = np.argsort(-score, axis=1, kind="stable")[:, : k + 8] if score.shape[1] > k + 8 else np.tile(np.arange(score.shape[1]), (len(names), 1))
-                cut = np.take_along_axis(score, keep, 1)[:, -1:]
-                rows, cols = np.nonzero(score >= cut) if score.shape[1] > k + 8 else (np.repeat(np.arange(len(names)), score.shape[1]), keep.ravel())
-                new = pd.DataFrame({"query_id": names[rows], "passage_id": part["passage_id"].to_numpy()[cols], "score": score[rows, cols]})
-                both = new if best is None else pd.concat((best, new))
-                best = both.sort_values(["query_id", "score", "passage_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if best is not None:
-                yield best
-
-        blocks.append(passages.select("passage_id", "vec").mapInPandas(run, f"query_id {kind[1]}, passage_id {kind[0]}, score double"))
-    if not blocks:
-        return ranked(passages.select(F.lit(None).cast(kind[1]).alias("query_id"), "passage_id", F.lit(0.0).alias("score")).limit(0), k)
-    out = blocks[0]
-    for more in blocks[1:]:
-        out = out.unionByName(more)
-    return ranked(out, k)
-
-
-def hybrid(dense: DataFrame, sparse: DataFrame, k: int, alpha: float = 0.5, pool: int = 50) -> DataFrame:
+        blocks, asked = saved(blocks.withColumn("block", F.monotonically_increasing_id())), saved(asked)
+        pairs = _pairs(allowed, asked, blocks)
+    return ranked(best_hits(asked, blocks, k, "vectors", (numbers or 0) <= BROADCAST_ENTRIES, kinds, pairs), k)
+
+
+def _pool(hits: DataFrame, pool: int | None) -> DataFrame:
+    return hits if pool is None else hits.where(F.col("rank") <= pool)
+
+
+def hybrid(dense: DataFrame, sparse: DataFrame, k: int | None, alpha: float = 0.5, pool: int | None = 50) -> DataFrame:
     """alpha * dense + (1 - alpha) * sparse, each scaled to 0..1 over its question's pool; a list of equal scores is all 1, a missing side 0."""
 
     def scaled(hits: DataFrame, name: str) -> DataFrame:
-        h, of = hits.where(F.col("rank") <= pool), Window.partitionBy("query_id")
+        h, of = _pool(hits, pool), Window.partitionBy("query_id")
         low, high = F.min("score").over(of), F.max("score").over(of)
         return h.select("query_id", "passage_id", F.when(high > low, (F.col("score") - low) / (high - low)).otherwise(1.0).alias(name))
 
@@ -151,9 +186,9 @@ def hybrid(dense: DataFrame, sparse: DataFrame, k: int, alpha: float = 0.5, pool
     return ranked(both.select("query_id", "passage_id", score.alias("score")), k)
 
 
-def rrf(lists: list[DataFrame], k: int, c: int = 60, pool: int = 50) -> DataFrame:
+def rrf(lists: list[DataFrame], k: int | None, c: int = 60, pool: int | None = 50) -> DataFrame:
     """Reciprocal rank fusion: the sum of 1 / (c + rank)."""
-    every = [x.where(F.col("rank") <= pool).select("query_id", "passage_id", "rank") for x in lists]
+    every = [_pool(x, pool).select("query_id", "passage_id", "rank") for x in lists]
     out = every[0]
     for x in every[1:]:
         out = out.unionByName(x)
@@ -202,14 +237,20 @@ def allowed_passages(allowed: DataFrame, passages: DataFrame) -> DataFrame:
     return passages.select("passage_id", F.explode("keys").alias("key")).join(allowed, "key").select("query_id", "passage_id").distinct()
 
 
-def gate(hits: DataFrame, restricted: DataFrame, permitted: DataFrame, k: int) -> DataFrame:
-    """hits of unrestricted questions as they are; of restricted(query_id) only those in permitted(query_id, passage_id), ranked again.
+def gate(hits: DataFrame, restricted: DataFrame, permitted: DataFrame, k: int, keys: DataFrame | None = None) -> DataFrame:
+    """hits of unrestricted questions as they are; of restricted(query_id) only permitted ones, ranked again.
 
-    To gate before ranking, give permitted to the retriever as `allowed`.
+    permitted has (query_id, passage_id) or, with keys(passage_id, key), (query_id, key): a hit is
+    permitted if any of its keys is. Only hits are joined, never all permitted pairs. To gate before ranking, give
+    the retriever labels and permits, or pairs as `allowed`.
     """
     r = restricted.select("query_id").distinct()
     free = hits.join(r, "query_id", "left_anti").where(F.col("rank") <= k).select("query_id", "passage_id", "score", "rank")
-    held = hits.join(r, "query_id", "left_semi").join(permitted, ["query_id", "passage_id"], "left_semi").select("query_id", "passage_id", "score")
+    held = hits.join(r, "query_id", "left_semi").select("query_id", "passage_id", "score")
+    if keys is None:
+        held = held.join(permitted, ["query_id", "passage_id"], "left_semi")
+    else:
+        held = held.join(keys.select("passage_id", "key"), "passage_id").join(permitted, ["query_id", "key"], "left_semi").drop("key").distinct()
     return free.unionByName(ranked(held, k))
 
 
@@ -253,26 +294,33 @@ class Pipeline:
 def compose(p: Pipeline, queries: DataFrame, passages: DataFrame, restricted: DataFrame | None = None, permitted: DataFrame | None = None, gate_at: str = "pre", scorer: Callable = token_f1) -> DataFrame:
     """One plan: source, then MMR, rerank and gate. queries(query_id, text, vec), passages(passage_id, text, vec).
 
-    gate_at "pre" lets restricted questions rank permitted passages only; "post" ranks all first.
+    gate_at "pre" lets restricted questions rank permitted passages only; "post" ranks all first and gates
+    every hit of the source, or the whole pool that MMR or reranking work on.
     """
     if p.use_gate and gate_at == "pre":
-        free, held = queries.join(restricted.select("query_id").distinct(), "query_id", "left_anti"), queries.join(restricted.select("query_id").distinct(), "query_id", "left_semi")
-        inner = Pipeline(p.source, p.use_mmr, p.use_rerank, False, p.k, p.pool)
-        return _composed(inner, free, passages, None, scorer).unionByName(_composed(inner, held, passages, permitted, scorer))
-    hits = _composed(p if not p.use_gate else Pipeline(p.source, p.use_mmr, p.use_rerank, False, 10**6, 10**6), queries, passages, None, scorer)
+        limited = restricted.select("query_id").distinct()
+        free, held = queries.join(limited, "query_id", "left_anti"), queries.join(limited, "query_id", "left_semi")
+        return _composed(p, free, passages, None, scorer).unionByName(_composed(p, held, passages, permitted, scorer))
+    hits = _composed(p, queries, passages, None, scorer, whole=p.use_gate)
     return gate(hits, restricted, permitted, p.k) if p.use_gate else hits
 
 
-def _composed(p: Pipeline, queries: DataFrame, passages: DataFrame, allowed: DataFrame | None, scorer: Callable) -> DataFrame:
-    n = p.k if not (p.use_mmr or p.use_rerank) else p.pool
-    deep = max(n, p.pool)
-    lists: dict[str, Callable[[], DataFrame]] = {"dense": lambda: dense_topk(queries, passages, deep, allowed), "bm25": lambda: bm25_topk(queries, passages, deep, allowed=allowed), "tfidf": lambda: tfidf_topk(queries, passages, deep, allowed=allowed)}
+def _composed(p: Pipeline, queries: DataFrame, passages: DataFrame, allowed: DataFrame | None, scorer: Callable, whole: bool = False) -> DataFrame:
+    """The pipeline without its gate; whole leaves out the cut to k."""
+    shortlist = p.use_mmr or p.use_rerank
+    n = p.pool if shortlist else None if whole else p.k
+    k = p.pool if whole else p.k
+    deep = None if n is None else max(n, p.pool)
+    lists: dict[str, Callable[[], DataFrame]] = {
+        "dense": lambda: dense_topk(queries, passages, deep, allowed), "bm25": lambda: bm25_topk(queries, passages, deep, allowed=allowed),
+        "tfidf": lambda: tfidf_topk(queries, passages, deep, allowed=allowed),
+    }
     if p.source in lists:
-        hits = lists[p.source]().where(F.col("rank") <= n)
+        hits = _pool(lists[p.source](), n)
     elif p.source == "rrf":
         hits = rrf([lists["dense"](), lists["bm25"]()], n, pool=deep)
     else:
         hits = hybrid(lists["dense"](), lists["bm25"](), n, pool=deep)
     if p.use_mmr:
-        hits = mmr(hits, passages, p.pool if p.use_rerank else p.k)
-    return rerank(hits, queries, passages, p.k, pool=p.pool, scorer=scorer) if p.use_rerank else hits
+        hits = mmr(hits, passages, p.pool if p.use_rerank else k)
+    return rerank(hits, queries, passages, k, pool=p.pool, scorer=scorer) if p.use_rerank else hits

@@ -47,9 +47,10 @@ n AS (SELECT query_id FROM rel GROUP BY 1), h AS (SELECT DISTINCT query_id FROM
 SELECT count(*) AS n_questions, round(avg(CASE WHEN h.query_id IS NULL THEN 0 ELSE 1 END), 4) AS hit_at_5 FROM n LEFT JOIN h USING (query_id)""")
 def minimum_slice(spark, d):
     """BM25 for every benchmark text, without toxic documents; the share of questions with a document that has the text."""
-    p = passages(spark, d)
-    hits = R.bm25_topk(questions(spark, d), p, None).join(toxic(spark, d), "passage_id", "left_anti").select("query_id", "passage_id", "score")
-    top = R.ranked(stable(hits), 5)
+    bad = toxic(spark, d).select("passage_id", F.lit(1).alias("label"))
+    labelled = passages(spark, d).join(bad, "passage_id", "left").withColumn("label", F.coalesce("label", F.lit(0)))
+    only_0 = questions(spark, d).withColumn("permits", F.array(F.lit(1).cast("long")))
+    top = R.bm25_topk(only_0, labelled, 5).select("query_id", "passage_id", "score", "rank")
     rel = relevant(spark, d)
     m = E.ranking_metrics(rel.select("query_id").distinct(), top.withColumnRenamed("passage_id", "record_id"), rel.withColumnRenamed("passage_id", "record_id"))
     return m.agg(F.count("*").alias("n_questions"), F.round(F.avg("hit"), 4).alias("hit_at_5"))
@@ -100,12 +101,14 @@ def r09_merge_queries(spark, d):
 @plans(with_("dn") + """, r AS (SELECT query_id, passage_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM dn JOIN embeddings e ON e.vec_id = passage_id WHERE query_id % 40 = 0 OR e.label != 3) """ + ROUNDED + "r WHERE rank <= 10")
 def r10_gate(spark, d):
     """Every second question excludes the vectors of label 3, before ranking."""
-    q, p = vectors(spark, d)
-    held = q.where("query_id % 40 != 0")
-    ok = table(spark, d, "embeddings").where("label != 3").select(F.col("vec_id").alias("passage_id"))
-    permitted = ok.join(F.broadcast(held.select("query_id")))
-    hits = R.dense_topk(q.where("query_id % 40 = 0"), p, 10).unionByName(R.dense_topk(held, p, 10, allowed=permitted))
-    return rounded(R.gate(hits, held, permitted, 10))
+    q, _ = vectors(spark, d)
+    p = table(spark, d, "embeddings").select(F.col("vec_id").alias("passage_id"), F.col("embedding").alias("vec"), "label")
+    held = q.where("query_id % 40 != 0").select("query_id")
+    permits = F.when(F.col("query_id") % 40 != 0, F.array(F.expr("~shiftleft(1L, 3)")))
+    hits = R.dense_topk(q.withColumn("permits", permits), p, 10)
+    keys = p.select("passage_id", F.col("label").alias("key"))
+    permitted = held.crossJoin(F.broadcast(keys.select("key").distinct().where("key != 3")))  # questions x the few labels
+    return rounded(R.gate(hits, held, permitted, 10, keys))
 
 
 @plans()
