@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.functions.saved import saved
+from rankweave.operators.automaton import contained
 from rankweave.operators.vocab import normalised, resolve
 
 # Words without content, and prices in USD for a million tokens (in, out).
@@ -110,24 +111,16 @@ def chunk_profile(chunks: DataFrame) -> DataFrame:
 
 
 # --- fingerprints ---------------------------------------------------------------------------------
-def _contains(texts: DataFrame, text_id: str, atoms: DataFrame) -> DataFrame:
-    """(text_id, record_id, atom) where the text contains the atom: by the atom's longest word, then exactly. An atom without words meets every text."""
-    w = F.regexp_extract_all(F.lower("atom"), F.lit(r"[a-z0-9]+"), F.lit(0))
-    # An atom's first and last word may be cut from a longer one; only inner words are sure to be whole.
-    inner = F.when(F.size(w) > 2, F.slice(w, F.lit(2), F.size(w) - 2))
-    anchor = F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x")))), -1)["x"]
-    a = atoms.select("record_id", "atom").distinct().withColumn("anchor", anchor)
-    t = texts.select(text_id, F.col("text").alias("_t"))
-    sure = a.where("anchor IS NOT NULL")
-    hits = t.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_t"), F.lit("[a-z0-9]+"), F.lit(0)))).alias("anchor")).join(sure, "anchor").join(t, text_id).where(F.col("_t").contains(F.col("atom")))
-    short = t.join(F.broadcast(a.where("anchor IS NULL")), F.col("_t").contains(F.col("atom")))
-    return hits.select(text_id, "record_id", "atom").unionByName(short.select(text_id, "record_id", "atom"))
+def containing(texts: DataFrame, text_id: str, atoms: DataFrame) -> DataFrame:
+    """(text_id, record_id, atom) where the whole text contains the atom of atoms(record_id, atom)."""
+    a = atoms.select("record_id", "atom").distinct()
+    return contained(texts, text_id, a).join(a, "atom").select(text_id, "record_id", "atom")
 
 
 def fingerprints(golden: DataFrame, docs: DataFrame, least_chars: int = 8, most_docs: int = 3) -> DataFrame:
     """golden(record_id, title, atoms), docs(doc_id, text) -> (record_id, title, title_atom, atoms, usable): atoms that one to three documents contain."""
     a = golden.select("record_id", F.posexplode("atoms").alias("at", "atom")).where(F.length("atom") >= least_chars)
-    n = _contains(docs, "doc_id", a.select("record_id", "atom")).groupBy("record_id", "atom").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n").between(1, most_docs))
+    n = containing(docs, "doc_id", a.select("record_id", "atom")).groupBy("record_id", "atom").agg(F.count_distinct("doc_id").alias("n")).where(F.col("n").between(1, most_docs))
     kept = a.join(n, ["record_id", "atom"]).join(golden.select("record_id", "title"), "record_id")
     g = kept.groupBy("record_id").agg(F.array_sort(F.collect_set("atom")).alias("atoms"), F.max_by(F.when(F.col("title").contains(F.col("atom")), F.col("atom")), F.when(F.col("title").contains(F.col("atom")), F.col("at"))).alias("title_atom"))
     out = golden.select("record_id", "title").join(g, "record_id", "left").withColumn("atoms", F.coalesce("atoms", F.array().cast("array<string>")))
@@ -137,7 +130,7 @@ def fingerprints(golden: DataFrame, docs: DataFrame, least_chars: int = 8, most_
 def match_records(passages: DataFrame, prints: DataFrame, id_col: str = "passage_id") -> DataFrame:
     """(passage, record_id) where the passage contains the record's title atom or two of its atoms."""
     u = prints.where("usable")
-    met = _contains(passages, id_col, u.select("record_id", F.explode("atoms").alias("atom"))).distinct().join(u.select("record_id", "title_atom"), "record_id")
+    met = containing(passages, id_col, u.select("record_id", F.explode("atoms").alias("atom"))).distinct().join(u.select("record_id", "title_atom"), "record_id")
     g = met.groupBy(id_col, "record_id").agg(F.count("*").alias("n"), F.coalesce(F.bool_or(F.col("atom") == F.col("title_atom")), F.lit(False)).alias("by_title"))
     return g.where("n >= 2 OR by_title").select(id_col, "record_id")
 

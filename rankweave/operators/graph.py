@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankweave.functions.saved import saved
 from rankweave.operators.extract import ACTIONS, EQUIPMENT, extract_terms
+from rankweave.operators.sets import containing_all, containing_any, lacking_at_most
 from rankweave.operators.vocab import category_of, resolve
 
 MIN_ITEMS = 2
@@ -160,40 +162,37 @@ def filter_recipes(questions: DataFrame, recipes: DataFrame, uses: DataFrame, in
 
     Names are canonical; one that is no item of the graph is unresolvable. If a question includes
     names and none resolves, it has no records; an unresolvable exclusion is none; a question
-    without conditions has all real records.
+    without conditions has all real records. A job runs at once.
     """
     q = questions.select("query_id", F.coalesce("course", F.lit("")).alias("course"), *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("include", "exclude", "exclude_categories")))
     real = all_real(recipes).select("key", "course") if "course" in recipes.columns else all_real(recipes).select("key", F.lit(None).cast("string").alias("course"))
     edges = uses.select("key", "item").distinct()
     wanted = q.select("query_id", F.explode(F.array_distinct("include")).alias("item")).join(ingredients.select("item").distinct(), "item", "left_semi")
-    n_wanted = wanted.groupBy("query_id").agg(F.count("*").alias("n_wanted"))
-    need = F.lit(1) if include_mode == "any" else F.col("n_wanted")
-    hits = wanted.join(edges, "item").groupBy("query_id", "key").agg(F.count("*").alias("n_hit"))
-    hits = hits.join(n_wanted, "query_id").where(F.col("n_hit") >= need).select("query_id", "key")
+    hits = containing_any(wanted, edges) if include_mode == "any" else containing_all(wanted, edges)
 
     open_q = q.where("size(include) = 0").select("query_id", "course")
-    from_all = real.withColumnRenamed("course", "of").join(F.broadcast(open_q), (F.col("course") == "") | (F.col("course") == F.col("of"))).select("query_id", "key")
+    of_any = open_q.where("course = ''").select("query_id").crossJoin(real.select("key"))  # the answer to no condition
+    of_course = open_q.where("course != ''").join(real, "course").select("query_id", "key")
     from_hits = hits.join(q.where("size(include) > 0").select("query_id", "course"), "query_id").join(real.withColumnRenamed("course", "of"), "key").where("course = '' OR course = of").select("query_id", "key")
-    chosen = from_all.unionByName(from_hits)
+    chosen = saved(of_any.unionByName(of_course).unionByName(from_hits))
 
-    names = q.select("query_id", F.explode("exclude").alias("item"))
-    families = q.select("query_id", F.explode("exclude_categories").alias("category")).where("category NOT IN ('', 'none')").join(ingredients.select("item", "category"), "category").select("query_id", "item")
-    banned = names.unionByName(families).distinct().join(edges, "item").select("query_id", "key").distinct()
-    return chosen.join(banned, ["query_id", "key"], "left_anti")
+    # only chosen records are looked at for what is excluded
+    names = q.select("query_id", F.explode("exclude").alias("item")).distinct()
+    families = q.select("query_id", F.explode("exclude_categories").alias("category")).where("category NOT IN ('', 'none')").distinct()
+    limited = names.select("query_id").unionByName(families.select("query_id")).distinct()
+    held = chosen.join(limited, "query_id", "left_semi").join(edges, "key")
+    by_name = held.join(names, ["query_id", "item"], "left_semi").select("query_id", "key")
+    by_family = held.join(ingredients.select("item", "category").distinct(), "item").join(families, ["query_id", "category"], "left_semi").select("query_id", "key")
+    return chosen.join(by_name.unionByName(by_family), ["query_id", "key"], "left_anti")
 
 
 def pantry_gap(pantries: DataFrame, recipes: DataFrame, uses: DataFrame, max_missing: int = 3, limit: int = 20) -> DataFrame:
     """pantries(pantry_id, item) -> (pantry_id, key, n_needed, n_missing, missing, place): records that lack at most max_missing items, best first."""
-    edges = uses.select("key", "item").distinct().join(all_real(recipes).select("key"), "key", "left_semi")
-    needed = edges.groupBy("key").agg(F.count("*").alias("n_needed"))
-    own = pantries.select("pantry_id", "item").distinct()
-    hits = own.join(edges, "item").groupBy("pantry_id", "key").agg(F.count("*").alias("n_have"))
-    met = hits.join(needed, "key").where(F.col("n_needed") - F.col("n_have") <= max_missing)
-    small = needed.where(F.col("n_needed") <= max_missing)
-    unmet = small.join(F.broadcast(own.select("pantry_id").distinct())).join(hits, ["pantry_id", "key"], "left_anti").withColumn("n_have", F.lit(0).cast("long"))
-    c = met.select("pantry_id", "key", "n_needed", "n_have").unionByName(unmet.select("pantry_id", "key", "n_needed", "n_have")).withColumn("n_missing", F.col("n_needed") - F.col("n_have"))
+    edges = saved(uses.select("key", "item").distinct().join(all_real(recipes).select("key"), "key", "left_semi"))
+    own = saved(pantries.select("pantry_id", "item").distinct())
+    c = lacking_at_most(own, edges, max_missing, limit)
     order = Window.partitionBy("pantry_id").orderBy("n_missing", F.desc("n_needed"), "key")
-    top = c.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit).drop("n_have")
+    top = c.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
     gap = top.join(edges, "key").join(own, ["pantry_id", "item"], "left_anti").groupBy("pantry_id", "key").agg(F.array_sort(F.collect_set("item")).alias("missing"))
     return top.join(gap, ["pantry_id", "key"], "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
 

@@ -210,12 +210,11 @@ def g22_graph_stats(spark, d):
     return G.graph_stats(r, u, i)
 
 
-@plans(with_("uses", "recipes") + "SELECT key, n_items, list(item ORDER BY item) AS items FROM recipes JOIN uses USING (key) WHERE course = '5-LOW' GROUP BY ALL")
+@plans(with_("uses", "recipes") + "SELECT key, n_items, list(item ORDER BY item) AS items FROM recipes JOIN uses USING (key) GROUP BY ALL")
 def g21_recipe_cards(spark, d):
     r, u, _ = _world(spark, d)
-    low = r.where("course = '5-LOW'")
-    texts = low.select("key", F.lit(None).cast("string").alias("text"))
-    return G.recipe_cards(low, r, u, texts).select("key", F.size("items").cast("long").alias("n_items"), "items")
+    texts = r.select("key", F.lit(None).cast("string").alias("text"))
+    return G.recipe_cards(r, r, u, texts).select("key", F.size("items").cast("long").alias("n_items"), "items")
 
 
 @plans(PANTRY + SUBST.replace(with_("uses", "ingredients", "recipes", "real", "edges"), ", " + with_("ingredients").removeprefix("WITH ").strip()) + """, pick AS (SELECT pantry_id, key FROM top WHERE place <= 20),

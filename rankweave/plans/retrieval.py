@@ -14,7 +14,7 @@ plans = Plans()
 BM25 = with_("words", "post", "qt", "len", "idf0", "idf", "bm", "bm25")
 TFIDF = with_("gram", "tw", "norm", "tf", "tfidf")
 BOTH = with_("words", "post", "qt", "len", "idf0", "idf", "bm", "bm25", "gram", "tw", "norm", "tf", "tfidf")
-RELEVANT = "rel AS (SELECT b.item_id AS query_id, d.doc_id AS passage_id FROM benchmark b JOIN documents d ON contains(d.text, left(b.text, 60)))"
+RELEVANT = "rel AS (SELECT b.item_id AS query_id, d.doc_id AS passage_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 ROUNDED = "SELECT query_id, passage_id, round(round(score, 9), 5) AS score, rank FROM "
 
 
@@ -33,9 +33,9 @@ def vectors(spark, d):
 
 
 def relevant(spark, d):
-    """(query_id, passage_id): documents that contain the first 60 characters of a benchmark text."""
-    golden = questions(spark, d).select(F.col("query_id").alias("record_id"), F.substring("text", 1, 60).alias("atom"))
-    return E._contains(passages(spark, d), "passage_id", golden).select(F.col("record_id").alias("query_id"), "passage_id").distinct()
+    """(query_id, passage_id): documents that contain a whole benchmark text."""
+    golden = questions(spark, d).select(F.col("query_id").alias("record_id"), F.col("text").alias("atom"))
+    return E.containing(passages(spark, d), "passage_id", golden).select(F.col("record_id").alias("query_id"), "passage_id").distinct()
 
 
 def toxic(spark, d):
