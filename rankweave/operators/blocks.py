@@ -225,6 +225,7 @@ def best_hits(questions: DataFrame, blocks: DataFrame, k: int | None, kind: str,
         grid = blocks.crossJoin(F.broadcast(questions) if small else questions)  # packed rows, one for each pair of blocks
     else:
         grid = allowed.join(blocks, "block").join(F.broadcast(questions) if small else questions, "qblock")
+    paired = allowed is not None
     unpacked = {"words": _Words, "vectors": _Vectors}[kind]
     places = PLACES if kind == "words" else None
 
@@ -256,7 +257,7 @@ def best_hits(questions: DataFrame, blocks: DataFrame, k: int | None, kind: str,
                     ok = _permitted(asked.permits, question, labels[place])
                     question, place, score = question[ok], place[ok], score[ok]
                 ids = _list(batch.column("ids"), row)
-                if allowed is not None:
+                if paired:
                     pairs = batch.column("pairs")[row].values
                     one = pc.index_in(pairs.field("query_id"), value_set=asked.ids).fill_null(0).to_numpy().astype(np.int64)
                     two = pc.index_in(pairs.field("passage_id"), value_set=ids).fill_null(0).to_numpy().astype(np.int64)

@@ -166,7 +166,7 @@ def filter_recipes(questions: DataFrame, recipes: DataFrame, uses: DataFrame, in
     """
     q = questions.select("query_id", F.coalesce("course", F.lit("")).alias("course"), *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("include", "exclude", "exclude_categories")))
     real = all_real(recipes).select("key", "course") if "course" in recipes.columns else all_real(recipes).select("key", F.lit(None).cast("string").alias("course"))
-    edges = uses.select("key", "item").distinct()
+    edges = uses.select("key", "item")
     wanted = q.select("query_id", F.explode(F.array_distinct("include")).alias("item")).join(ingredients.select("item").distinct(), "item", "left_semi")
     hits = containing_any(wanted, edges) if include_mode == "any" else containing_all(wanted, edges)
 
@@ -188,12 +188,12 @@ def filter_recipes(questions: DataFrame, recipes: DataFrame, uses: DataFrame, in
 
 def pantry_gap(pantries: DataFrame, recipes: DataFrame, uses: DataFrame, max_missing: int = 3, limit: int = 20) -> DataFrame:
     """pantries(pantry_id, item) -> (pantry_id, key, n_needed, n_missing, missing, place): records that lack at most max_missing items, best first."""
-    edges = saved(uses.select("key", "item").distinct().join(all_real(recipes).select("key"), "key", "left_semi"))
+    edges = uses.select("key", "item").distinct().join(all_real(recipes).select("key"), "key", "left_semi")
     own = saved(pantries.select("pantry_id", "item").distinct())
     c = lacking_at_most(own, edges, max_missing, limit)
     order = Window.partitionBy("pantry_id").orderBy("n_missing", F.desc("n_needed"), "key")
-    top = c.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit)
-    gap = top.join(edges, "key").join(own, ["pantry_id", "item"], "left_anti").groupBy("pantry_id", "key").agg(F.array_sort(F.collect_set("item")).alias("missing"))
+    top = saved(c.withColumn("place", F.row_number().over(order)).where(F.col("place") <= limit))
+    gap = edges.join(top.select("pantry_id", "key"), "key").join(own, ["pantry_id", "item"], "left_anti").groupBy("pantry_id", "key").agg(F.array_sort(F.collect_set("item")).alias("missing"))
     return top.join(gap, ["pantry_id", "key"], "left").withColumn("missing", F.coalesce("missing", F.array().cast("array<string>")))
 
 

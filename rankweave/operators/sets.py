@@ -1,7 +1,7 @@
 """Set containment joins by prefixes of rare items.
 
-A set that must share all but m of its items with another one shares one of any m + 1 of them. So only its
-m + 1 rarest items, rare in the other table, look for partners; what they meet is counted exactly.
+A set that must share all but m of its items with another one shares j of any m + j of them. So only its
+m + j rarest items, rare in the other table, look for partners; what they meet often enough is counted exactly.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ def by_rarity(sets: DataFrame, id_col: str, others: DataFrame) -> DataFrame:
 
 
 def containing_all(wanted: DataFrame, edges: DataFrame) -> DataFrame:
-    """(query_id, key) of edges(key, item), without repeats, that have every item of wanted(query_id, item), without repeats.
+    """(query_id, key) of edges(key, item) that have every item of wanted(query_id, item), which has no repeats.
 
     The rarest wanted item finds candidates; only their other items are looked up.
     """
     order = by_rarity(wanted, "query_id", edges)
-    found = order.where("place = 1").join(edges, "item").select("query_id", "key", "size")
+    found = order.where("place = 1").join(edges, "item").select("query_id", "key", "size").distinct()
     rest = found.where("size > 1").join(order.where("place > 1").select("query_id", "item"), "query_id")
     whole = rest.join(edges, ["key", "item"], "left_semi").groupBy("query_id", "key", "size").agg(F.count("*").alias("n")).where("n = size - 1")
     return found.where("size = 1").select("query_id", "key").unionByName(whole.select("query_id", "key"))
@@ -47,11 +47,10 @@ def lacking_at_most(own: DataFrame, edges: DataFrame, m: int, limit: int) -> Dat
     are numbered once, and as many more numbers are taken as the pantry has met small sets.
     """
     order = saved(by_rarity(edges, "key", own))
-    prefix = order.where(F.col("place") <= m + 1)
-    met = own.join(prefix, "item").groupBy("pantry_id", "key", "size").agg(F.count("*").alias("n_first"))
-    # all others of a set's items are at hand: it may still come to size - m
-    met = saved(met.where(F.col("n_first") + F.greatest(F.col("size") - (m + 1), F.lit(0)) >= F.col("size") - m))
-    more = met.where(F.col("size") > m + 1).select("pantry_id", "key").join(order.where(F.col("place") > m + 1).select("key", "item"), "key")
+    must = F.least(F.col("size") - m, F.lit(2))  # so many of the first m + 2 items are at hand, or at most m + 1 are needed at all
+    met = own.join(order.where(F.col("place") <= m + 2), "item").groupBy("pantry_id", "key", "size").agg(F.count("*").alias("n_first"))
+    met = saved(met.where(F.col("n_first") >= must))
+    more = met.where(F.col("size") > m + 2).select("pantry_id", "key").join(order.where(F.col("place") > m + 2).select("key", "item"), "key")
     more = more.join(own, ["pantry_id", "item"], "left_semi").groupBy("pantry_id", "key").agg(F.count("*").alias("n_more"))
     near = met.join(more, ["pantry_id", "key"], "left").select("pantry_id", "key", F.col("size").alias("n_needed"), (F.col("size") - F.col("n_first") - F.coalesce("n_more", F.lit(0))).alias("n_missing"))
 

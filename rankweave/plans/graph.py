@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankweave.functions.saved import saved
 from rankweave.operators import evaluate as E
 from rankweave.operators import extract as X
 from rankweave.operators import graph as G
@@ -154,6 +155,12 @@ def g15_of_course(spark, d):
     return G.of_course(recipes(spark, d), "1-URGENT").select("key")
 
 
+def stored_world(spark, d):
+    """Records, uses and items, written once, as a graph that many questions are asked of."""
+    u = saved(uses(spark, d))
+    return saved(recipes(spark, d, u)), u, ingredients(spark, d)
+
+
 def constraint_questions(spark, d):
     """A question for each pair of an order priority and a part's family: of that priority, with a name of one family and nothing of another."""
     c = table(spark, d, "orders").select(F.col("o_orderpriority").alias("course")).distinct()
@@ -170,7 +177,7 @@ hit AS (SELECT q.query_id, r.key FROM q JOIN real r USING (course) JOIN edges e
 
 @plans(QUESTION_SQL + "SELECT query_id, key FROM hit")
 def g16_filter_recipes(spark, d):
-    return G.filter_recipes(constraint_questions(spark, d), *_world(spark, d))
+    return G.filter_recipes(constraint_questions(spark, d), *stored_world(spark, d))
 
 
 def pantries(spark, d):
@@ -186,7 +193,7 @@ top AS (SELECT *, row_number() OVER (PARTITION BY pantry_id ORDER BY n_missing,
 
 @plans(PANTRY + """SELECT pantry_id, key, n_needed, n_missing, place, coalesce((SELECT list(e.item ORDER BY e.item) FROM edges e WHERE e.key = top.key AND NOT EXISTS (SELECT 1 FROM own WHERE own.pantry_id = top.pantry_id AND own.item = e.item)), []) AS missing FROM top WHERE place <= 20""")
 def g17_pantry_gap(spark, d):
-    r, u, _ = _world(spark, d)
+    r, u, _ = stored_world(spark, d)
     return G.pantry_gap(pantries(spark, d), r, u)
 
 

@@ -34,9 +34,9 @@ def ingredients(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_name").alias("item"), F.split("p_name", " ")[1].alias("category")).distinct()
 
 
-def recipes(spark: SparkSession, d: str) -> DataFrame:
+def recipes(spark: SparkSession, d: str, used: DataFrame | None = None) -> DataFrame:
     o = table(spark, d, "orders").select(F.concat(F.lit("o:"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderpriority").alias("course"), F.lit(None).cast("array<int>").alias("pages"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("title"))
-    n = uses(spark, d).groupBy("key").agg(F.count_distinct("item").alias("n_items"))
+    n = (uses(spark, d) if used is None else used).groupBy("key").agg(F.count_distinct("item").alias("n_items"))
     return o.join(n, "key").withColumn("is_recipe", F.col("n_items") >= 2)
 
 
