@@ -11,26 +11,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankweave.functions.numbering import numbered
+
 SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ", "")
 SECTION_HEADING = r"(?im)^(?:ingredients?|method|directions?|steps?|preparation)[ \t\r\f\v]*:?[ \t\r\f\v]*$"
 CHUNKS = "source string, doc_id string, chunk_no int, start long, end long, text string"
-SPAN_BLOCK = 100_000
 
 
 def build_spans(docs: DataFrame, separator: str = "\n\n", order_col: str = "ord") -> DataFrame:
     """docs(source, ord, doc_id, title, text) -> spans with start and end in their source's joined text.
 
-    Blank documents are skipped. Sums run within blocks of SPAN_BLOCK of ord and then over the
-    blocks' totals, so a source of any size is no single task. ord are unique numbers.
+    Blank documents are skipped. Lengths are numbered and summed in order without their texts, over ranges of the
+    order, so a source of any size is no single task; then each text meets its offset. A job runs at once. Within a source
+    the values of the order are unique and not null.
     """
-    d = docs.where(r"text RLIKE '\\S'").withColumn("block", F.floor(F.col(order_col) / SPAN_BLOCK)).withColumn("step", (F.length("text") + len(separator)).cast("long"))
-    totals = d.groupBy("source", "block").agg(F.sum("step").alias("total"), F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("source", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base_n"))
-    within = Window.partitionBy("source", "block").orderBy(order_col)
-    d = d.withColumn("upto", F.sum("step").over(within)).withColumn("n", F.row_number().over(within)).join(totals, ["source", "block"])
-    start = F.col("base") + F.col("upto") - F.col("step")
-    return d.select("source", F.coalesce("doc_id", F.format_string("d_%04d", F.col("base_n") + F.col("n"))).alias("doc_id"), F.substring(F.coalesce("title", F.lit("")), 1, 180).alias("title"), start.alias("start"), (start + F.length("text")).alias("end"), "text")
+    d = docs.where(r"text RLIKE '\\S'").withColumn("_step", (F.length("text") + len(separator)).cast("long"))
+    placed = numbered(d.select("source", order_col, "_step"), "source", order_col, number="n", total="before", of="_step")
+    first = placed.groupBy(F.col("source").alias("of")).agg(F.min("n").alias("first_n"), F.min("before").alias("first_before"))
+    offsets = placed.join(first, F.col("source").eqNullSafe(F.col("of"))).select(F.col("source").alias("of"), F.col(order_col).alias("at"), (F.col("before") - F.col("first_before")).alias("start"), (F.col("n") - F.col("first_n") + 1).alias("n"))
+    d = d.join(offsets, F.col("source").eqNullSafe(F.col("of")) & (F.col(order_col) == F.col("at")))
+    return d.select("source", F.coalesce("doc_id", F.format_string("d_%04d", "n")).alias("doc_id"), F.substring(F.coalesce("title", F.lit("")), 1, 180).alias("title"), "start", (F.col("start") + F.length("text")).alias("end"), "text")
 
 
 def corpus_summary(spans: DataFrame) -> DataFrame:

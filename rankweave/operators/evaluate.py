@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankweave.functions.numbering import numbered
 from rankweave.functions.saved import saved
 from rankweave.operators.automaton import contained
 from rankweave.operators.vocab import normalised, resolve
@@ -45,51 +47,76 @@ def word_scores(overlap: DataFrame) -> DataFrame:
     return overlap.agg(F.round(F.avg("purity"), 4).alias("word_purity"), F.round(F.avg("recall"), 4).alias("word_recall"), F.count("*").alias("n_records"))
 
 
+#: Chunks of a record that one step of the cover looks at.
+COVER_GROUP = 1024
+
+
+def _covered(part: pd.DataFrame, most: int) -> tuple[list, float, int, bool]:
+    """(words newly held, need left, picks, is it done) by greedy picks that no chunk outside part could beat.
+
+    part is in order of the number of words left, and a last row beyond COVER_GROUP is only a bound: a chunk's gain never
+    grows, so nothing outside gains more than that row. The first pick is always sure.
+    """
+    held, ids = [set(h) for h in part["held"]], part["passage_id"].tolist()
+    bound = len(held[COVER_GROUP]) if len(held) > COVER_GROUP else 0
+    held, ids = held[:COVER_GROUP], ids[:COVER_GROUP]
+    need, picks, taken = float(part["need"].iloc[0]), 0, set()
+    while need > 0 and picks < most:
+        gains = [len(h) for h in held]
+        best = max(gains, default=0)
+        if not best or (picks and best <= bound):
+            return sorted(taken), need, picks, not best and not bound
+        new = set(held[min((i for i, g in enumerate(gains) if g == best), key=lambda i: ids[i])])
+        taken |= new
+        held, need, picks = [h - new for h in held], need - len(new), picks + 1
+    return sorted(taken), need, picks, True
+
+
 def k_at_target(golden: DataFrame, chunks: DataFrame, target: float = 0.9, most: int = 25) -> DataFrame:
-    """(record_id, k): how many chunks a greedy cover takes to hold the share target of the record's words.
+    """(record_id, k): how many chunks a greedy cover takes to hold the share target of the record's words; jobs run at once.
 
-    Each round is a job over all records: the chunk with the most words not yet held, the smallest
-    passage_id on a tie. Sets of words that are left alike, or empty, are merged after each round.
+    A pick is the chunk with the most words not yet held, the smallest passage_id on a tie. A step gathers the
+    COVER_GROUP best chunks of each record and picks as long as no other chunk could gain as much, so a few
+    steps do for most records whatever their chunks. Sets of words that are left alike, or empty, are merged after each step.
     """
-    c = chunks.select("passage_id", content_words(F.col("text")).alias("w")).repartition("passage_id").select("passage_id", F.explode("w").alias("word"))
+    c = chunks.select("passage_id", content_words(F.col("text")).alias("w")).select("passage_id", F.explode("w").alias("word"))
     g = golden.select("record_id", F.size(F.array_distinct("words")).alias("n_words"), F.explode(F.array_distinct("words")).alias("word"))
-    met = c.join(F.broadcast(g), "word").groupBy("passage_id", "record_id", "n_words").agg(F.array_sort(F.collect_set("word")).alias("held"))
-    left = met.withColumn("need", target * F.col("n_words")).where("need > 0").groupBy("record_id", "need", "held").agg(F.min("passage_id").alias("passage_id"))
-    taken = []
-    for _ in range(most):
+    met = c.join(g, "word").groupBy("passage_id", "record_id", "n_words").agg(F.array_sort(F.collect_set("word")).alias("held"))
+    left = met.withColumn("need", target * F.col("n_words")).where("need > 0").groupBy("record_id", "need", "held").agg(F.min("passage_id").alias("passage_id")).withColumn("k", F.lit(0))
+    kind = dict(golden.dtypes)["record_id"]
+
+    def step(part: pd.DataFrame) -> pd.DataFrame:
+        done = int(part["k"].iloc[0])
+        words, need, picks, ended = _covered(part.sort_values("at"), most - done)
+        return pd.DataFrame({"record_id": part["record_id"].iloc[:1], "taken": [words], "need": [need], "k": [done + picks], "ended": [ended or done + picks >= most]})
+
+    order = Window.partitionBy("record_id").orderBy(F.desc(F.size("held")), "passage_id")
+    counted = []
+    while True:
         left = saved(left)
-        best = saved(left.groupBy("record_id").agg(F.min_by("held", F.struct(-F.size("held"), "passage_id")).alias("best")))
-        if best.isEmpty():
+        group = left.withColumn("at", F.row_number().over(order)).where(F.col("at") <= COVER_GROUP + 1)
+        steps = saved(group.groupBy("record_id").applyInPandas(step, f"record_id {kind}, taken array<string>, need double, k int, ended boolean"))
+        counted.append(steps.where("ended").select("record_id", "k"))
+        going = steps.where("NOT ended")
+        if going.isEmpty():
             break
-        taken.append(best.select("record_id"))
-        rest = left.join(F.broadcast(best), "record_id").select("record_id", (F.col("need") - F.size("best")).alias("need"), F.array_except("held", "best").alias("held"), "passage_id")
-        left = rest.where((F.col("need") > 0) & (F.size("held") > 0)).groupBy("record_id", "need", "held").agg(F.min("passage_id").alias("passage_id"))
-    counted = reduce(DataFrame.unionByName, taken, golden.select("record_id").limit(0)).groupBy("record_id").agg(F.count("*").alias("k"))
-    return golden.select("record_id").join(counted, "record_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
-
-
-NUMBERING_BLOCK = 100_000
+        rest = left.select("record_id", "held", "passage_id").join(going, "record_id").select("record_id", "need", F.array_except("held", "taken").alias("held"), "passage_id", "k")
+        left = rest.groupBy("record_id", "need", "held", "k").agg(F.min("passage_id").alias("passage_id"))
+    return golden.select("record_id").join(reduce(DataFrame.unionByName, counted), "record_id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
 
 
 def strided(df: DataFrame, n: int, order: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Every row if there are at most n, else the rows at floor(i * count / n) in an order.
+    """Every row if there are at most n, else the rows at floor(i * count / n) in an order, for each of keys; a job runs at once.
 
-    Rows are numbered within blocks of the first order column's values (numbers by range, others by
-    their first two characters), and blocks by the sums before them, so no task has all rows.
+    Rows are numbered over a range partitioned order of any kind of columns, so no task has all rows.
     """
-    numeric = dict(df.dtypes)[order[0]] in ("tinyint", "smallint", "int", "bigint")
-    block = F.floor(F.col(order[0]) / NUMBERING_BLOCK).cast("string") if numeric else F.substring(F.col(order[0]).cast("string"), 1, 2)
-    rank = F.floor(F.col(order[0]) / NUMBERING_BLOCK) if numeric else F.substring(F.col(order[0]).cast("string"), 1, 2)
-    d = df.withColumn("_block", F.coalesce(block, F.lit("null")))
-    sizes = d.groupBy(*keys, "_block").agg(F.count("*").alias("_size"), F.min(rank).alias("_rank"))
-    of = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # a row for each block, not for each row
-    before = of.orderBy("_rank").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(*keys, "_block", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_base"), F.sum("_size").over(of).alias("_n"))
-    d = d.withColumn("_in", F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order)) - 1).join(sizes, [*keys, "_block"])
-    d = d.withColumn("_at", F.col("_base") + F.col("_in"))
-    step = F.floor(F.ceil(F.col("_at") * n / F.col("_n")) * F.col("_n") / n)
-    kept = d.where((F.col("_n") <= n) | ((step == F.col("_at")) & (F.ceil(F.col("_at") * n / F.col("_n")) < n)))
-    return kept.select(*df.columns)
+    placed = numbered(df, *keys, *order, number="_n")
+    same = [F.col(f"_of_{k}").eqNullSafe(F.col(k)) for k in keys]
+    sizes = placed.groupBy(*(F.col(k).alias(f"_of_{k}") for k in keys)).agg(F.min("_n").alias("_base"), F.count("*").alias("_size"))
+    placed = placed.join(sizes, reduce(lambda a, b: a & b, same, F.lit(True))) if keys else placed.crossJoin(F.broadcast(sizes))  # one row
+    at, size = F.col("_n") - F.col("_base"), F.col("_size")
+    step = F.floor(F.ceil(at * n / size) * size / n)
+    return placed.where((size <= n) | ((step == at) & (F.ceil(at * n / size) < n))).select(*df.columns)
 
 
 def self_sufficiency(chunks: DataFrame, chunk_vecs: DataFrame, record_vecs: DataFrame, sample: int = 120) -> DataFrame:
@@ -101,7 +128,7 @@ def self_sufficiency(chunks: DataFrame, chunk_vecs: DataFrame, record_vecs: Data
 
     s = strided(chunks.where("main_doc IS NOT NULL"), sample, ["passage_id"]).join(chunk_vecs.select("passage_id", "vec"), "passage_id")
     own = s.join(record_vecs.select(F.col("record_id").alias("main_doc"), F.col("vec").alias("rv")), "main_doc").select("passage_id", "vec", dot(F.col("vec"), F.col("rv")).alias("own"))
-    above = record_vecs.select("record_id", F.col("vec").alias("rv")).join(F.broadcast(own)).where(dot(F.col("vec"), F.col("rv")) > F.col("own") + 1e-12)  # own has at most `sample` rows
+    above = record_vecs.select("record_id", F.col("vec").alias("rv")).crossJoin(F.broadcast(own.limit(sample))).where(dot(F.col("vec"), F.col("rv")) > F.col("own") + 1e-12)  # own has at most `sample` rows
     ranks = own.select("passage_id").join(above.groupBy("passage_id").agg(F.count("*").alias("n")), "passage_id", "left").select((1 / (1 + F.coalesce("n", F.lit(0)))).alias("r"))
     return ranks.agg(F.round(F.avg("r"), 4).alias("self_sufficiency"), F.count("*").alias("n_chunks"))
 

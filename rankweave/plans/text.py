@@ -68,9 +68,77 @@ def x06_jsonld_nodes(spark, d):
     return X.jsonld_nodes(p.select("page_id", "url", F.concat(F.lit('<script type="application/ld+json">'), "j", F.lit("</script>")).alias("html")))
 
 
-@plans()
+def order_pages(spark, d):
+    """A page for each order, of its parts: a third with the record as JSON-LD, beside a block that is broken, a third as text, a third with neither."""
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey")
+    o = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("l"))
+    many = lambda f: F.array_join(F.transform("l", f), "\n")
+    node = F.struct(
+        F.array(F.lit("Thing"), F.lit("RECIPE")).alias("@type"), F.format_string("Order %s", "l_orderkey").alias("name"),
+        F.transform("l", lambda x: F.format_string("%s cups %s", x["l_linenumber"], x["p_name"])).alias("recipeIngredient"),
+        F.transform("l", lambda x: F.struct(F.lit("HowToStep").alias("@type"), F.format_string("Add the %s.", x["p_name"]).alias("text"))).alias("recipeInstructions"),
+        F.size("l").alias("recipeYield"),
+    )
+    data = F.concat(F.lit('<script type="application/ld+json">{"@graph": [{broken</script><script type="application/ld+json">'), F.to_json(F.struct(F.array(node).alias("@graph"))), F.lit("</script>"))
+    item = many(lambda x: F.format_string("<li>%s cups\t%s</li>", x["l_linenumber"], x["p_name"]))
+    step = many(lambda x: F.format_string("<p>Stir the %s in and leave it, as long as it takes, until nothing moves.</p>", x["p_name"]))
+    third = F.col("l_orderkey") % 3
+    html = F.concat(
+        F.format_string("<html><head><title>Page %s</title>", "l_orderkey"), F.when(third == 0, data).otherwise(""), F.format_string("</head><body><nav>menu</nav><h1>Order  %s</h1>\n", "l_orderkey"),
+        F.when(third == 1, F.concat(F.lit("<ul>"), item, F.lit("</ul><![broken "), step)).otherwise(item),
+        F.format_string('<a href="/order/%s#top">the next\n one</a><a href="?page=2">more</a><a href="#here">here</a><a href="http://elsewhere.example/">out</a><a href="mailto:a@b.example">mail</a></body></html>', F.col("l_orderkey") + 1),
+    )
+    return o.select(F.col("l_orderkey").alias("page_id"), F.format_string("http://shop.example/order/%s", "l_orderkey").alias("url"), html.alias("html"))
+
+
+ORDER_PAGES = """WITH l AS (SELECT l_orderkey AS k, list(struct_pack(n := l_linenumber, p := p_name) ORDER BY l_linenumber, p_name) AS l FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+pg AS (SELECT k AS page_id, 'http://shop.example/order/' || k AS url, 'Order ' || k AS title, k % 3 AS third, l, list_transform(l, lambda x: x.n || ' cups ' || x.p) AS items FROM l),
+ld AS (SELECT page_id, url, 0::INT AS node_ord, title, items AS ingredient_lines, list_transform(l, lambda x: 'Add the ' || x.p || '.') AS step_lines, len(l)::VARCHAR AS servings_hint, 'json-ld' AS detected_by FROM pg WHERE third = 0 AND len(l) >= 2),
+tx AS (SELECT page_id, url, 0::INT AS node_ord, title, items AS ingredient_lines, list_transform(l, lambda x: 'Stir the ' || x.p || ' in and leave it, as long as it takes, until nothing moves.') AS step_lines, NULL::VARCHAR AS servings_hint, 'heuristic-text' AS detected_by FROM pg WHERE third = 1 AND len(l) >= 3) """
+RECORD_COLUMNS = ("page_id", "url", "node_ord", "title", "ingredient_lines", "step_lines", "servings_hint", "detected_by")
+
+
+@plans(ORDER_PAGES + "SELECT page_id, url, title, items FROM pg")
+def x05_text_of_records(spark, d):
+    """Titles and unit lines of orders' pages, past a mark that the parser gives up on."""
+    return X.html_text(order_pages(spark, d)).select("page_id", "url", "title", F.filter("lines", lambda x: x.rlike("^[0-9]+ cups ")).alias("items"))
+
+
+@plans(ORDER_PAGES + "SELECT * FROM ld")
+def x07_jsonld_records(spark, d):
+    return X.jsonld_records(X.jsonld_nodes(order_pages(spark, d))).select(*RECORD_COLUMNS)
+
+
+@plans(ORDER_PAGES + "SELECT * FROM tx")
+def x08_text_records(spark, d):
+    return X.text_records(X.html_text(order_pages(spark, d))).select(*RECORD_COLUMNS)
+
+
+@plans(ORDER_PAGES + "SELECT * FROM ld UNION ALL SELECT * FROM tx")
 def x09_records_from_pages(spark, d):
-    return X.records_from_pages(table(spark, d, "pages"))
+    """Records of orders' pages; the given pages have none."""
+    return X.records_from_pages(order_pages(spark, d)).select(*RECORD_COLUMNS)
+
+
+@plans(ORDER_PAGES + "SELECT page_id, url AS base, unnest(['http://shop.example/order/' || (page_id + 1), url || '?page=2']) AS href, unnest(['the next one', 'more']) AS text FROM pg")
+def x10_links_of_records(spark, d):
+    return X.extract_links(order_pages(spark, d))
+
+
+# Sections: a header, unit lines and steps of each order as the lines of a page.
+@plans("""WITH l AS (SELECT l_orderkey AS k, list(struct_pack(n := l_linenumber, p := p_name) ORDER BY l_linenumber, p_name) AS l FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
+s AS (SELECT k % 7 AS run, k AS page_no, 'Ingredients of order ' || k AS title, list_transform(l, lambda x: x.n || ' cups ' || x.p) AS ing, list_transform(l, lambda x: 'Add the ' || x.p || '.') AS st, len(l) AS n FROM l)
+SELECT run, page_no, printf('r_%04d', row_number() OVER (PARTITION BY run ORDER BY page_no)) AS record_id,
+  title, ing AS ingredient_lines, st AS step_lines, 'Serves ' || n AS servings_hint, NULL::VARCHAR AS time_hint, 'headings' AS detected_by FROM s""")
+def x03_sections_of_orders(spark, d):
+    parts = table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
+    o = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").join(parts, "l_partkey").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "p_name"))).alias("l"))
+    lines = F.concat(
+        F.array(F.format_string("Ingredients of order %s", "l_orderkey"), F.format_string("Serves %s", F.size("l"))), F.transform("l", lambda x: F.format_string("%s cups %s", x["l_linenumber"], x["p_name"])),
+        F.array(F.lit("Method")), F.transform("l", lambda x: F.format_string("Add the %s.", x["p_name"])),
+    )
+    return X.split_sections(o.select((F.col("l_orderkey") % 7).alias("run"), F.col("l_orderkey").alias("page_no"), lines.alias("lines"))).drop("raw_text")
 
 
 @plans()
