@@ -1,13 +1,16 @@
 """Lines that an earlier document already has, found by shared lines and aligned by patience diff.
 
 A line is known by a hash of its text without the white space around it. Lines that are long enough
-to be a block by themselves, and runs of consecutive lines that are just long enough, are keys. Each
-document that has a shared key is paired with the first document that has it; so a key that n
-documents share gives about n pairs, whether it is rare or not, and any block shared with an earlier
-document is in one of the pairs. Each pair's lines are aligned: lines that are unique in both give
-the longest increasing chain, blocks grow around it, and the stretches between are aligned likewise.
-Aligned blocks are deleted from the later document of the pair. Blocks that cross longer ones, which
-no alignment in order can hold, are deleted by their keys in the same step.
+to be a block by themselves, runs of consecutive lines that are just long enough, and two long lines with
+blank ones between are seeds: each line of a block that counts is in a seed of the block. Seeds are the keys by
+which documents meet: each document that has a shared one is paired with the first document that has it; so a
+key that n documents share gives about n pairs, whether it is rare or not, and every seed shared with an
+earlier document is in one of the pairs.
+
+Each pair is aligned by patience diff over its seeds: seeds that are unique in both give the longest increasing chain, and the
+stretches between are aligned likewise. Around each aligned seed the equal lines make a block, and
+aligned blocks are deleted from the later document. No alignment in order holds blocks that have moved across each other;
+so what is left of the later document is aligned again, until no seed of it is in the earlier one.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ from rankweave.llm.words import blocks, lists, run_hashes
 def _runs(h: np.ndarray, size: np.ndarray, offsets: np.ndarray, least_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """Texts' offsets in, and hashes of, runs of two or more lines that have least_bytes, but not without their last line or not without their first.
 
-    Runs begin and end with lines that are not blank. Every line of a block of at least least_bytes is in such a run of the block, or is one itself.
+    Runs begin and end with lines that are not blank; two lines of least_bytes with only blank ones between are a run too. Every
+    line of a block of at least least_bytes is in such a run of the block, or is one itself.
     """
     total = np.concatenate(([0], np.cumsum(size)))
     owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
@@ -37,7 +41,9 @@ def _runs(h: np.ndarray, size: np.ndarray, offsets: np.ndarray, least_bytes: int
     end = np.searchsorted(total, total[at] + least_bytes)
     start = np.searchsorted(total, total[at + 1] - least_bytes, "right") - 1
     onward, back = (end <= high) & (end > at + 1), (start >= low) & (start < at)
-    first, after = np.divmod(np.unique(np.concatenate((at[onward] * len(total) + end[onward], start[back] * len(total) + at[back] + 1))), len(total))
+    over = np.flatnonzero((np.diff(at) > 1) & (size[at[:-1]] >= least_bytes) & (size[at[1:]] >= least_bytes) & (at[1:] < high[:-1]))
+    pairs = np.concatenate((at[onward] * len(total) + end[onward], start[back] * len(total) + at[back] + 1, at[over] * len(total) + at[over + 1] + 1))
+    first, after = np.divmod(np.unique(pairs), len(total))
     return np.searchsorted(first, offsets), run_hashes(h, first, after)
 
 
@@ -119,44 +125,53 @@ def aligned(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def _least_runs(lines: list[int], sizes: list[int], least_bytes: int) -> Iterator[tuple[int, int]]:
-    """(first, after) of runs of lines that have least_bytes, but not without their last or not without their first line; the ends are not blank."""
+def seeds(lines: list[int], sizes: list[int], least_bytes: int) -> list[tuple[int, int]]:
+    """(first, after) of seeds in order; the ends are not blank."""
     places = [k for k, line in enumerate(lines) if line]
     total = [0]
     for k in places:
         total.append(total[-1] + sizes[k])
-    for k in range(len(places)):
+    out = set()
+    for k, place in enumerate(places):
         after = bisect_left(total, total[k] + least_bytes)
         if after < len(total):
-            yield places[k], places[after - 1] + 1
+            out.add((place, places[after - 1] + 1))
         before = bisect_right(total, total[k + 1] - least_bytes) - 1
         if before >= 0:
-            yield places[before], places[k] + 1
+            out.add((places[before], place + 1))
+        if k and place - places[k - 1] > 1 and min(sizes[place], sizes[places[k - 1]]) >= least_bytes:
+            out.add((places[k - 1], place + 1))
+    return sorted(out)
 
 
 def _doomed(a: list[int], b: list[int], sizes: list[int], least_bytes: int) -> list[int]:
-    """Lines of b in aligned blocks of at least least_bytes, or in blocks that cross those; sizes are of b."""
-    gone, block, before = set(), [], None
-    for pair in [*aligned(a, b), None]:
-        if block and (pair is None or pair != (before[0] + 1, before[1] + 1)):
-            while block and not b[block[-1]]:
-                block.pop()
-            while block and not b[block[0]]:
-                block.pop(0)
-            if sum(sizes[j] for j in block) >= least_bytes:
-                gone.update(block)
-            block = []
-        if pair:
-            block.append(pair[1])
-            before = pair
+    """Lines of b in blocks that alignments of its seeds with those of a hold, until none is left; sizes are of b."""
     size_of = dict(zip(b, sizes, strict=True))
-    held = None
-    for low, high in _least_runs(b, sizes, least_bytes):
-        if not all(j in gone for j in range(low, high)):
-            if held is None:
-                held = {tuple(a[i:j]) for i, j in _least_runs(a, [size_of.get(x, least_bytes) for x in a], least_bytes)}
-            if tuple(b[low:high]) in held:
-                gone.update(range(low, high))
+    names: dict[tuple, int] = {}
+    in_a = [(low, names.setdefault(tuple(a[low:high]), len(names) + 1)) for low, high in seeds(a, [size_of.get(x, least_bytes) for x in a], least_bytes)]
+    left = [(low, high, names.get(tuple(b[low:high]))) for low, high in seeds(b, sizes, least_bytes)]
+    left, gone = [seed for seed in left if seed[2]], set()
+    while left:
+        shift, stop = None, 0
+        for i, j in aligned([name for _, name in in_a], [name for *_, name in left]):
+            at, (low, high, _) = in_a[i][0], left[j]
+            if shift == at - low and high <= stop:
+                continue  # within the block before
+            shift, start, stop = at - low, low, high
+            while stop < len(b) and stop + shift < len(a) and b[stop] == a[stop + shift]:
+                stop += 1
+            while start and start + shift and b[start - 1] == a[start + shift - 1]:
+                start -= 1
+            first, last = start, stop
+            while not b[first]:
+                first += 1
+            while not b[last - 1]:
+                last -= 1
+            gone.update(range(first, last))
+        rest = [seed for seed in left if not gone.issuperset(range(seed[0], seed[1]))]
+        if len(rest) == len(left):
+            break
+        left = rest
     return sorted(gone)
 
 
