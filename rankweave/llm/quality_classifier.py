@@ -243,14 +243,24 @@ def _exchanged(views: tuple[View, View], sure: float):
     return run
 
 
+#: Parts of the labelled documents, by a hash: for the views and their words, for calibration and combination, and for the accuracy alone.
+TRAINING, CALIBRATION, TEST = (f"pmod(xxhash64(doc_id), 8) IN ({k})" for k in ("2, 3, 5, 6, 7", "0, 4", "1"))
+
+
 def _calibration(held: DataFrame, most: int) -> pa.Table:
     """At most about `most` of the labelled rows, drawn by a hash."""
     n = held.count()
     return held.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1)))).toArrow()
 
 
+def _truth(rows: pa.Table) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """Labels of some rows, and their marks in both views."""
+    marks = [_listed(rows.column(c).combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.int32()))) for c in ("text", "meta")]
+    return rows.column("good").to_numpy().astype(float), marks
+
+
 def telling_words(known: DataFrame) -> np.ndarray:
-    """Marks of the words whose presence goes with the label, counted over all labelled documents."""
+    """Marks of the words whose presence goes with the label, counted over all of some labelled documents."""
     n, good = known.agg(F.count("*"), F.coalesce(F.sum("good"), F.lit(0))).first()
     if not 0 < good < n:
         return np.zeros(0, np.int64)
@@ -263,16 +273,16 @@ def telling_words(known: DataFrame) -> np.ndarray:
 def co_train(marked: DataFrame, rounds: int = ROUNDS, sure: float = SURE, max_calibration: int = MAX_CALIBRATION) -> Model:
     """Fits a Model on marked(doc_id, good, text, meta); good is 1, 0, or null for an unlabelled document.
 
-    Every fourth labelled document, by a hash, is held out for calibration. In each round a view
+    Every fourth labelled document, by a hash, is held out for calibration, and every eighth for nothing but
+    the model's accuracy; views and telling words are learnt from the others. In each round a view
     hands on all unlabelled documents whose calibrated probability is at least `sure` for either
     label; together they weigh no more than the labelled ones. With labels of one kind only, or none,
     every document has the same score.
     """
-    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0
-    train, held = (_summed(marked.where("good IS NOT NULL").where(~drawn).mapInArrow(_of_labelled, _COUNTED)), _calibration(marked.where("good IS NOT NULL").where(drawn), max_calibration))
-    counts, documents = train
-    truth = held.column("good").to_numpy().astype(float)
-    marks = [_listed(held.column(c).combine_chunks() if held.num_rows else pa.array([], pa.list_(pa.int32()))) for c in ("text", "meta")]
+    labelled = marked.where("good IS NOT NULL")
+    counts, documents = _summed(labelled.where(TRAINING).mapInArrow(_of_labelled, _COUNTED))
+    held, test = (_calibration(labelled.where(rows), max_calibration) for rows in (CALIBRATION, TEST))
+    truth, marks = _truth(held)
     able = documents.all() and len(set(truth)) == 2
     extra, added, taught = [np.zeros_like(c) for c in counts], np.zeros((2, 2)), []
     for k in range(rounds + 1):
@@ -291,7 +301,9 @@ def co_train(marked: DataFrame, rounds: int = ROUNDS, sure: float = SURE, max_ca
     if able:
         both = np.stack([views[v].logit(*marks[v], len(truth)) for v in (0, 1)], 1)
         combine = _logistic(both, truth, penalty=0.1)
-        accuracy = float(((both @ combine[:2] + combine[2] > 0) == truth).mean())
+        told, marks = _truth(test)
+        both = np.stack([views[v].logit(*marks[v], len(told)) for v in (0, 1)], 1)
+        accuracy = float(((both @ combine[:2] + combine[2] > 0) == told).mean()) if len(told) else None
     return Model(*views, combine, taught, accuracy)
 
 
@@ -303,7 +315,7 @@ def _learnt(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], max_cali
     labels = labels.where("doc_id IS NOT NULL AND good IS NOT NULL").groupBy("doc_id").agg(F.min("good").alias("good"))
     features = docs.mapInArrow(_features, "doc_id long, style array<int>, meta array<int>, words array<int>")
     known = saved(features.join(labels, "doc_id", "left"))
-    marked = saved(_marked(known, telling_words(known.where("good IS NOT NULL"))))
+    marked = saved(_marked(known, telling_words(known.where("good IS NOT NULL").where(TRAINING))))
     return docs, marked, co_train(marked, max_calibration=max_calibration)
 
 
