@@ -11,7 +11,7 @@ Within a bucket, the member with most company (the hub) is compared with the oth
 comparison counts both full sets. So a group of n copies gives about n pairs. A bucket is open while
 its members are in different components. Its strangers, the members outside its largest component,
 are then hubs as well. In a bucket of up to SMALL members that is a pair for each stranger and member.
-The members of larger ones are dealt into blocks of about BLOCK_SHINGLES; a block with strangers of a
+The members of larger ones are dealt into blocks of about BLOCK_SHINGLES and at most about BLOCK_MEMBERS; a block with strangers of a
 bucket meets the blocks with members of the same bucket and another component, unless their sizes
 rule a link out. A meeting gives at most the links that connect them, and no rows are made for pairs.
 So no link between members of a bucket is lost. Where many documents are alike but not linked, this
@@ -31,7 +31,7 @@ from rankweave.llm.components import components, merged
 from rankweave.llm.shared import identified, saved
 from rankweave.llm.words import LOWER, Block, blocks, lists, mixed, run_hashes
 
-BINS, BANDS, SALTS, SMALL, BLOCK_SHINGLES = 128, 32, 64, 16, 1 << 16
+BINS, BANDS, SALTS, SMALL, BLOCK_SHINGLES, BLOCK_MEMBERS = 128, 32, 64, 16, 1 << 16, 1024
 #: Up to so many texts of two blocks that have a shingle, pairs are counted one by one, beyond by a matrix product.
 FEW = 16
 _TAG = np.uint64(0xA24BAED4963EE407)
@@ -216,7 +216,7 @@ def _blocks_of_strangers(members: DataFrame, texts: DataFrame, percent: int) ->
     """(i, j, doc_id, label, text): the documents of each two blocks that are to meet."""
     dealt = members.groupBy("node").agg(F.min(F.struct("key", "home")).alias("first"), F.any_value("n").alias("n"), F.any_value("label").alias("label"))
     dealt = dealt.select("node", "n", "label", F.col("first")["home"].alias("group"), (F.col("label") == F.col("first")["home"]).alias("at_home"))
-    mass = dealt.groupBy("group", "at_home").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias("parts"))
+    mass = dealt.groupBy("group", "at_home").agg(F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / BLOCK_MEMBERS)).alias("parts"))
     dealt = dealt.join(mass, ["group", "at_home"]).withColumn("block", F.xxhash64("group", "at_home", F.pmod(F.xxhash64("node"), F.col("parts"))))
     dealt = saved(dealt.select("node", "n", "label", "block"))
 
