@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 from pyspark.sql.window import Window
 
 #: Strings with a meaning to the template or to common chat templates; texts have them only escaped.
@@ -52,23 +53,30 @@ def rough_tokens(text: Column) -> Column:
 
 
 def chat_windows(
-    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = 512, history: int = 128, overhead: int = 4, tokens=rough_tokens
+    turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", budget: int = 512, history: int = 128, overhead: int = 4, tokens=rough_tokens, tokens_col: str | None = None
 ) -> DataFrame:
     """(conv_id, window, n_turns, n_repeated, n_tokens, formatted, loss): rows for each window.
 
     formatted is the window's turns, each `<|role|>text</s>`; the first n_repeated are repeated.
     loss is an array of (start, length) in characters of formatted, the texts to be learnt. A turn
-    has overhead tokens besides those of its text; `tokens` counts these (for instance the length of a
-    column of ids that the byte-level BPE made; the default is an estimate). n_tokens has those of
+    has overhead tokens besides those of its text; tokens_col, a column of ids
+    (as the byte-level BPE makes them) or of their number, tells these, and where it is null or not given tokens(text), an estimate by default. n_tokens has those of
     repeated turns too. A null role or text counts as empty; a very long turn is a window of its own.
     Turns are ordered by turn, then role and text, so ties and repeated rows have a fixed order; all
     rows count. A null conv_id is a conversation like any other. An empty table gives an empty
     result. Other columns are ignored. A conversation's turns are sorted in one task.
     """
-    t = turns.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    said = [F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((role_col, "role"), (text_col, "text")))]
+    if tokens_col is None:
+        told = F.lit(None)
+    elif isinstance(turns.schema[tokens_col].dataType, ArrayType):
+        told = F.when(F.col(tokens_col).isNotNull(), F.size(tokens_col))
+    else:
+        told = F.col(tokens_col)
+    t = turns.select(*said, told.cast("long").alias("told"))
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     t = t.withColumn("place", F.row_number().over(in_order)).withColumn("system", (F.col("place") == 1) & (F.col("role") == "system"))
-    t = t.withColumn("n_tokens", (tokens(F.col("text")) + overhead).cast("long"))
+    t = t.withColumn("n_tokens", (F.coalesce("told", tokens(F.col("text"))) + overhead).cast("long")).drop("told")
     counted = F.when(F.col("system"), F.lit(0)).otherwise(F.col("n_tokens")).cast("long")
     t = t.withColumn("end", F.sum(counted).over(Window.partitionBy("conv_id").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))).withColumn("start", F.col("end") - counted)
     t = t.withColumn("kept", F.coalesce(F.max(F.when(F.col("system"), F.col("n_tokens"))).over(Window.partitionBy("conv_id")), F.lit(0)))
