@@ -35,16 +35,12 @@ def _cleaned_up(spark: SparkSession) -> Iterator[None]:
                 spark.conf.set(CLEANUP, _before)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df, written to the cluster's shared checkpoint folder and read from there; a job runs at once.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that the driver and all executors share, for tables in between.
 
-    Later stages survive lost executors, as they read files and need no lineage. The folder is
-    that of spark.checkpoint.dir; a session of one machine (tests) may leave it unset and gets a
-    temporary one, a cluster without it is an error. The shuffle files that df needed go as soon as
-    it is written. The files themselves go with the DataFrame where
-    spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the folder.
+    It is below spark.checkpoint.dir; a session of one machine (tests) may leave that unset and gets a
+    temporary one, a cluster without it is an error.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -53,5 +49,17 @@ def saved(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="spark-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df, written to shared_folder() and read from there; a job runs at once.
+
+    Later stages survive lost executors, as they read files and need no lineage. The shuffle files that df needed go as soon as
+    it is written. The files themselves go with the DataFrame where
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, else with the folder.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
     with _cleaned_up(spark):
         return df.select("*").checkpoint(eager=True)
