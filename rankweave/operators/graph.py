@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rankweave.functions.numbering import numbered
 from rankweave.functions.saved import saved
 from rankweave.operators.extract import ACTIONS, EQUIPMENT, extract_terms
 from rankweave.operators.sets import containing_all, containing_any, lacking_at_most
@@ -107,8 +108,11 @@ def course_prompts(recipes: DataFrame, uses: DataFrame, known: DataFrame, batch:
     """(batch_no, prompt, keys) for the records whose course is not known yet: titles and their first ten items."""
     items = uses.groupBy("key").agg(F.array_join(F.slice(F.array_sort(F.collect_set("item")), 1, 10), ", ").alias("items"))
     r = recipes.join(known.select("key").distinct(), "key", "left_anti").join(items, "key", "left")
-    per_source = Window.partitionBy(F.substring_index("key", ":", 1)).orderBy("key")
-    r = r.withColumn("place", F.row_number().over(per_source) - 1).withColumn("batch_no", F.concat_ws("#", F.substring_index("key", ":", 1), F.floor(F.col("place") / batch).cast("string"))).withColumn("n", F.col("place") % batch + 1)
+    of = F.substring_index("key", ":", 1)
+    placed = numbered(r.withColumn("of", of), "of", "key", number="place")  # no task has a whole source
+    first = placed.groupBy("of").agg(F.min("place").alias("first"))
+    r = placed.join(first, "of").withColumn("place", F.col("place") - F.col("first"))
+    r = r.withColumn("batch_no", F.concat_ws("#", "of", F.floor(F.col("place") / batch).cast("string"))).withColumn("n", (F.col("place") % batch + 1).cast("int"))
     line = F.concat(F.col("n").cast("string"), F.lit(". "), F.substring(F.coalesce("title", F.lit("")), 1, 70), F.lit(" | "), F.coalesce("items", F.lit("")))
     g = r.groupBy("batch_no").agg(F.array_sort(F.collect_list(F.struct("n", line.alias("line"), "key"))).alias("rows"))
     return g.select("batch_no", F.array_join("rows.line", "\n").alias("prompt"), F.col("rows.key").alias("keys"))
