@@ -6,7 +6,7 @@ looks at a candidate's length, its changes between kinds of characters, how much
 own short words cover, the path it is in, and the words next to it. Which neighbours and paths matter
 it learns, as they come hashed; whether one of the neighbours names a secret at all is a feature
 besides, so that what it learns of one name holds for names that no label has. It learns from labelled findings; where there are none,
-distant_labels() names some of which the form alone is proof, and leaves the others to the forest. All
+distant_labels() names half of those of which the form alone is proof, and leaves the others to the forest. All
 of it is DataFrame expressions and Spark's own forest.
 """
 
@@ -86,11 +86,13 @@ def features(found: DataFrame, known: list[str]) -> DataFrame:
 def distant_labels(found: DataFrame) -> DataFrame:
     """(doc_id, value, secret) of candidates whose form is proof: issued keys, hexadecimal keys that are named so, and shorter ones that are assigned to such a name; words, numbers and mail addresses.
 
-    The others have no label. A value that is labelled twice in a document is a secret if one place says so.
+    Only every second of such values has its label, by a hash; for the others what the forest learnt of these must do. Others
+    have no label either. A value that is labelled twice in a document is a secret if one place says so.
     """
     true = F.col("value").rlike(ISSUED) | (F.col("value").rlike(HEX_KEY) & _named()) | (F.col("value").rlike(SHORT_HEX) & F.col("name").rlike(SECRET_NAME))
     label = F.when(true, 1).when(F.col("value").rlike(PLAIN) | F.col("value").rlike(MAIL), 0)
-    return found.select("doc_id", "value", label.alias("secret")).where("secret IS NOT NULL").distinct()
+    taught = F.pmod(F.xxhash64("value"), F.lit(2)) == 0
+    return found.where(taught).select("doc_id", "value", label.alias("secret")).where("secret IS NOT NULL").distinct()
 
 
 def secrets(
