@@ -79,7 +79,8 @@ def k_at_target(golden: DataFrame, chunks: DataFrame, target: float = 0.9, most:
     COVER_GROUP best chunks of each record and picks as long as no other chunk could gain as much, so a few
     steps do for most records whatever their chunks. Sets of words that are left alike, or empty, are merged after each step.
     """
-    c = chunks.select("passage_id", content_words(F.col("text")).alias("w")).select("passage_id", F.explode("w").alias("word"))
+    # a chunk's words stay together, so that its sets are made where they lie if the golden records are few enough to be broadcast
+    c = chunks.select("passage_id", content_words(F.col("text")).alias("w")).repartition("passage_id").select("passage_id", F.explode("w").alias("word"))
     g = golden.select("record_id", F.size(F.array_distinct("words")).alias("n_words"), F.explode(F.array_distinct("words")).alias("word"))
     met = c.join(g, "word").groupBy("passage_id", "record_id", "n_words").agg(F.array_sort(F.collect_set("word")).alias("held"))
     left = met.withColumn("need", target * F.col("n_words")).where("need > 0").groupBy("record_id", "need", "held").agg(F.min("passage_id").alias("passage_id")).withColumn("k", F.lit(0))
