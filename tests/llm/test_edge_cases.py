@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rankweave.llm import byte_bpe, queries
+from rankweave.llm import alignment, byte_bpe, mixing, queries
 from rankweave.llm.chat_format import chat_windows
 from rankweave.llm.decontaminate import contamination
 from rankweave.llm.line_dedup import without_shared_lines
@@ -44,6 +44,7 @@ OPERATORS = {
     "quality_scores": (lambda s, d, e: quality_scores(d, labels(s, e)), 10), "without_shared_lines": (lambda s, d, e: without_shared_lines(d), 10), "without_repeats": (lambda s, d, e: without_repeats(d), 10),
     "near_duplicates": (lambda s, d, e: near_duplicates(d), 10), "encode": (lambda s, d, e: byte_bpe.encode(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), 10),
     "good_documents": (lambda s, d, e: good_documents(d, labels(s, e)), None), "round trip": (lambda s, d, e: queries.tokens_with_digests(d), 10),
+    "mixed": (lambda s, d, e: mixing.mixed(d), 10), "align": (lambda s, d, e: alignment.align(d, alignment.aligner(s, *map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model")), public_tokenizers.PATTERN)), 10),
 }
 
 
