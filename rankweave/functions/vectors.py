@@ -39,20 +39,41 @@ def encode(df: DataFrame, text_col: str, encoder: Callable[[pd.Series], np.ndarr
     @F.pandas_udf("array<double>")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            full = part.fillna("").str.strip() != ""
-            out = pd.Series([np.zeros(0)] * len(part), index=part.index)
+            full = (part.fillna("").str.strip() != "").to_numpy()
+            out = [np.zeros(0)] * len(part)
             if full.any():
                 v = np.asarray(encoder(part[full]), float)
                 norm = np.linalg.norm(v, axis=1, keepdims=True)
-                out[full] = list(v / np.where(norm > 0, norm, 1))
-            yield out
+                for k, row in zip(np.flatnonzero(full), v / np.where(norm > 0, norm, 1), strict=True):
+                    out[k] = row
+            yield pd.Series(out)
 
     return df.withColumn("vec", run(F.col(text_col)))
 
 
+def _each(batch: Callable[[], object], one: Callable[[int], object], n: int) -> pd.Series:
+    """The batch's numbers at once or, if the batch fails, row by row with null for the rows that fail."""
+    try:
+        return pd.Series(batch(), dtype=float)
+    except Exception:  # the caller's model may raise anything; a failed row is null
+
+        def single(k: int) -> float | None:
+            try:
+                return float(one(k))
+            except Exception:  # as above
+                return None
+
+        return pd.Series([single(k) for k in range(n)], dtype=float)
+
+
 def pair_scorer(score: Callable[[pd.Series, pd.Series], pd.Series]):
-    """A scorer of (question, passage) as a column function."""
-    return F.pandas_udf(lambda q, p: pd.Series(score(q, p), dtype=float), "double")
+    """A scorer of (question, passage) as a column function, in batches; rows that it fails on are null."""
+
+    @F.pandas_udf("double")
+    def run(q: pd.Series, p: pd.Series) -> pd.Series:
+        return _each(lambda: np.asarray(score(q, p), float), lambda k: np.asarray(score(q[k : k + 1], p[k : k + 1]), float)[0], len(q))
+
+    return run
 
 
 def token_f1(question: Column, passage: Column) -> Column:
@@ -99,3 +120,22 @@ def chunker(split: Callable[[str], list[tuple[int, int]]]):
     from rankweave.operators.chunk import _chunks
 
     return lambda docs: _chunks(docs, split)
+
+
+def chunk_table(split: Callable[[str], list[tuple[int, int]]]):
+    """A function of one text that gives bounds, as a table function of (text) -> (chunk_no, start, end, text), for LATERAL joins.
+
+    A null text, or one that split fails on, has no chunks. Register it to use it in SQL:
+    spark.udtf.register("chunks", chunk_table(split)).
+    """
+
+    class Chunks:
+        def eval(self, text: str):
+            try:
+                bounds = [] if text is None else list(split(text))
+            except Exception:  # the caller's function may raise anything; a failed text has no chunks
+                bounds = []
+            for k, (start, end) in enumerate(bounds):
+                yield k, start, end, text[start:end]
+
+    return F.udtf(Chunks, returnType="chunk_no int, start int, end int, text string")
