@@ -74,7 +74,7 @@ def test_held_out_documents_teach_nothing(spark):
 def test_parts_of_the_labelled_documents(spark):
     parts = spark.range(4000).select(F.col("id").alias("doc_id")).select(*(F.expr(p).cast("int").alias(n) for n, p in (("a", qc.TRAINING), ("b", qc.CALIBRATION), ("c", qc.TEST))))
     a, b, c, most = parts.agg(F.avg("a"), F.avg("b"), F.avg("c"), F.max(F.col("a") + F.col("b") + F.col("c"))).first()
-    assert np.allclose((a, b, c), (5 / 8, 1 / 4, 1 / 8), atol=0.03) and most == 1
+    assert np.allclose((a, b, c), (3 / 4, 3 / 16, 1 / 16), atol=0.02) and most == 1
 
 
 def test_blocks_of_short_texts_are_bounded(spark, monkeypatch):
