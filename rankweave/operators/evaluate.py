@@ -269,6 +269,16 @@ def ranking_report(rows: DataFrame) -> DataFrame:
     return by_family(rows, dict.fromkeys(("hit", "recall", "ap", "diversity", "respected"), 4))
 
 
+def ranking_breaches(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """ranking_rows() of questions that got what they exclude, with their violations(query_id, key, offending): (query_id, family, respected, breaches, n_constrained).
+
+    n_constrained counts all questions that exclude something, with and without a breach.
+    """
+    found = bad.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("key", "offending"))).alias("breaches"))
+    counted = rows.agg(F.count("respected").alias("n_constrained"))
+    return rows.select("query_id", "family", "respected").join(found, "query_id").crossJoin(F.broadcast(counted))  # one row
+
+
 # --- set answers ----------------------------------------------------------------------------------
 def set_scores(questions: DataFrame, returned: DataFrame, expected: DataFrame, judged: DataFrame) -> DataFrame:
     """(query_id, sizes, precision, recall, f1): returned, expected and judged are (query_id, key); what isn't judged counts neither way.

@@ -163,6 +163,16 @@ def e19_ranking_report(spark, d):
     return E.ranking_report(E.ranking_rows(q, m, e15_diversity(spark, d), e18_constraint_respected(spark, d)))
 
 
+@plans(RANKED + """, bd AS (SELECT query_id, list(passage_id::VARCHAR ORDER BY passage_id::VARCHAR) AS keys FROM bm25 WHERE rank <= 5 AND query_id % 3 != 0 AND passage_id IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY query_id)
+SELECT query_id, family, round(respected, 6) AS respected, keys, (SELECT count(respected) FROM rs) AS n_constrained FROM bd JOIN qs USING (query_id) JOIN rs USING (query_id)""")
+def e19_ranking_breaches(spark, d):
+    q, _, m = _metrics(spark, d)
+    _, bad = _violations(spark, d)
+    rows = E.ranking_rows(q, m, e15_diversity(spark, d), e18_constraint_respected(spark, d))
+    out = E.ranking_breaches(rows, bad)
+    return out.select("query_id", "family", F.round("respected", 6).alias("respected"), F.col("breaches.key").alias("keys"), "n_constrained")
+
+
 SETS = PG.QUESTION_SQL + """, ex AS (SELECT q.query_id, r.key FROM q JOIN real r USING (course) JOIN edges e ON e.key = r.key AND e.item = q.inc WHERE r.n_items <= 4), ju AS (SELECT query_id, key FROM q JOIN real USING (course) WHERE n_items <= 5),
 sz AS (SELECT q.query_id, (SELECT count(*) FROM hit h WHERE h.query_id = q.query_id) AS n_returned, (SELECT count(*) FROM ex h WHERE h.query_id = q.query_id) AS n_expected, (SELECT count(*) FROM ju h WHERE h.query_id = q.query_id) AS n_judged,
  (SELECT count(*) FROM hit h SEMI JOIN (SELECT * FROM ju UNION SELECT * FROM ex) j ON j.query_id = h.query_id AND j.key = h.key WHERE h.query_id = q.query_id) AS seen, (SELECT count(*) FROM hit h SEMI JOIN ex j ON j.query_id = h.query_id AND j.key = h.key WHERE h.query_id = q.query_id) AS yes FROM q),

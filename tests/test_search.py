@@ -238,3 +238,24 @@ def test_numbers_in_any_order(spark):
         assert (one.n, one.before) == (n, before)
         before += row[2] or 0
     assert numbered(df.limit(0), "k").collect() == []
+
+
+@pytest.mark.parametrize("normalise", [False, True])
+def test_mmr(spark, normalise):
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(30, 4))
+    vecs /= np.linalg.norm(vecs, axis=1, keepdims=True)
+    base = {q: sorted(((float(s), p) for p, s in enumerate(rng.normal(size=30))), reverse=True) for q in (1, 2)}
+    hits = spark.createDataFrame([(q, p, s, r) for q, rows in base.items() for r, (s, p) in enumerate(rows, 1)], "query_id long, passage_id long, score double, rank int")
+    passages = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vecs)], "passage_id long, vec array<double>")
+    expected = {}
+    for q, rows in base.items():
+        pool = rows[:12]
+        low, high = min(s for s, _ in pool), max(s for s, _ in pool)
+        worth = {p: (s - low) / (high - low) if normalise else s for s, p in pool}
+        chosen = []
+        while len(chosen) < 6:
+            gain = lambda p: 0.6 * worth[p] - 0.4 * max((float(vecs[p] @ vecs[c]) for c in chosen), default=0)  # noqa: B023, E731
+            chosen.append(max((p for p in worth if p not in chosen), key=gain))
+        expected |= {(q, p, r): dict((p, s) for s, p in rows)[p] for r, p in enumerate(chosen, 1)}
+    same(R.mmr(hits, passages, 6, pool=12, normalise=normalise), expected)
