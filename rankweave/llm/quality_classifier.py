@@ -314,7 +314,8 @@ def _learnt(docs: DataFrame, labels: DataFrame, names: tuple[str, ...], max_cali
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("good").cast("int").alias("good"))
     labels = labels.where("doc_id IS NOT NULL AND good IS NOT NULL").groupBy("doc_id").agg(F.min("good").alias("good"))
     features = docs.mapInArrow(_features, "doc_id long, style array<int>, meta array<int>, words array<int>")
-    known = saved(features.join(labels, "doc_id", "left"))
+    # by sorted keys at every size, so that a larger table has the plan of a smaller one
+    known = saved(features.join(labels.hint("merge"), "doc_id", "left"))
     marked = saved(_marked(known, telling_words(known.where("good IS NOT NULL").where(TRAINING))))
     return docs, marked, co_train(marked, max_calibration=max_calibration)
 
