@@ -6,9 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: So many rows of a batch are counted at a time.
+_ROWS = 512
+
 
 def dot(a: Column, b: Column) -> Column:
     """Inner product of two arrays; null if either is."""
@@ -22,12 +26,30 @@ def l2_normalise(a: Column) -> Column:
 
 
 def hashed_vectors(df: DataFrame, text_col: str, dims: int = 64) -> DataFrame:
-    """df with vec: signed counts of hashed words [a-z0-9]+ at unit length; deterministic and without weights."""
+    """df with vec: signed counts of hashed words [a-z0-9]+ at unit length; deterministic and without weights.
+
+    Words become cell and sign in Spark, two bytes or four each; tasks count them by batches, so a word is looked at once, whatever dims is.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
-    packed = F.transform(words, lambda w: F.xxhash64(w))
-    h = df.withColumn("_h", packed)
-    cell = f"transform(sequence(0, {dims - 1}), d -> aggregate(filter(_h, x -> pmod(x, {dims}) = d), 0.0D, (s, x) -> s + if(pmod(shiftright(x, 20), 2) = 0, 1.0D, -1.0D)))"
-    return h.withColumn("_v", F.expr(cell)).withColumn("vec", l2_normalise(F.col("_v"))).drop("_h", "_v")
+    kind = "smallint" if 2 * dims <= 2**15 else "int"
+    cells = F.transform(F.transform(words, lambda w: F.xxhash64(w)), lambda x: (F.pmod(x, F.lit(dims)) * 2 + F.pmod(F.shiftright(x, 20), F.lit(2))).cast(kind))
+
+    @F.arrow_udf("array<double>")
+    def counted(lists: pa.Array) -> pa.Array:
+        parts = [_signed_counts(lists.slice(at, _ROWS), dims) for at in range(0, len(lists), _ROWS)]
+        flat = np.concatenate(parts) if parts else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, dims, dtype=np.int32)), pa.array(flat))
+
+    return df.withColumn("vec", counted(cells))
+
+
+def _signed_counts(lists: pa.ListArray, dims: int) -> np.ndarray:
+    """The unit vectors of lists of 2 * cell + sign, one behind the other."""
+    cells = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    v = np.bincount(row * dims + (cells >> 1), np.where(cells & 1, -1.0, 1.0), len(lists) * dims).reshape(len(lists), dims)
+    norm = np.sqrt((v * v).sum(axis=1, keepdims=True))
+    return (v / np.where(norm > 0, norm, 1)).ravel()
 
 
 def encode(df: DataFrame, text_col: str, encoder: Callable[[pd.Series], np.ndarray] | None = None) -> DataFrame:
