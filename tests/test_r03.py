@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankweave.functions.vectors import hashed_vectors
+from rankweave.operators import extract as X
 
 
 @pytest.mark.parametrize("dims", [1, 7, 64, 20_000])
@@ -24,3 +25,17 @@ def test_hashed_vectors_count_words_once(spark, dims):
                 want[r.x % dims] += -1.0 if (r.x >> 20) % 2 else 1.0
         norm = math.sqrt(sum(v * v for v in want))
         assert got[k] == [v / norm if norm else v for v in want]
+
+
+@pytest.mark.parametrize(
+    ("lines", "is_record"),
+    [(["caféheat it", "b", "c" * 130], True), (["we waſh it", "b", "c" * 130], True), (["ingredientsé", "b", "c"], True), (["ingredientsx", "b", "c"], False), (["a b the recipe", "directions", ":"], True), (["reheat", "b", "c" * 130], False)],
+)
+def test_record_pages_as_in_sql(spark, lines, is_record):
+    """Word borders, dots and case are those of the SQL's engine."""
+    duckdb = pytest.importorskip("duckdb")
+    joined = " ".join(lines)
+    one = lambda pattern: duckdb.execute("SELECT regexp_matches(?, ?)", [joined, pattern]).fetchone()[0]
+    assert (one(X.INGREDIENT_HEADER) or one(X.METHOD_HEADER) or (one(X.VERB) and len(joined) > 120)) == is_record
+    df = spark.createDataFrame([(lines,)], "lines array<string>")
+    assert df.select(X.is_record_page(F.col("lines")).alias("r")).first().r == is_record
