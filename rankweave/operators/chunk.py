@@ -7,11 +7,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.functions.numbering import numbered
+from rankweave.functions.slices import map_rows
 
 SEPARATORS = ("\n\n", "\n", ". ", "; ", ", ", " ", "")
 SECTION_HEADING = r"(?im)^(?:ingredients?|method|directions?|steps?|preparation)[ \t\r\f\v]*:?[ \t\r\f\v]*$"
@@ -161,12 +163,12 @@ def record_bounds(text: str, max_chars: int) -> list[tuple[int, int]]:
 def _chunks(docs: DataFrame, bounds: Callable[[str], list[tuple[int, int]]]) -> DataFrame:
     """docs(source, doc_id, start, text) -> chunks, by a function of one text; narrow, no shuffle."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = [(s, d, k, base + a, base + b, t[a:b]) for s, d, base, t in part.itertuples(index=False) for k, (a, b) in enumerate(bounds(t))]
-            yield pd.DataFrame(rows, columns=["source", "doc_id", "chunk_no", "start", "end", "text"])
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for s, d, base, t in rows:
+            for k, (a, b) in enumerate(bounds(t)):
+                yield s, d, k, base + a, base + b, t[a:b]
 
-    return docs.select("source", "doc_id", "start", "text").where("text IS NOT NULL").mapInPandas(run, CHUNKS)
+    return map_rows(docs.select("source", "doc_id", "start", "text").where("text IS NOT NULL"), run, CHUNKS)
 
 
 def chunk_recursive(docs: DataFrame, size: int = 800, overlap: int = 120) -> DataFrame:
@@ -192,22 +194,19 @@ def chunk_record(docs: DataFrame, max_chars: int = 0) -> DataFrame:
 def chunk_sections(docs: DataFrame, min_chars: int = 220) -> DataFrame:
     """docs(source, doc_id, title, start, text) cut at section headings, the title put before each piece that lacks it."""
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for source, doc_id, title, base, text in part.itertuples(index=False):
-                cuts = [m.start() for m in re.finditer(SECTION_HEADING, text)]
-                edges = sorted({0, len(text), *(cuts if len(text) >= 2 * min_chars else ())})
-                title, k = (title or "").strip(), 0
-                for a, b in zip(edges, edges[1:], strict=False):
-                    piece = text[a:b].strip()
-                    if len(piece) >= 20:
-                        named = not title or piece.lower().startswith(title.lower()[:24])
-                        rows.append((source, doc_id, k, base + a, base + b, piece if named else f"{title}\n{piece}"))
-                        k += 1
-            yield pd.DataFrame(rows, columns=["source", "doc_id", "chunk_no", "start", "end", "text"])
-
-    return docs.select("source", "doc_id", "title", "start", "text").where("text IS NOT NULL").mapInPandas(run, CHUNKS)
+    def run(rows: Iterator[tuple]) -> Iterator[tuple]:
+        for source, doc_id, title, base, text in rows:
+            cuts = [m.start() for m in re.finditer(SECTION_HEADING, text)]
+            edges = sorted({0, len(text), *(cuts if len(text) >= 2 * min_chars else ())})
+            title, k = (title or "").strip(), 0
+            for a, b in zip(edges, edges[1:], strict=False):
+                piece = text[a:b].strip()
+                if len(piece) >= 20:
+                    named = not title or piece.lower().startswith(title.lower()[:24])
+                    yield source, doc_id, k, base + a, base + b, piece if named else f"{title}\n{piece}"
+                    k += 1
+
+    return map_rows(docs.select("source", "doc_id", "title", "start", "text").where("text IS NOT NULL"), run, CHUNKS)
 
 
 def group_adjacent(units: DataFrame, threshold: float = 0.55, keys: tuple[str, ...] = ("source", "doc_id")) -> DataFrame:
@@ -222,21 +221,27 @@ def group_adjacent(units: DataFrame, threshold: float = 0.55, keys: tuple[str, .
 def group_centroid(units: DataFrame, threshold: float = 0.50) -> DataFrame:
     """units(source, doc_id, chunk_no, start, end, vec) with group_no: a new group where the cosine with the group's mean direction is below threshold."""
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("chunk_no")
-        group, total, out = 0, None, []
-        for v in part["vec"]:
-            v = np.asarray(v, float)
-            if total is not None:
-                norm = np.linalg.norm(total)
-                if (v @ total / norm if norm else 0.0) < threshold:
-                    group, total = group + 1, None
-            total = v.copy() if total is None else total + v
-            out.append(group)
-        return part.assign(group_no=out)[["source", "doc_id", "chunk_no", "start", "end", "group_no"]]
-
-    cols = units.select("source", "doc_id", "chunk_no", "start", "end", "vec")
-    return cols.groupBy("source", "doc_id").applyInPandas(run, "source string, doc_id string, chunk_no int, start long, end long, group_no int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, group, total = None, 0, None  # a document may go on in the next batch
+        for batch in batches:
+            out, vec = [], batch.column("vec")
+            flat, ends = vec.flatten().to_numpy(zero_copy_only=False).astype(float), vec.offsets.to_numpy() - vec.offsets[0].as_py()
+            for k, key in enumerate(zip(batch.column("source").to_pylist(), batch.column("doc_id").to_pylist(), strict=True)):
+                v = flat[ends[k] : ends[k + 1]]
+                if key != of:
+                    of, group, total = key, 0, None
+                if total is not None:
+                    norm = np.linalg.norm(total)
+                    if (v @ total / norm if norm else 0.0) < threshold:
+                        group, total = group + 1, None
+                total = v.copy() if total is None else total + v
+                out.append(group)
+            kept = batch.select(["source", "doc_id", "chunk_no", "start", "end"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.int32())], names=[*kept.schema.names, "group_no"])
+
+    keys = ("source", "doc_id")
+    cols = units.select(*keys, "chunk_no", "start", "end", "vec").repartition(*keys).sortWithinPartitions(*keys, "chunk_no")
+    return cols.mapInArrow(run, "source string, doc_id string, chunk_no int, start long, end long, group_no int")
 
 
 def _split_group(start: int, ends: list[int], max_chars: int) -> list[tuple[int, int]]:

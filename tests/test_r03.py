@@ -5,7 +5,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from rankweave.functions.slices import ROWS, map_rows
 from rankweave.functions.vectors import hashed_vectors
+from rankweave.operators import chunk as C
 from rankweave.operators import extract as X
 from rankweave.operators.sets import lacking_at_most
 
@@ -50,3 +52,31 @@ def test_pantries_hold_their_first_sets_only(spark):
     assert len(rows) == 20
     first = sorted(str(k) for k in range(300))[:5]
     assert sorted((r.pantry_id, r.key, r.n_needed, r.n_missing) for r in rows) == sorted((p, k, 2, 2 if p == "s" else 0) for p in "pqrs" for k in first)
+
+
+def test_rows_are_objects_by_slices(spark):
+    """A worker turns at most ROWS rows of a batch into objects at once."""
+    n = map_rows(spark.range(1000, numPartitions=1), lambda rows: iter([(len(list(rows)),)]), "n long").collect()
+    assert sum(r.n for r in n) == 1000 and max(r.n for r in n) <= ROWS
+
+
+def test_centroid_groups_go_on_over_batches(spark):
+    units = [("s", f"d{d}", k, k, k + 1, [] if k == 3 else [math.cos(k * d), math.sin(k * d)] if d else [1.0, 0.0]) for d in range(4) for k in range(9)]
+    df = spark.createDataFrame([u[:5] + (u[5] or [0.0, 0.0],) for u in units], "source string, doc_id string, chunk_no int, start long, end long, vec array<double>")
+    plan = C.group_centroid(df)
+    assert "FlatMapGroups" not in plan._jdf.queryExecution().optimizedPlan().toString()  # no data frame for each document
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        got = {(r.doc_id, r.chunk_no): r.group_no for r in C.group_centroid(df).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for d in range(4):
+        group, total = 0, None
+        for k in range(9):
+            v = units[d * 9 + k][5] or [0.0, 0.0]
+            if total is not None:
+                norm = math.hypot(*total)
+                if ((v[0] * total[0] + v[1] * total[1]) / norm if norm else 0.0) < 0.5:
+                    group, total = group + 1, None
+            total = list(v) if total is None else [total[0] + v[0], total[1] + v[1]]
+            assert got[f"d{d}", k] == group
