@@ -80,3 +80,14 @@ def test_centroid_groups_go_on_over_batches(spark):
                     group, total = group + 1, None
             total = list(v) if total is None else [total[0] + v[0], total[1] + v[1]]
             assert got[f"d{d}", k] == group
+
+
+def test_pages_give_the_parts_asked_for(spark):
+    """Links are not resolved where only text is asked for; what is there is as from the whole pass."""
+    html = '<title>t</title><a href="/b">b</a><p>x</p><script type="application/ld+json">{"@type": "Recipe"}</script>'
+    df = spark.createDataFrame([(1, "http://h/a", html), (2, None, None)], "page_id long, url string, html string")
+    whole, text, links, nodes = (X.page_parts(df, *of).orderBy("page_id").collect() for of in ((), (("text",),), (("links",),), (("nodes",),)))
+    assert [(r.title, r.lines) for r in text] == [(r.title, r.lines) for r in whole] and text[0].lines == ["b", "x"]
+    assert [r.links for r in links] == [r.links for r in whole] and len(links[0].links) == 1
+    assert [r.nodes for r in nodes] == [r.nodes for r in whole] and len(nodes[0].nodes) == 1
+    assert not any(r.links or r.nodes for r in text) and not any(r.lines or r.nodes for r in links)
