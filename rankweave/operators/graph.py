@@ -8,8 +8,9 @@ from pyspark.sql.window import Window
 
 from rankweave.functions.numbering import numbered
 from rankweave.functions.saved import saved
+from rankweave.operators.blocks import BROADCAST_ENTRIES
 from rankweave.operators.extract import ACTIONS, EQUIPMENT, extract_terms
-from rankweave.operators.sets import containing_all, containing_any, lacking_at_most
+from rankweave.operators.sets import by_rarity, lacking_at_most
 from rankweave.operators.vocab import category_of, resolve
 
 MIN_ITEMS = 2
@@ -161,33 +162,52 @@ def without_categories(recipes: DataFrame, uses: DataFrame, ingredients: DataFra
     return all_real(recipes).join(uses.join(items, "item", "left_semi"), "key", "left_anti")
 
 
+def packed(recipes: DataFrame, uses: DataFrame) -> DataFrame:
+    """(key, course, items) of real records, a row for each; course may be null."""
+    real = all_real(recipes).select("key", "course" if "course" in recipes.columns else F.lit(None).cast("string").alias("course"))
+    return real.join(uses.groupBy("key").agg(F.collect_set("item").alias("items")), "key", "left")
+
+
 def filter_recipes(questions: DataFrame, recipes: DataFrame, uses: DataFrame, ingredients: DataFrame, include_mode: str = "any") -> DataFrame:
-    """(query_id, key) for a batch of questions(query_id, course, include, exclude, exclude_categories), all optional but the id.
+    """(query_id, key) for a batch of questions(query_id, course, include, exclude, exclude_categories), all optional but the id; filter_sets() over packed()."""
+    return filter_sets(questions, packed(recipes, uses), ingredients, include_mode)
+
+
+def filter_sets(questions: DataFrame, records: DataFrame, ingredients: DataFrame, include_mode: str = "any") -> DataFrame:
+    """(query_id, key) of records(key, course, items), one row for each with all its different items.
 
     Names are canonical; one that is no item of the graph is unresolvable. If a question includes
     names and none resolves, it has no records; an unresolvable exclusion is none; a question
-    without conditions has all real records. A job runs at once.
+    without conditions has all records. A record is judged where it lies, if the questions with what they exclude
+    fit BROADCAST_ENTRIES; else it meets them by item. A job runs at once.
     """
-    q = questions.select("query_id", F.coalesce("course", F.lit("")).alias("course"), *(F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("include", "exclude", "exclude_categories")))
-    real = all_real(recipes).select("key", "course") if "course" in recipes.columns else all_real(recipes).select("key", F.lit(None).cast("string").alias("course"))
-    edges = uses.select("key", "item")
+    none = F.array().cast("array<string>")
+    q = questions.select("query_id", F.coalesce("course", F.lit("")).alias("course"), *(F.coalesce(c, none).alias(c) for c in ("include", "exclude", "exclude_categories")))
     wanted = q.select("query_id", F.explode(F.array_distinct("include")).alias("item")).join(ingredients.select("item").distinct(), "item", "left_semi")
-    hits = containing_any(wanted, edges) if include_mode == "any" else containing_all(wanted, edges)
-
-    open_q = q.where("size(include) = 0").select("query_id", "course")
-    of_any = open_q.where("course = ''").select("query_id").crossJoin(real.select("key"))  # the answer to no condition
-    of_course = open_q.where("course != ''").join(real, "course").select("query_id", "key")
-    from_hits = hits.join(q.where("size(include) > 0").select("query_id", "course"), "query_id").join(real.withColumnRenamed("course", "of"), "key").where("course = '' OR course = of").select("query_id", "key")
-    chosen = saved(of_any.unionByName(of_course).unionByName(from_hits))
-
-    # only chosen records are looked at for what is excluded
-    names = q.select("query_id", F.explode("exclude").alias("item")).distinct()
     families = q.select("query_id", F.explode("exclude_categories").alias("category")).where("category NOT IN ('', 'none')").distinct()
-    limited = names.select("query_id").unionByName(families.select("query_id")).distinct()
-    held = chosen.join(limited, "query_id", "left_semi").join(edges, "key")
-    by_name = held.join(names, ["query_id", "item"], "left_semi").select("query_id", "key")
-    by_family = held.join(ingredients.select("item", "category").distinct(), "item").join(families, ["query_id", "category"], "left_semi").select("query_id", "key")
-    return chosen.join(by_name.unionByName(by_family), ["query_id", "key"], "left_anti")
+    banned = q.select("query_id", F.explode("exclude").alias("item")).unionByName(families.join(ingredients.select("item", "category").distinct(), "category").select("query_id", "item"))
+    asked = q.select("query_id", "course", (F.size("include") == 0).alias("open"))
+    for rows, name in ((wanted, "wanted"), (banned, "banned")):
+        asked = asked.join(rows.groupBy("query_id").agg(F.collect_set("item").alias(name)), "query_id", "left").withColumn(name, F.coalesce(name, none))
+    asked = saved(asked)
+    entries = asked.agg(F.sum(1 + F.size("banned") + F.size("wanted") * F.size("wanted"))).first()[0] or 0
+    near = F.broadcast if entries <= BROADCAST_ENTRIES else lambda x: x
+
+    r = records.select("key", F.col("course").alias("of"), F.coalesce("items", none).alias("items"))
+    each = r.select("key", "of", "items", F.explode("items").alias("item"))
+    held = asked.where("NOT open")
+    if include_mode == "any":  # a record that has several names is met by the first of them
+        held = held.withColumn("item", F.explode("wanted"))
+        fits = F.when(F.size("wanted") == 1, True).otherwise(F.array_intersect("wanted", "items")[0] == each["item"])
+    else:
+        first = by_rarity(wanted, "query_id", each.select("item")).where("place = 1").select("query_id", "item")
+        held = held.join(first, "query_id")
+        fits = F.size(F.array_except("wanted", "items")) == 0
+    free = ~F.coalesce(F.arrays_overlap("items", "banned"), F.lit(False))
+    hits = each.join(near(held), (each["item"] == held["item"]) & ((F.col("course") == "") | (F.col("course") == F.col("of"))) & fits & free)
+    of_any = r.join(near(asked.where("open AND course = ''")), free)  # the answer to no condition
+    of_course = r.join(near(asked.where("open AND course != ''")), (F.col("course") == F.col("of")) & free)
+    return hits.select("query_id", "key").unionByName(of_any.select("query_id", "key")).unionByName(of_course.select("query_id", "key"))
 
 
 def pantry_gap(pantries: DataFrame, recipes: DataFrame, uses: DataFrame, max_missing: int = 3, limit: int = 20) -> DataFrame:

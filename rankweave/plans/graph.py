@@ -9,7 +9,7 @@ from rankweave.operators import evaluate as E
 from rankweave.operators import extract as X
 from rankweave.operators import graph as G
 from rankweave.plans.register import Plans
-from rankweave.plans.standins import terms_sql, ingredients, recipes, steps, table, uses, with_
+from rankweave.plans.standins import terms_sql, ingredients, packed_recipes, recipes, steps, table, uses, with_
 
 plans = Plans()
 REAL = with_("uses", "recipes", "real")
@@ -177,7 +177,7 @@ hit AS (SELECT q.query_id, r.key FROM q JOIN real r USING (course) JOIN edges e
 
 @plans(QUESTION_SQL + "SELECT query_id, key FROM hit")
 def g16_filter_recipes(spark, d):
-    return G.filter_recipes(constraint_questions(spark, d), *stored_world(spark, d))
+    return G.filter_sets(constraint_questions(spark, d), packed_recipes(spark, d), ingredients(spark, d))
 
 
 def pantries(spark, d):
