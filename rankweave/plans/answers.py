@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankweave.functions.saved import saved
 from rankweave.operators import context as A
 from rankweave.operators import evaluate as E
 from rankweave.operators import graph as G
@@ -122,8 +123,8 @@ def _answers(spark, d):
     text = F.when(F.col("query_id") % 4 == 0, A.REFUSAL).otherwise(F.concat(F.lit("Here it is:\n"), bullets, F.lit("\nSteps:\n- 3 cups of steps")))
     a = o.select("query_id", text.alias("text"), (F.col("query_id") % 4 == 0).alias("refused"))
     c = o.select("query_id", F.array_join(F.transform(F.filter("l", lambda x: x["n"] > 1), lambda x: F.concat(F.lit("* 2 cups "), x["p"])), "\n").alias("text"))
-    v = vocabulary(spark, d)
-    return a, E.answer_items(a, v), E.context_items(c, v)
+    v = saved(vocabulary(spark, d))
+    return a, E.answer_items(a, v, named=True), E.context_items(c, v, named=True)
 
 
 def _excluded(a):

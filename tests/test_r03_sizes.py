@@ -54,3 +54,24 @@ def test_set_scores_shuffle_pairs_once(spark):
     can = E.answerable(q, r, e)
     assert {(x.query_id, x.answerable) for x in can.collect()} == {("x", True), ("y", None), ("z", False)}
     assert "LeftSemi" not in plan(can)
+
+
+def test_names_are_made_of_distinct_lines_only(spark):
+    """No rule for names is left in the plan over all lines, and what is banned isn't made into items for each answer."""
+    from rankweave.operators import vocab as V
+
+    lines = spark.createDataFrame([(k, x) for k, x in enumerate(["2 cups rice", "2 cups rice", "1 tbsp ghee", "x", None, "2 cups nothing"])], "query_id long, line string")
+    v = spark.createDataFrame([("ghee", "butter", None), ("nothing", None, None), ("rice", "rice", ["rice", "grain"])], "name string, canonical string, split array<string>")
+    out = V.resolve(lines, "line", v, named=True)
+    assert "regexp_replace" not in plan(out)
+    want = [(0, "grain"), (0, "rice"), (1, "grain"), (1, "rice"), (2, "butter")]
+    assert sorted((r.query_id, r.item) for r in out.collect()) == want and all(r.item == r.item_name for r in out.collect())
+    a = spark.range(4).withColumnRenamed("id", "query_id")
+    have = spark.createDataFrame([(0, "rice"), (1, "brown rice"), (2, "oil")], "query_id long, item string")
+    got = {r.query_id: (r.grounded, r.invented) for r in E.no_invented(a, out.select("query_id", "item"), have).collect()}
+    assert got == {0: (0.5, ["grain"]), 1: (0.5, ["grain"]), 2: (0.0, ["butter"]), 3: (1.0, [])}
+    limits = a.select("query_id", F.array(F.lit("rice")).alias("exclude"), F.array(F.lit("fat")).alias("exclude_categories"))
+    families = spark.createDataFrame([("butter", "fat"), ("butter", "milk"), ("grain", "none")], "item string, category string")
+    kept = E.constraint_respected_answers(a, out, limits, families)
+    assert {r.query_id: r.respected for r in kept.collect()} == {0: 0.5, 1: 0.5, 2: 0.0, 3: 1.0}
+    assert "explode(exclude" not in plan(kept)
