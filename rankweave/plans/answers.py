@@ -82,7 +82,7 @@ def r11_gate_trace(spark, d):
     held = q.where("query_id % 40 != 0").select("query_id")
     keys = p.select("passage_id", F.col("label").alias("key"))
     allowed = held.where("query_id % 100 != 20").crossJoin(F.broadcast(keys.select("key").distinct().where("key NOT IN (3, 4)")))  # questions x the few labels
-    hits = R.dense_topk(q, p, 10)
+    hits = saved(R.dense_topk(q, p, 10))
     return R.gate_trace(q, held, allowed, hits, R.gate(hits, held, allowed, 10, keys))
 
 

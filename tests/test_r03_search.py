@@ -77,3 +77,29 @@ def test_postings_of_asked_terms_only(spark, monkeypatch):
         monkeypatch.setattr(R, "ASKED_TERMS", 1)  # too many: all terms
         assert [tuple(r) for r in ranker(q, p, 5).orderBy("query_id", "rank").collect()] == want
         monkeypatch.undo()
+
+
+def test_question_blocks_keep_their_hits(spark, monkeypatch):
+    """However many blocks of questions there are, a task gives the k best of each question once; a block's step gives no more than k of each."""
+    monkeypatch.setattr(B, "PASSAGE_BLOCK", 5)
+    monkeypatch.setattr(B, "QUERY_BLOCK", 2)
+    rng = np.random.default_rng(5)
+    p = spark.createDataFrame([(k, v.tolist(), k % 3) for k, v in enumerate(rng.normal(size=(80, 4)))], "passage_id long, vec array<double>, label int").repartition(2)
+    q = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(24, 4)))], "query_id long, vec array<double>")
+    entries = q.select("query_id", F.lit(None).cast("array<long>").alias("permits"), "vec")
+    hits = B.best_hits(B.question_blocks(entries, 24), B.vector_blocks(p), 3, "vectors", True, ("bigint", "bigint"))
+    assert hits.count() == 2 * 24 * 3
+    asked = B._Vectors(pa.array([{"query_id": r.query_id, "permits": [1, 4][r.query_id % 2 : r.query_id % 2 + 1], "vec": r.vec} for r in q.collect()], pa.struct([("query_id", pa.int64()), ("permits", pa.list_(pa.int64())), ("vec", pa.list_(pa.float64()))])))
+    rows = p.collect()
+    batch = pa.RecordBatch.from_pydict({"ids": [[r.passage_id for r in rows]], "labels": [[r.label for r in rows]], "vecs": [[x for r in rows for x in r.vec]]})
+    monkeypatch.setattr(B, "VECTOR_STEP", 7)
+    question, place, score = asked.scores(batch, 0, B._Best(24, 3, None))
+    want = {(k, n) for k in range(24) for n in sorted((n for n, r in enumerate(rows) if r.label == (0, 2)[k % 2]), key=lambda n: -np.dot(asked.matrix[k], rows[n].vec))[:3]}
+    assert set(zip(question.tolist(), place.tolist(), strict=True)) == want and len(score) == len(want)
+
+
+def test_trace_ranks_once(spark, sf):
+    """What is traced is of one saved ranking; no grid is left in the plan of the trace."""
+    from rankweave.plans.answers import r11_gate_trace
+
+    assert "MapInArrow" not in r11_gate_trace(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
