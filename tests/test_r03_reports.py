@@ -17,3 +17,16 @@ def test_few_atoms_go_to_the_texts(spark, monkeypatch):
     assert contained(texts, "id", atoms.limit(0)).collect() == []
     monkeypatch.setattr(automaton, "BATCH_CHARS", 12)  # packs and batches
     assert sorted(map(tuple, contained(texts, "id", atoms).collect())) == sorted(want)
+
+
+def test_a_report_ranks_once(spark, sf, monkeypatch):
+    """Metrics, diversity and constraints are of one saved ranking; before, each made an index of its own."""
+    from rankweave.plans import evaluation
+
+    plain, built = R.bm25_index, []
+    monkeypatch.setattr(R, "bm25_index", lambda *a: built.append(1) or plain(*a))
+    rows = {r.family: r.n for r in evaluation.e19_ranking_report(spark, sf).collect()}
+    assert len(built) == 1 and rows["(all)"] == rows["even"] + rows["odd"]
+    built.clear()
+    evaluation.e19_ranking_breaches(spark, sf)
+    assert len(built) == 1
