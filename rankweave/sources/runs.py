@@ -105,8 +105,12 @@ def questions_for_eval(labelled: DataFrame, user: DataFrame) -> DataFrame:
 
 
 def write_run(records: DataFrame, path: str) -> None:
-    """Records as Parquet by type and run; a run that is written again replaces only itself."""
-    records.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_type", "run_id").parquet(path)
+    """Records as Parquet by type and run; a run that is written again replaces only itself.
+
+    A run's records meet first, as else each task has a file for each run. Adaptive execution (Spark's default; without it
+    the hint does nothing) deals a very large run to several tasks.
+    """
+    records.hint("rebalance", "source_type", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_type", "run_id").parquet(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
