@@ -22,6 +22,9 @@ GOLDEN = (
     "evaluation STRUCT<queries: ARRAY<STRUCT<query_id: STRING, family: STRING, question: STRING, relevant_ids: ARRAY<STRING>, rationale: STRING>>>"
 )
 
+#: Runs are dealt by hash to so many parts before they are written: a part over Spark's advisory size is split, which gives all its runs more files.
+PARTS = 2048
+
 
 def read_run_files(spark: SparkSession, path: str) -> DataFrame:
     """One row for each run file that can be parsed, with the file's name, time and size."""
@@ -108,9 +111,9 @@ def write_run(records: DataFrame, path: str) -> None:
     """Records as Parquet by type and run; a run that is written again replaces only itself.
 
     A run's records meet first, as else each task has a file for each run. Adaptive execution (Spark's default; without it
-    the hint does nothing) deals a very large run to several tasks.
+    the hint does nothing) joins small parts and deals a very large run to several tasks.
     """
-    records.hint("rebalance", "source_type", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_type", "run_id").parquet(path)
+    records.hint("rebalance", PARTS, "source_type", "run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source_type", "run_id").parquet(path)
 
 
 def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:

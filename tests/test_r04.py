@@ -26,6 +26,21 @@ def test_a_run_is_not_spread_over_the_tasks(spark, tmp_path):
     assert files_of(path) == {f"run_{k:02}": 1 for k in range(30)}
 
 
+def test_files_of_runs_do_not_follow_the_number_of_shuffle_partitions(spark, tmp_path):
+    """Many runs in few shuffle partitions aren't dealt to tasks that have rows of all of them."""
+    path, settings = tmp_path / "runs", {"spark.sql.shuffle.partitions": "2", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k"}
+    rows = spark.range(0, 20000, 1, 8).select(F.lit("web").alias("source_type"), F.format_string("run_%03d", F.col("id") % 200).alias("run_id"), F.sha2(F.col("id").cast("string"), 256).alias("title"))
+    before = {name: spark.conf.get(name) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        S.write_run(rows, str(path))
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert files_of(path) == {f"run_{k:03}": 1 for k in range(200)} and spark.read.parquet(str(path)).distinct().count() == 20000
+
+
 def test_a_very_large_run_is_dealt_to_several_tasks(spark, tmp_path):
     path, setting = tmp_path / "runs", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     rows = spark.range(0, 40000, 1, 8).select(F.lit("web").alias("source_type"), F.when(F.col("id") % 100 == 0, "small").otherwise("large").alias("run_id"), F.sha2(F.col("id").cast("string"), 256).alias("title"))
